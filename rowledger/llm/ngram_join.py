@@ -322,3 +322,12 @@ def classes(docs: DataFrame, num: int = 85, den: int = 100, width: int = 4, id_c
     moved = classed.join(lowest, "component").where("copies > 1 or low <> component_id").select("node", "component_id")
     out = found.select("id", "n", "node").join(moved, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, num: int = 85, den: int = 100, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with their own columns: of each component the one with the smallest id. Of rows
+    with equal ids in a component all stay, as an id stands for one document; so do rows without an id."""
+    out = classes(docs, num, den, width, id_col, text_col)
+    gone = out.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone")).distinct()
+    few = gone.limit(FEW_NODES + 1).count() <= FEW_NODES
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("gone"), "left_anti")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, ngram_join, packing, token_counts, token_files
+from . import common, mixing, ngram_join, packing, token_counts, token_files, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +21,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labels, categories = toxicity.graded(read(spark, sf_dir, "labels"))
+    chain = toxicity.train(docs, labels, categories)
+    limit = next(x.threshold for x in chain if x.name == "toxic")
+    return toxicity.score(docs, chain).withColumn("toxic", F.col("p_toxic") >= limit)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.prefix_counts(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), (512,))
     return token_counts.within_budget(counts, 512)
@@ -45,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op2_token_counts, op3_token_files, op7_ngram_join, op9_mixing, op10_packing)}
+    found = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_files, op7_ngram_join, op9_mixing, op10_packing)}
     return found
 
 
