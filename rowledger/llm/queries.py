@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, ngram_join, packing, token_counts, token_files, toxicity
+from . import common, embedding_join, mixing, ngram_join, packing, token_counts, token_files, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -40,6 +40,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read(spark, path))
 
 
+def op6_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.linked(read(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(read(spark, sf_dir, "documents"), 85, 100, 4)
 
@@ -53,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_files, op7_ngram_join, op9_mixing, op10_packing)}
+    found = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_files, op6_embedding_join, op7_ngram_join, op9_mixing, op10_packing)}
     return found
 
 
@@ -73,5 +77,16 @@ SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN p > 0 AND upto
 """
 
 
+#: All pairs of a label, and what they reach.
+_EMBEDDINGS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT c.vec_id, (SELECT count(*) FROM p WHERE p.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": _MIX}
+    return {"op6_embedding_join": _EMBEDDINGS, "op9_mixing": _MIX}
