@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embedding_join, mixing, ngram_join, packing, token_counts, token_files, toxicity
+from . import common, embedding_join, license_scan, lm_scoring, mixing, ngram_join, packing, token_counts, token_files, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -40,6 +40,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read(spark, path))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.train(docs))
+
+
 def op6_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.linked(read(spark, sf_dir, "embeddings"), 0.93)
 
@@ -48,6 +53,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(read(spark, sf_dir, "documents"), 85, 100, 4)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -57,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_files, op6_embedding_join, op7_ngram_join, op9_mixing, op10_packing)}
+    found = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_files, op5_lm_scoring, op6_embedding_join, op7_ngram_join, op8_license_scan, op9_mixing, op10_packing)}
     return found
 
 
