@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embedding_join, license_scan, lm_scoring, mixing, ngram_join, packing, token_counts, token_files, toxicity
+from . import common, embedding_join, image_copies, license_scan, lm_scoring, mixing, ngram_join, packing, token_counts, token_files, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -40,6 +40,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read(spark, path))
 
 
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_copies.copies(image_copies.page_images(read(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return lm_scoring.score(docs, lm_scoring.train(docs))
@@ -66,7 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_files, op5_lm_scoring, op6_embedding_join, op7_ngram_join, op8_license_scan, op9_mixing, op10_packing)}
+    found = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_files, op4_image_copies, op5_lm_scoring, op6_embedding_join, op7_ngram_join, op8_license_scan, op9_mixing, op10_packing)}
     return found
 
 
