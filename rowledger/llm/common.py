@@ -3,10 +3,12 @@ connected components and an exact memo over the tokenizers library."""
 
 from __future__ import annotations
 
+import codecs
 import re
 import tempfile
 import uuid
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,40 +75,73 @@ def as_column(names: list[str], base: str) -> str:
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACED = re.compile(r" \s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
+#: Signs whose classes and lower case are the same everywhere: up to U+024F, without the dotted capital I,
+#: number signs that are no digits, odd separators, and what special strings begin with.
+_PLAIN = re.compile("[\x00-\x1b !-;=-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]*")
+#: The pre-tokenizer patterns of the two kinds of vocabulary, and what they are for plain signs.
+BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PLAIN_BYTE_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_PLAIN_WORD_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
-class ByteBpeChunks(dict):
-    """chunk -> value made from the chunk's token ids, for a byte-level BPE vocabulary.
+def byte_letters() -> str:
+    """The letters that byte-level vocabularies write for the bytes: printable ones stand for
+    themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(b) if b in own else chr(next(rest)) for b in range(256))
+
+
+class ByteBpe(dict):
+    """word -> value made from the ids of a space and the word, for a byte-level BPE vocabulary.
 
     A text is cut before each space that a non-space follows. The pre-tokenizer
     of byte-level BPE begins a new piece exactly there and looks no further than
-    one sign ahead, so the ids of the text are those of its chunks in a row. A
-    chunk is encoded by the library once and then looked up. Texts with special
-    strings or odd separators are encoded whole. ``limit`` bounds the entries; a
-    full memo starts anew.
+    one sign ahead, so the ids of the text are those of its chunks in a row. Of a
+    chunk that is met first, the pieces are looked up in turn; the library's model
+    encodes each piece once. Texts with special strings or odd separators and chunks
+    with rare signs are left to the whole tokenizer. ``limit`` bounds the entries of
+    either memo; a full one starts anew. ``value`` makes bytes or a count of a list of
+    ids, and ``empty`` is that of none.
     """
 
-    def __init__(self, path: str, value, limit: int = 400_000):
+    plain_pieces = _PLAIN_BYTE_PIECES
+
+    def __init__(self, path: str, value, empty, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.value, self.limit = value, limit
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.value, self.empty, self.limit = value, empty, limit
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, object] = {}
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, chunk: str):
-        v = self[chunk] = self.value(self.ids(chunk))
-        return v
-
-    def warm(self, chunks) -> None:
-        """Encode what the memo lacks in one call of the library."""
+    def written(self, piece: str) -> str:
+        """A piece as the vocabulary writes it."""
+        return codecs.charmap_decode(piece.encode(), "strict", self.letters)[0]
+
+    def chunk(self, text: str):
+        """The value of a text that is met as a whole."""
+        if not _PLAIN.fullmatch(text):
+            return self.value(self.ids(text))
+        out, known = self.empty, self.known
+        for piece in self.plain_pieces.findall(text):
+            v = known.get(piece)
+            if v is None:
+                if len(known) > 2 * self.limit:
+                    known.clear()
+                v = known[piece] = self.value([t.id for t in self.model.tokenize(self.written(piece))])
+            out += v
+        return out
+
+    def __missing__(self, word: str):
         if len(self) > self.limit:
             self.clear()
-        if lack := [c for c in set(chunks) if c not in self]:
-            for c, e in zip(lack, self.tokenizer.encode_batch_fast(lack, add_special_tokens=False), strict=True):
-                self[c] = self.value(e.ids)
+        v = self[word] = self.chunk(" " + word)
+        return v
 
     def whole(self, text: str) -> bool:
         return any(s in text for s in self.special) or bool(_ODD.search(text))
@@ -115,28 +150,40 @@ class ByteBpeChunks(dict):
         """The chunks of a text; joined, they are the text again."""
         if not text:
             return []
-        if self.whole(text):
-            return [text]
-        if _SPACED.search(text) or text[-1] == " ":
-            return [c for c in _BEFORE_WORD.split(text) if c]
+        return [text] if self.whole(text) else [c for c in _BEFORE_WORD.split(text) if c]
+
+    def values(self, text: str) -> list:
+        """The values of a text's chunks."""
+        if not text or self.whole(text) or text[-1] == " " or _SPACED.search(text):
+            return [self.chunk(c) for c in self.chunks(text)]
         first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + c for c in rest]
+        return [*([self.chunk(first)] if first else []), *map(self.__getitem__, rest)]
 
 
-class WordBpeChunks(ByteBpeChunks):
-    """The same for vocabularies that drop white space: a text's ids are those of its
-    white-space-separated parts in a row, as no piece spans white space and neither
-    lower-casing nor canonical composition reaches across it."""
+class WordBpe(ByteBpe):
+    """word (as bytes) -> value, for vocabularies that drop white space and lower-case: a text's ids are those of
+    its white-space-separated parts in a row, as no piece spans white space and neither lower-casing nor canonical
+    composition reaches across it."""
 
-    def chunks(self, text: str) -> list[bytes]:
-        return text.encode("utf-8", "surrogatepass").split()
+    plain_pieces = _PLAIN_WORD_PIECES
 
-    def ids(self, chunk) -> list[int]:
-        return self.tokenizer.encode(chunk.decode() if isinstance(chunk, bytes) else chunk, add_special_tokens=False).ids
+    def values(self, text: str) -> list:
+        return list(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
-    def warm(self, chunks) -> None:
+    def __missing__(self, word: bytes):
         if len(self) > self.limit:
             self.clear()
-        if lack := [c for c in set(chunks) if c not in self]:
-            for c, e in zip(lack, self.tokenizer.encode_batch_fast([c.decode() for c in lack], add_special_tokens=False), strict=True):
-                self[c] = self.value(e.ids)
+        text = word.decode()
+        v = self[word] = self.chunk(text.lower() if _PLAIN.fullmatch(text) else text)
+        return v
+
+
+_MEMOS: dict[tuple, ByteBpe] = {}
+
+
+def memo(kind: type, path: str, *args) -> ByteBpe:
+    """The memo of this Python process, which tasks that follow each other share."""
+    key = (kind, path, *args)
+    if key not in _MEMOS:
+        _MEMOS[key] = kind(path, *args)
+    return _MEMOS[key]

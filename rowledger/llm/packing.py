@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteBpeChunks, table
+from .common import ByteBpe, memo, table
 from .token_files import pack_ids
 
 BLOCK = 256
@@ -42,15 +42,13 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
     """(uid, id, piece, start, length, ids_crc32). One scan of two columns; uid is unique within one run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end, uid = ByteBpeChunks(tokenizer, pack_ids), pack_ids([end_id]), TaskContext.get().partitionId() << 33
+        known, end, uid = memo(ByteBpe, tokenizer, pack_ids, b""), pack_ids([end_id]), TaskContext.get().partitionId() << 33
         for batch in batches:
             for k in range(0, batch.num_rows, BLOCK):
                 rows = batch.slice(k, BLOCK)
-                parts = [memo.chunks(t or "") for t in rows.column(1).to_pylist()]
-                memo.warm(c for p in parts for c in p)
                 out = []
-                for at, p in enumerate(parts):
-                    ids = b"".join(map(memo.__getitem__, p)) + end
+                for at, t in enumerate(rows.column(1).to_pylist()):
+                    ids = b"".join(known.values(t or "")) + end
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordBpeChunks
+from .common import WordBpe, memo
 
 BLOCK = 256
 #: Bytes of a row group and of a page: a selective read touches a few pages of one group.
@@ -48,13 +48,11 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     """(id, part, start_in_part, n_tokens, tokens), a part for each partition, in the partition's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end, at, part = WordBpeChunks(tokenizer, pack_ids), pack_ids([end_id]), 0, TaskContext.get().partitionId()
+        known, end, at, part = memo(WordBpe, tokenizer, pack_ids, b""), pack_ids([end_id]), 0, TaskContext.get().partitionId()
         for batch in batches:
             for k in range(0, batch.num_rows, BLOCK):
                 rows = batch.slice(k, BLOCK)
-                pieces = [memo.chunks(t or "") for t in rows.column(1).to_pylist()]
-                memo.warm(c for p in pieces for c in p)
-                blobs = [b"".join(map(memo.__getitem__, p)) + end for p in pieces]
+                blobs = [b"".join(known.values(t or "")) + end for t in rows.column(1).to_pylist()]
                 n = np.array([len(b) // 4 for b in blobs], np.int64)
                 ends = np.concatenate([[0], np.cumsum(n)])
                 ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(blobs))])
@@ -92,7 +90,7 @@ def checksums(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for b in batches:
             lists = b.column(3)
             ends = lists.offsets.to_numpy()
-            values = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+            values = memoryview(lists.values.to_numpy().astype("<i4", copy=False)).cast("B")
             crc = [zlib.crc32(values[4 * i : 4 * j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
