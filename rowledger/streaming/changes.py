@@ -7,6 +7,8 @@ those of its log as a batch.
 
 from __future__ import annotations
 
+import decimal
+import io
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def intake(records: DataFrame, time: str = "ts", late: str = "10 minutes", identity: tuple[str, ...] = ("sequence",)) -> DataFrame:
@@ -21,18 +24,18 @@ def intake(records: DataFrame, time: str = "ts", late: str = "10 minutes", ident
     return records.withWatermark(time, late).dropDuplicatesWithinWatermark(list(identity))
 
 
-def transaction_fence(records: DataFrame, txn: str = "transaction_id", is_commit: str = "is_commit", order: str = "sequence", wait: str = "10 minutes") -> DataFrame:
+def transaction_fence(records: DataFrame, txn: str = "transaction_id", is_commit: str = "is_commit", order: str = "sequence", time: str = "ts", wait: str = "10 minutes") -> DataFrame:
     """Holds a transaction's records until its COMMIT is seen, then releases them in order with complete = true. A
-    transaction whose COMMIT does not come within ``wait`` is released with complete = false: a reduced-fidelity
+    transaction whose COMMIT does not come within ``wait`` of its last record, by the stream's watermark (see ``intake``), is released with complete = false: a reduced-fidelity
     warning, as in a batch, where such transactions are kept.
 
     State: the records of open transactions, by transaction; a very long one is held by one task, as it must be."""
-    shape = records.schema.add("complete", "boolean")
+    shape = StructType([*records.schema.fields, StructField("complete", BooleanType())])
     names = records.columns
     limit = pd.Timedelta(wait)
 
     def hold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pd.read_json(state.get[0], orient="records", dtype=False, convert_dates=False) if state.exists and state.get[0] else pd.DataFrame(columns=names)
+        held = pd.read_json(io.StringIO(state.get[0]), orient="records", dtype=False, convert_dates=False) if state.exists and state.get[0] else pd.DataFrame(columns=names)
         if state.hasTimedOut:
             state.remove()
             yield _typed(held, names).assign(complete=False)
@@ -44,7 +47,8 @@ def transaction_fence(records: DataFrame, txn: str = "transaction_id", is_commit
             yield _typed(text.sort_values(order), names).assign(complete=True)
         else:
             state.update((text.to_json(orient="records"),))
-            state.setTimeoutDuration(int(limit.total_seconds() * 1000))
+            last = max(int(text[time].max()) // 1000, state.getCurrentWatermarkMs())
+            state.setTimeoutTimestamp(last + int(limit.total_seconds() * 1000))
 
     def _plain(f: pd.DataFrame) -> pd.DataFrame:
         return f.assign(**{c: f[c].astype("int64") // 1000 for c in stamps})
@@ -57,13 +61,11 @@ def transaction_fence(records: DataFrame, txn: str = "transaction_id", is_commit
             out[c] = out[c].map(lambda v: None if v is None else decimal.Decimal(str(v)))
         return out
 
-    import decimal
-
     stamps = [f.name for f in records.schema if f.dataType.typeName().startswith("timestamp")]
     decimals = [f.name for f in records.schema if f.dataType.typeName().startswith("decimal")]
     # decimals travel as text while they are held
     held_as = records.withColumns({c: F.col(c).cast("string") for c in decimals})
-    return held_as.groupBy(txn).applyInPandasWithState(hold, shape, "records string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return held_as.groupBy(txn).applyInPandasWithState(hold, shape, "records string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def window_net_view(records: DataFrame, keys: list[str], values: list[str], length: str, time: str = "ts", sequence: str = "sequence", operation: str = "operation") -> DataFrame:
