@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import WordBpe, memo
 
 BLOCK = 256
+#: Up to so many parts, their totals are sent to all tasks.
+FEW_PARTS = 100_000
 #: Bytes of a row group and of a page: a selective read touches a few pages of one group.
 LAYOUT = {
     "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
@@ -80,7 +82,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # one row for each part, whatever the number of documents
     sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("part_start"))
-    return files.join(before, "part").withColumn("start", F.col("part_start") + F.col("start_in_part")).drop("part", "start_in_part", "part_start")
+    few = sums.limit(FEW_PARTS + 1).count() <= FEW_PARTS
+    return files.join(F.broadcast(before) if few else before, "part").withColumn("start", F.col("part_start") + F.col("start_in_part")).drop("part", "start_in_part", "part_start")
 
 
 def checksums(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
