@@ -126,7 +126,7 @@ def predict_linear(rows: list[np.ndarray], dense: np.ndarray, model) -> np.ndarr
 
 
 def fit_chain(rows: list[np.ndarray], labels: dict[str, np.ndarray], folds: np.ndarray, most: int = 1500, least_rows: int = 6, ridge: float = 1.0, steps: int = 120) -> tuple[list[Link], dict[str, np.ndarray]]:
-    """The chain, and the out-of-fold probabilities of each category. Thresholds are those of the best F1 out of fold."""
+    """The chain, and the out-of-fold probabilities of each category. Thresholds hold a precision out of fold."""
     dense, chain, held = np.zeros((len(rows), 0)), [], {}
     for name, y in labels.items():
         if not 0 < y.sum() < len(y):
@@ -149,13 +149,16 @@ def fit_chain(rows: list[np.ndarray], labels: dict[str, np.ndarray], folds: np.n
     return chain, held
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+def best_threshold(p: np.ndarray, y: np.ndarray, precision: float = 0.95) -> float:
+    """The lowest threshold at which so many of the rejected are rightly so, out of fold; one half if none is."""
     order = np.argsort(-p, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    k = int(f1.argmax())
+    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    good = np.flatnonzero(right >= precision)
+    if not len(good):
+        return 0.5
+    k = int(good[-1])
     low = p[order[k + 1]] if k + 1 < len(p) else 0.0
-    return float(np.clip((p[order[k]] + low) / 2, 0.2, 0.8))
+    return float(np.clip((p[order[k]] + low) / 2, 0.3, 0.9))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_rows: int = 6000, folds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> list[Link]:
