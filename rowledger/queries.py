@@ -507,14 +507,6 @@ def capture_divergence(s: SparkSession, d: str) -> DataFrame:
     return summary.reconcile(summary.shape(_orders(s, d)), summary.shape(_written(s, d))).withColumnRenamed("row", "row_name")
 
 
-@query("select 'a' as assertion, '2' as expected where (select count(*) from region) > 0 union all select 'b', '5'")
-def expected_by_capability(s: SparkSession, d: str) -> DataFrame:
-    n = view(s, d, "region").limit(1)
-    claims = [("a", "2", "write", None, None), ("a", "1", "value", None, None), ("b", "5", None, None, True), ("c", "1", None, None, None), ("c", "2", "write", None, None)]
-    f = s.createDataFrame(claims, "assertion string, expected string, detection string, fidelity string, row_identity boolean").join(F.broadcast(n.select(F.lit(1).alias("_"))), F.lit(True), "left_semi")
-    return summary.expected_answers(f, "write", "net", True)[0]
-
-
 # -- verdicts ------------------------------------------------------------------------
 
 _STEP = """sx as (select run_id, scenario_id, step_no, case when step_status = 'errored' then 'errored' when step_status = 'skipped' then 'not-run' when a_status = 'failed' then 'failed' when w_code = 'scope-truncated' or a_status = 'unevaluable' then 'undecided' else 'passed' end as outcome, a_status, w_code from runs)"""
@@ -677,6 +669,56 @@ def scrub_documents(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "documents").select("doc_id", values.scrub(F.col("text"), marks).alias("scrubbed"))
 
 
+@query("select 'capture' as source, 'scope-truncated' as code, 'orders' as table_name, 'the table was rewritten' as message from orders_v0 having cast(count(*) as varchar) is distinct from (select cast(count(*) as varchar) from orders_v1) union all select 'capture', 'scope-truncated', 'lineitem', 'the table is gone'")
+def rewritten_tables(s: SparkSession, d: str) -> DataFrame:
+    ids = lambda v, t: view(s, d, v).agg(F.count("*").cast("string").alias("identity")).select(F.lit(t).alias("table"), "identity")
+    before = ids("orders_v0", "orders").unionByName(ids("line_v0", "lineitem")).unionByName(ids("conv_v0", "conversations"))
+    after = ids("orders_v1", "orders").unionByName(ids("conv_v0", "conversations"))
+    return capture.rewritten(before, after).withColumnRenamed("table", "table_name")
+
+
+@query("select 'no values differ' as statement from orders_v0 having count(*) > 0")
+def nothing_happened(s: SparkSession, d: str) -> DataFrame:
+    same = capture.snapshot_diff(view(s, d, "orders_v0"), view(s, d, "orders_v0"), ORDERS)
+    return summary.nothing_happened(same, capture.warn(s), capture.VALUE)
+
+
+@query(_D + "select k as o_orderkey, 'o_orderstatus,o_orderkey,o_totalprice' as shown from d where kind = 'insert'")
+def column_ranking(s: SparkSession, d: str) -> DataFrame:
+    texts = F.array(F.lit("o_totalprice"))
+    shown = summary.ranked_columns(F.col("changed_columns"), ["o_orderstatus"], ["o_orderkey"], texts, ["o_orderdate"], 3)
+    return select.of_kind(_orders(s, d), "inserted").select("after.o_orderkey", F.array_join(shown, ",").alias("shown"))
+
+
+@query(_D + "select 'single(updated(orders, o_orderkey = \"' || cast(k as varchar) || '\")).after.o_orderstatus == {{new}}' as expression from d where kind = 'update' and list_contains(cols, 'o_orderstatus')")
+def promote_values(s: SparkSession, d: str) -> DataFrame:
+    return promote.update_candidates(_orders(s, d), ["o_orderkey"], ("o_totalprice",), {"new": "X", "run": "Y"}).where("rule = 'value'").select("expression")
+
+
+@query("select distinct 'customer' as table_name, '•••' as label from cust_v0")
+def promote_withheld(s: SparkSession, d: str) -> DataFrame:
+    t = TableScope("customer", ("c_custkey",), PRIMARY, None, (), ("c_custkey",))
+    c = capture.snapshot_diff(view(s, d, "cust_v0").drop(V), view(s, d, "cust_v1").drop(V), t)
+    return promote.withheld(c, ["c_custkey"], ("c_custkey",)).withColumnRenamed("table", "table_name")
+
+
+@query("select distinct 'response.status == ' || cast(status as varchar) as expression from responses")
+def promote_response(s: SparkSession, d: str) -> DataFrame:
+    return promote.candidates([promote.response_status(view(s, d, "responses"))]).select("expression")
+
+
+@query("select 'hasWrite(changes(*)) == false' as expression, 'a write that changes no value would not be seen' as caveat from orders_v0 having count(*) > 0")
+def promote_nothing(s: SparkSession, d: str) -> DataFrame:
+    same = capture.snapshot_diff(view(s, d, "orders_v0"), view(s, d, "orders_v0"), ORDERS)
+    return promote.nothing_changed(s, same, capture.VALUE).select("expression", "caveat")
+
+
+@query("select run_id, step_no, 'checks-nothing' as problem from runs where a_status = 'passed'")
+def audit_unchecked_steps(s: SparkSession, d: str) -> DataFrame:
+    r = view(s, d, "runs")
+    return audit.steps_without_assertions(r, r.where("a_status <> 'passed'"), ["run_id", "step_no"])
+
+
 # -- streams ---------------------------------------------------------------------------
 
 

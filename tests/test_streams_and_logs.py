@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from rowledger.operators import series, verdict
+from rowledger.operators import series, summary, verdict
 from rowledger.sources import history, log, responses
 from rowledger.streaming import changes as streaming
 
@@ -79,3 +79,10 @@ def test_unknown_states_and_exit_codes(spark):
 def test_flat_lines_are_padded(spark):
     s = spark.createDataFrame([("a", "observed", "4"), ("b", "observed", "0"), ("c", "observed", "x")], "s string, state string, value string")
     assert {(r["s"], r["lo"], r["hi"]) for r in series.extent(s, ["s"]).collect()} == {("a", 2.0, 6.0), ("b", -1.0, 1.0)}
+
+
+def test_expected_answers_by_capability(spark):
+    claims = [("a", "2", "write", None, None), ("a", "1", "value", None, None), ("b", "5", None, None, True), ("c", "1", None, None, None), ("c", "2", "write", None, None)]
+    f = spark.createDataFrame(claims, "assertion string, expected string, detection string, fidelity string, row_identity boolean")
+    one, twice = summary.expected_answers(f, "write", "net", True)
+    assert sorted(tuple(r) for r in one.collect()) == [("a", "2"), ("b", "5")] and [r["assertion"] for r in twice.collect()] == ["c"]
