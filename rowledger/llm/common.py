@@ -41,12 +41,14 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     may be split. Rounds grow with the logarithm of the longest chain. Links are
     never collected. Nulls in edges and self links are ignored.
     """
-    spark = edges.sparkSession
-    shared_folder(spark)
+    shared_folder(edges.sparkSession)
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     e = table(e, "links")
-    before = None
     for _ in range(max_rounds):
+        # settled: every node has one link, to a node that has none
+        n, each = e.agg(F.count("*"), F.count_distinct("u")).first()
+        if n == each and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -54,10 +56,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = table(small.where("u <> v").distinct(), "links")
-        now = tuple(e.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.count_distinct("u")).first())
-        if now == before and now[0] == now[3]:
-            break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(e.groupBy("u").agg(F.min("v").alias("m")), nodes["id"] == F.col("u"), "left").select("id", F.coalesce("m", "id").alias("component"))
