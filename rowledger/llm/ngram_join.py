@@ -12,13 +12,14 @@ band. The slack allows for a subset of the segments: frequent contents (common
 passages, empty segments) stay out of the index for every document that can spare
 them, and stay in for the others, so no link is lost.
 
-Candidates are made between sets that differ; equal sets are one node. Within an
-index entry every set is tried against the entry's smallest node first, each node
-against one such leader, the one with the most common entries. Only sets that this
-leaves in another component than most of their entry are tried against the rest of
-it, behind exact bounds (sizes, and a parity sketch whose differing bits cannot
-exceed the differing shingles). Verification is exact on the sets; they are
-shuffled once for each try, large groups salted.
+Candidates are made between sets that differ; equal sets are one node. Each entry's
+nodes are paired with its smallest one first. Exact bounds look at every pair before
+any set is moved: sizes, and parity sketches of about two bits a shingle, whose
+differing bits cannot exceed the differing shingles. Of its leaders that pass, a node
+tries the nearest. Then nodes that this leaves in another component than most of an
+entry are paired with the rest of it; again the nearest of each other component first,
+until no pair that may link lies between two components. Verification is exact on the
+sets; they are shuffled once for each try, large groups salted.
 
 Shingles, nodes and index keys are 64-bit hashes. Defined results: null or empty
 texts have no shingles and link with nothing; texts of fewer than ``width`` words
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, shared_folder, table
@@ -43,12 +44,15 @@ from .common import components, shared_folder, table
 BLOCK = 256
 RATIO, SCHEMES, SEGMENT_BITS = 1.3, 64, 17
 #: Entries of more rows than this stay out of the index where the slack allows.
-FREQUENT = 64
+FREQUENT = 16
 #: Nodes up to this number are sent to all tasks (8 bytes each); beyond, Spark joins by a shuffle.
 FEW_NODES = 400_000
 #: Members of a leader that meet in one task.
 GROUP = 256
-SKETCH = 1024
+#: Places of the short sketch that a join condition looks at.
+MINI = 512
+#: Bytes of text that a shingle takes, about, for the number of documents in each band.
+BYTES_EACH = 6.5
 
 
 def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -160,59 +164,79 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
-def sets(docs: DataFrame, limit: Threshold, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, band, sketch): a row for each document, no shuffle."""
+def sets(docs: DataFrame, limit: Threshold, width: int, plan: list[tuple[int, int, int]], id_col: str, text_col: str) -> DataFrame:
+    """(id, n, node, sketch, mini, entries): a row for each document, in one scan without a shuffle. Equal sets of one task are indexed once."""
+    h = [limit.differences(b) for b in range(SCHEMES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Words()
+        memo, seen = _WORDS, set()
         for b in batches:
-            n, node, band, sketch = [], [], [], []
-            for t in b.column(1):
-                s = shingles(t.as_py(), memo, width)
-                n.append(len(s))
-                node.append(_node(s))
-                band.append(limit.band(len(s)) if len(s) else -1)
-                sketch.append(np.packbits((np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64) if len(s) else np.zeros(SKETCH // 64, np.int64))
-            flat = pa.array(np.concatenate(sketch) if sketch else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (SKETCH // 64), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(band, pa.int32()), lists], ["id", "n", "node", "band", "sketch"])
+            for k in range(0, b.num_rows, BLOCK):
+                part = b.slice(k, BLOCK)
+                n, nodes, sketches, minis, keys = [], [], [], [], []
+                for t in part.column(1):
+                    s = shingles(t.as_py(), memo, width)
+                    node, own = _node(s), []
+                    if len(s) and node not in seen:
+                        if len(seen) < 1_000_000:
+                            seen.add(node)
+                        own = [entries(s, scheme, *plan[scheme][:2]) for scheme in limit.schemes(len(s)) if h[scheme]]  # else only equal sets link
+                    n.append(len(s))
+                    nodes.append(node)
+                    sketches.append(sketch(s) if len(s) else None)
+                    minis.append(np.frombuffer(parities(s, MINI), np.int64))
+                    keys.append(np.concatenate([np.zeros(0, np.int64), *own]))
+                ends = np.cumsum([0, *map(len, keys)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
+                small = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (MINI // 64), pa.int32()), pa.array(np.concatenate(minis)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), small, lists], ["id", "n", "node", "sketch", "mini", "entries"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n long, node long, band int, sketch array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n long, node long, sketch binary, mini array<long>, entries array<long>")
+
+
+#: The memo of this Python process, which tasks that follow each other share.
+_WORDS = Words()
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's hashes over a power of two of places, two for each shingle at least."""
+    places = max(512, 1 << (2 * len(s) - 1).bit_length())
+    return parities(s, places)
+
+
+def parities(s: np.ndarray, places: int) -> bytes:
+    return np.packbits((np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Places in which two sketches differ, the longer one folded to the shorter: no more than the sets differ by."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def plan_of(docs: DataFrame, limit: Threshold, text_col: str) -> list[tuple[int, int, int]]:
+    """The schemes' allocation by how many documents each band has, told by the texts' lengths."""
+    size = F.greatest(F.octet_length(text_col) / BYTES_EACH, F.lit(1.0))
+    band = F.least(F.greatest(F.floor(F.log(size) / math.log(RATIO)), F.lit(0)), F.lit(200)).cast("int")  # a bounded number of groups
+    about: dict[int, int] = {}
+    for r in docs.where(F.col(text_col).isNotNull()).groupBy(band.alias("g")).count().collect():
+        b = limit.band(max(1, round(RATIO ** (r["g"] + 0.5))))
+        about[b] = about.get(b, 0) + r["count"]
+    return allocate(limit, about)
 
 
 def _node(s: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None
 
 
-def index(docs: DataFrame, limit: Threshold, width: int, plan: list[tuple[int, int, int]], id_col: str, text_col: str) -> DataFrame:
-    """(entry, node). Equal sets of one task are entered once."""
-    h = [limit.differences(b) for b in range(SCHEMES)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = Words(), set()
-        for b in batches:
-            for k in range(0, b.num_rows, BLOCK):
-                keys, nodes = [], []
-                for t in b.column(1).slice(k, BLOCK):
-                    s = shingles(t.as_py(), memo, width)
-                    if not len(s) or (node := _node(s)) in seen:
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
-                    for scheme in limit.schemes(len(s)):
-                        if h[scheme]:  # otherwise only equal sets link
-                            keys.append(entries(s, scheme, *plan[scheme][:2]))
-                            nodes.append(np.full(len(keys[-1]), node, np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["entry", "node"])
-
-    return _texts(docs, id_col, text_col).mapInArrow(run, "entry long, node long")
-
-
-def candidates(docs: DataFrame, limit: Threshold, width: int, plan: list[tuple[int, int, int]], id_col: str, text_col: str) -> DataFrame:
-    """(entry, node) of entries with two nodes or more, frequent ones only for nodes that cannot spare them."""
-    all_rows = index(docs, limit, width, plan, id_col, text_col)
+def candidates(found: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
+    """(entry, node, first) of entries with two nodes or more, frequent ones only for nodes that cannot spare them."""
+    all_rows = found.where("id is not null").select(F.explode("entries").alias("entry"), "node")
     shared = all_rows.groupBy("entry").agg(F.count("*").alias("rows")).where("rows > 1")
     rows = table(all_rows.join(shared, "entry").distinct(), "entries")
     scheme, segment = F.shiftright("entry", 57).cast("int"), F.shiftright("entry", 40).bitwiseAND((1 << SEGMENT_BITS) - 1)
@@ -240,7 +264,7 @@ def verify(docs: DataFrame, place: DataFrame, pairs: DataFrame, limit: Threshold
     some = _texts(docs, id_col, text_col).join(F.broadcast(wanted.select("id")) if few else wanted.select("id"), "id", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Words()
+        memo = _WORDS
         for b in batches:
             for k in range(0, b.num_rows, BLOCK):
                 s = [shingles(t.as_py(), memo, width) for t in b.column(1).slice(k, BLOCK)]
@@ -265,57 +289,88 @@ def verify(docs: DataFrame, place: DataFrame, pairs: DataFrame, limit: Threshold
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     # a node's set may be wanted by several leaders, and documents with equal sets make it more than once
-    joined = work.join(made, "node").select("a", "salt", "role", "node", "shingles")
+    small = work.limit(FEW_NODES + 1).count() <= FEW_NODES
+    joined = made.join(F.broadcast(work) if small else work, "node").select("a", "salt", "role", "node", "shingles")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return joined.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, found: DataFrame, num: int = 85, den: int = 100, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near(pairs: DataFrame, facts: DataFrame, limit: Threshold) -> DataFrame:
+    """The pairs (a, b) that their sizes and sketches allow to link, with how far the sketches are apart. ``facts``: (node, n, sketch)."""
+    f = lambda c: facts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    d = pairs.join(f("a"), "a").join(f("b"), "b").where(small * limit.den >= large * limit.num).select("a", "b", "n_a", "n_b", "s_a", "s_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            d = np.array([apart(p, q) for p, q in zip(x, y, strict=True)], np.int64)
+            # sizes and differences together give the largest intersection that is left
+            total = np.array(n, np.int64) + np.array(m, np.int64)
+            both = (total - d) // 2
+            keep = pa.array(limit.den * both >= limit.num * (total - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["a", "b", "apart"]).filter(keep)
+
+    return d.mapInArrow(run, "a long, b long, apart long")
+
+
+def links(docs: DataFrame, found: DataFrame, limit: Threshold, plan: list[tuple[int, int, int]], width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(src, dst) between nodes: enough verified links to connect every component of the exact link graph.
 
     ``found`` is the table that ``sets`` gives."""
-    limit = Threshold(num, den)
-    bands = found.where("n > 0").groupBy("band").agg(F.count_distinct("node").alias("c"))  # at most SCHEMES rows
-    plan = allocate(limit, {r["band"]: r["c"] for r in bands.collect()})
-    place = found.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    kept = candidates(docs.where(F.col(id_col).isNotNull()), limit, width, plan, id_col, text_col)
+    place = found.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini"))
+    kept = candidates(found, plan)
     place = table(place.join(kept.select("node").distinct(), "node", "left_semi"), "places")
-
-    votes = kept.where("node <> first").groupBy("node", "first").agg(F.count("*").alias("v"))
-    tries = votes.groupBy("node").agg(F.max_by("first", F.struct("v", -F.col("first"))).alias("a")).select("a", F.col("node").alias("b"))
-    args = (limit, width, id_col, text_col)
+    facts, nodes, args = place.select("node", "n", "sketch"), place.select(F.col("node").alias("id")), (limit, width, id_col, text_col)
+
+    def named(edges: DataFrame) -> DataFrame:
+        return table(components(nodes, edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), "component"), "names")
+
+    def settle(left: DataFrame, one: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Tries pairs that lie between two components, the nearest for each node and other component first, then four times as many, until none is left."""
+        deal, label = 1, lambda c: names.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+        while True:
+            cross = left.join(label("a"), "a").join(label("b"), "b").where("c_a <> c_b")
+            ranked = cross.withColumn("r", F.row_number().over(Window.partitionBy("b", "c_a").orderBy("apart", "a")))
+            ranked = table(ranked.select("a", "b", "apart", "r"), "cross")
+            now = ranked.where(F.col("r") <= deal).select("a", "b")
+            if now.isEmpty():
+                return one, names
+            one = table(one.union(verify(docs, place, now, *args)), "links")
+            names = named(one)
+            left, deal = ranked.where(F.col("r") > deal).select("a", "b", "apart"), deal * 4
+
+    firsts = table(near(kept.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), facts, limit), "firsts")
+    tries = firsts.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
     one = table(verify(docs, place, tries, *args), "links")
+    one, names = settle(firsts.join(tries, ["a", "b"], "left_anti"), one, named(one))
 
     # what is left: nodes outside the component that most of an entry belongs to
-    names = components(place.select(F.col("node").alias("id")), one.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    named = table(kept.select("entry", "node").join(names.withColumnRenamed("id", "node"), "node"), "named")
-    several = named.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("entry")
-    rest = named.join(several, "entry")
-    most = rest.groupBy("entry", "component").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max_by("component", "c").alias("most"))
-    facts = place.select("node", "n", "sketch")
-    x = rest.join(facts, "node")
-    minor = x.join(most, "entry").where("component <> most").select("entry", F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n").alias("yn"), F.col("sketch").alias("ys"), "most")
+    here = kept.select("entry", "node").join(names, "node")
+    several = here.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("entry")
+    rest = table(here.join(several, "entry").join(place.select("node", "n", "mini"), "node"), "rest")
+    most = rest.groupBy("entry", "component").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
+    minor = rest.join(most, "entry").where("component <> most").select("entry", F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n").alias("yn"), F.col("mini").alias("ym"), "most")
     # two nodes outside it meet once, one outside and one inside once
     once = (F.col("component") == F.col("most")) | (F.col("node") < F.col("y"))
-    apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("ys")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    d = sum((F.bit_count(F.get("mini", F.lit(i)).bitwiseXOR(F.get("ym", F.lit(i)))) for i in range(MINI // 64)), F.lit(0))
     small, large = F.least("n", "yn"), F.greatest("n", "yn")
-    may = (small * den >= large * num) & (apart * num <= small * (den - num)) & ((small + large) * (den - num) >= apart * (den + num))
-    more = x.join(minor, "entry").where((F.col("component") != F.col("yc")) & once & may)
-    more = more.select(F.greatest("y", "node").alias("a"), F.least("y", "node").alias("b")).distinct()
-    more = table(more, "more")
-    if more.isEmpty():
-        return one.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    two = verify(docs, place, more, *args)
-    return table(one.union(two), "links").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    may = (small * limit.den >= large * limit.num) & (d * (limit.den + limit.num) <= (small + large) * (limit.den - limit.num))
+    met = rest.join(minor, "entry").where((F.col("component") != F.col("yc")) & once & may)
+    pairs = met.select(F.greatest("y", "node").alias("a"), F.least("y", "node").alias("b")).distinct()
+    known = firsts.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    left = table(near(pairs.join(known, ["a", "b"], "left_anti"), facts, limit), "left")
+    return settle(left, one, names)[0].select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def classes(docs: DataFrame, num: int = 85, den: int = 100, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id), a row for each document."""
     limit = Threshold(num, den)
     shared_folder(docs.sparkSession)
-    found = table(sets(docs, limit, width, id_col, text_col), "sets")
+    plan = plan_of(docs, limit, text_col)
+    found = table(sets(docs, limit, width, plan, id_col, text_col), "sets")
     nodes = found.where("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
-    e = links(docs, found, num, den, width, id_col, text_col)
+    e = links(docs.where(F.col(id_col).isNotNull()), found, limit, plan, width, id_col, text_col)
     named = components(nodes.select(F.col("node").alias("id")), e).withColumnRenamed("id", "node")
     classed = table(nodes.join(named, "node"), "classes")
     lowest = classed.groupBy("component").agg(F.min("low").alias("component_id"))
