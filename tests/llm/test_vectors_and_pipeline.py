@@ -110,6 +110,32 @@ def test_image_copies(spark):
     assert image_copies.copies(d.limit(0)).count() == 0
 
 
+def test_image_copies_behind_a_common_first(spark):
+    """Pairs whose shared entries all have a third image first, byte-equal images with few corners, and flipped bits."""
+    logo = picture(50)[:60]
+    made = {k: np.vstack([logo[:, :96], picture(60 + k), picture(80 + k)]) for k in range(6)}
+    for k in range(6):
+        edited = made[k].copy()
+        edited[200:215, 30:60] = 90
+        made[10 + k] = edited
+    made[30], made[31] = np.full((9, 9), 255, np.uint8), np.full((9, 9), 255, np.uint8)
+    d = spark.createDataFrame([(i, g.shape[1], g.shape[0], g.tobytes()) for i, g in made.items()] + [(40, 96, 60, logo.tobytes())], "id long, width int, height int, pixels binary")
+    comp = {r["id"]: r["component_id"] for r in image_copies.copies(d.where("id <> 40")).collect()}
+    assert comp == {**{k: k for k in range(6)}, **{10 + k: k for k in range(6)}, 30: 30, 31: 30}
+    # an image that is a part of all of them links them all
+    assert {r["component_id"] for r in image_copies.copies(d.where("id < 30 or id = 40")).collect()} == {0}
+
+
+def test_image_votes_allow_flipped_bits():
+    c = np.zeros(8, image_copies.CORNER)
+    r = np.random.default_rng(2)
+    c["bits"], c["y"], c["x"] = r.integers(0, 1 << 63, (8, 2)), r.integers(0, 90, 8), r.integers(0, 90, 8)
+    other = c.copy()
+    other["bits"] ^= np.uint64(1 << 40 | 1 << 3)  # one bit of each quarter: no equal half
+    other["y"] += 12
+    assert image_copies.agreed(c, other) == image_copies.agreed(other, c) == 8
+
+
 def test_page_images(spark):
     d = spark.createDataFrame([(1, "<p>one two</p><script>x</script><p>three</p>"), (2, None), (3, "")], "page_id long, html string")
     got = {r["id"]: (r["width"], r["height"], len(r["pixels"])) for r in image_copies.page_images(d).collect()}
