@@ -165,7 +165,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sets(docs: DataFrame, limit: Threshold, width: int, plan: list[tuple[int, int, int]], id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, sketch, mini, entries): a row for each document, in one scan without a shuffle. Equal sets of one task are indexed once."""
+    """(id, n, node, sketch, mini, entries): a row for each document, in one scan without a shuffle. Equal sets of one task are indexed once, by a row with an id."""
     h = [limit.differences(b) for b in range(SCHEMES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +174,10 @@ def sets(docs: DataFrame, limit: Threshold, width: int, plan: list[tuple[int, in
             for k in range(0, b.num_rows, BLOCK):
                 part = b.slice(k, BLOCK)
                 n, nodes, sketches, minis, keys = [], [], [], [], []
-                for t in part.column(1):
+                for i, t in zip(part.column(0), part.column(1), strict=True):
                     s = shingles(t.as_py(), memo, width)
                     node, own = _node(s), []
-                    if len(s) and node not in seen:
+                    if len(s) and i.is_valid and node not in seen:  # a row without an id links with nothing and stands for no other
                         if len(seen) < 1_000_000:
                             seen.add(node)
                         own = [entries(s, scheme, *plan[scheme][:2]) for scheme in limit.schemes(len(s)) if h[scheme]]  # else only equal sets link

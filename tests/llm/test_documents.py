@@ -165,6 +165,14 @@ def test_ngram_join_is_brute_force(docs, empty, num):
     assert kept == {i for i in s if root(i) == i} | {None}
 
 
+def test_ngram_join_indexes_rows_with_ids(spark):
+    w = [f"w{k}" for k in range(120)]
+    a, b, c = " ".join(w), " ".join([*w[:-1], "tail"]), " ".join(["head", *w[1:]])
+    d = spark.createDataFrame([(None, a), (4, a), (2, b), (9, c), (None, "quite alone")], "doc_id long, text string").coalesce(1)
+    got = [(r["doc_id"], r["component_id"]) for r in ngram_join.classes(d).collect()]
+    assert sorted(got, key=str) == sorted([(None, None), (4, 2), (2, 2), (9, 2), (None, None)], key=str)
+
+
 def test_ngram_join_finds_every_link():
     r = random.Random(9)
     limit = ngram_join.Threshold(85, 100)
