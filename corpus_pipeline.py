@@ -19,9 +19,9 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group that links of 0.85 on four-word shingles
-    connect, once; documents without an id or without words stay."""
-    return ngram_join.representatives(docs, 85, 100, 4)
+    """Keeps one row of each group that links of 0.8 on five-word shingles connect, that with the smallest id;
+    of rows without words one stays for each id, and all that have no id."""
+    return ngram_join.representatives(docs, 80, 100, 5)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

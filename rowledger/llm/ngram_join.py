@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, shared_folder, table
+from .common import as_column, components, shared_folder, table
 
 BLOCK = 256
 RATIO, SCHEMES, SEGMENT_BITS = 1.3, 64, 17
@@ -380,9 +380,19 @@ def classes(docs: DataFrame, num: int = 85, den: int = 100, width: int = 4, id_c
 
 
 def representatives(docs: DataFrame, num: int = 85, den: int = 100, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with their own columns: of each component the one with the smallest id. Of rows
-    with equal ids in a component all stay, as an id stands for one document; so do rows without an id."""
-    out = classes(docs, num, den, width, id_col, text_col)
-    gone = out.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone")).distinct()
+    """The rows that stay, with their own columns: one of each component, that with the smallest id (rows without an id last).
+
+    Rows are told by a key of their own, so that repeated rows and copies without an id go, and rows of one id with texts that do
+    not link are apart. Of rows without words one stays for each id, and all that have no id."""
+    shared_folder(docs.sparkSession)
+    row = as_column(docs.columns, "_row")
+    keyed = table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    out = classes(keyed, num, den, width, row, text_col).join(keyed.select(row, id_col), row)
+    out = table(out.select(F.col(row).alias("r"), F.col(id_col).alias("id"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c")), "classed")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "r")
+    best = out.where("c is not null").groupBy("c").agg(F.min(order)["r"].alias("keep"), F.count("*").alias("rows")).where("rows > 1").select("c", "keep")
+    first = out.where("c is null and id is not null").groupBy("id").agg(F.min("r").alias("keep"), F.count("*").alias("rows")).where("rows > 1").select("id", "keep")
+    gone = out.where("c is not null").join(best, "c").where("r <> keep").select("r").union(out.where("c is null").join(first, "id").where("r <> keep").select("r"))
+    gone = table(gone, "gone")
     few = gone.limit(FEW_NODES + 1).count() <= FEW_NODES
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("gone"), "left_anti")
+    return keyed.join(F.broadcast(gone) if few else gone, F.col(row) == F.col("r"), "left_anti").drop(row)

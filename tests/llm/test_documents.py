@@ -173,6 +173,18 @@ def test_ngram_join_indexes_rows_with_ids(spark):
     assert sorted(got, key=str) == sorted([(None, None), (4, 2), (2, 2), (9, 2), (None, None)], key=str)
 
 
+def test_near_duplicates_keep_one_row(spark):
+    import corpus_pipeline
+
+    w = [f"w{k}" for k in range(120)]
+    text, near, mid = " ".join(w), " ".join([*w[:-1], "tail"]), " ".join([*w[:80], "edit", "edit2", *w[82:100], *w[102:]])
+    a, b = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (text, mid))
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    rows = [(None, text), (5, text), (5, text), (7, near), (7, "one of its own"), (8, mid), (None, "alone here"), (None, "alone here"), (3, ""), (3, ""), (None, None), (None, None)]
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sorted(got, key=str) == sorted([(5, text), (7, "one of its own"), (None, "alone here"), (3, ""), (None, None), (None, None)], key=str)
+
+
 def test_ngram_join_finds_every_link():
     r = random.Random(9)
     limit = ngram_join.Threshold(85, 100)
