@@ -30,7 +30,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.prefix_counts(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), (512,))
+    counts = token_counts.prefix_counts(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), (512,), with_table=True)
     return token_counts.within_budget(counts, 512)
 
 

@@ -5,8 +5,8 @@ place where its last token begins, plus one; the last token is the one
 vocabulary entry that ends there and stands unmerged behind the last token of
 the shorter prefix. Pieces between pre-token borders do not influence each
 other, so a text's table is the running sum over its pieces, and the table of a
-piece is made once and looked up. Budgets and truncation read the table; no text
-is encoded again.
+piece is made once and looked up, as is that of a chunk of pieces. Counts, budgets and
+truncation read the text's table, which is stored as a list; no text is encoded again.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens, cut 0); ids may
 be null or repeat and rows come back one for one; other columns are not read, so
@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_PIECES, ByteBpe, memo
 
-BLOCK = 256
+BLOCK = 64
 _SPACE, _TAIL = regex.compile(r"\s*"), regex.compile(r"\s*$")
 
 
 class PrefixTables(ByteBpe):
-    """Chunk -> token count, and tables of counts at every prefix on demand."""
+    """Tables of counts at every prefix: of pieces, of chunks and of whole texts."""
 
     def __init__(self, path: str, limit: int = 250_000):
         super().__init__(path, len, 0, limit)
@@ -41,6 +41,7 @@ class PrefixTables(ByteBpe):
         self.longest = max(map(len, self.vocab))
         self.fits: dict[tuple[str, str], bool] = {}
         self.tables: dict[str, list[int]] = {}
+        self.steps: dict[tuple[str, str], np.ndarray] = {}
 
     def stands(self, last: str, token: str) -> bool:
         """Whether ``last`` and ``token`` stay two tokens when they meet."""
@@ -122,13 +123,37 @@ class PrefixTables(ByteBpe):
         base = (int(sums[k - 1]) if k else 0) - (int(self.table(tail)[-1]) if tail else 0)
         return sum(map(len, chunks[:k])) + int(np.flatnonzero(inner + base <= budget).max(initial=0))
 
+    def step(self, tail: str, chunk: str) -> np.ndarray:
+        """Counts at each character of a chunk beyond those before it; ``tail``: the white space that it follows, if any."""
+        key = (tail, chunk)
+        t = self.steps.get(key)
+        if t is None:
+            if len(self.steps) > self.limit:
+                self.steps.clear()
+            t = self.table(tail + chunk)[len(tail) + 1 :] - (int(self.table(tail)[-1]) if tail else 0)
+            t = self.steps[key] = t.astype(np.int32)
+        return t
+
+    def counts(self, text: str) -> np.ndarray:
+        """The same as ``table``, from the tables of the text's chunks."""
+        if not text or self.whole(text):
+            return self.table(text).astype(np.int32)
+        chunks, tail, made = self.chunks(text), "", []
+        for c in chunks:
+            made.append(self.step(tail, c))
+            tail = _TAIL.search(c)[0] if c[-1].isspace() else ""
+        base = np.cumsum([0, *(t[-1] for t in made[:-1])], dtype=np.int32)
+        out = np.zeros(len(text) + 1, np.int32)
+        out[1:] = np.concatenate(made) + np.repeat(base, [len(t) for t in made])
+        return out
+
 
 def prefix_counts(docs: DataFrame, tokenizer: str, budgets: tuple[int, ...] = (512,), id_col: str = "doc_id", text_col: str = "text", with_table: bool = False) -> DataFrame:
     """One row per row: the id, n_bytes, n_tokens, cut_<budget> (characters of the longest
-    prefix within the budget) and, if asked for, prefix_tokens: the count at every prefix.
+    prefix within the budget) and, if asked for, prefix_tokens: the count at every prefix. All are read from the text's table.
 
     One scan of two columns, no shuffle. Memory per task: a memo of ``limit`` pieces and one block of texts."""
-    fields = [("n_bytes", pa.int64()), ("n_tokens", pa.int64()), *((f"cut_{b}", pa.int64()) for b in budgets)] + [("prefix_tokens", pa.list_(pa.int32()))] * with_table
+    names = ["n_bytes", "n_tokens", *(f"cut_{b}" for b in budgets), *["prefix_tokens"] * with_table]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = memo(PrefixTables, tokenizer)
@@ -136,12 +161,12 @@ def prefix_counts(docs: DataFrame, tokenizer: str, budgets: tuple[int, ...] = (5
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                sums = [np.cumsum(tables.values(t)) for t in texts]
-                cols = [[len(t.encode()) for t in texts], [int(s[-1]) if len(s) else 0 for s in sums]]
-                cols += [[tables.cut(t, s, b) for t, s in zip(texts, sums, strict=True)] for b in budgets]
+                made = [tables.counts(t) for t in texts]
+                cols = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([int(t[-1]) for t in made], pa.int64())]
+                cols += [pa.array([int(np.flatnonzero(t <= b).max(initial=0)) for t in made], pa.int64()) for b in budgets]
                 if with_table:
-                    cols.append([tables.table(t).tolist() for t in texts])
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, (_, k) in zip(cols, fields, strict=True))], ["id", *(n for n, _ in fields)])
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(np.concatenate(made))))
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = ", ".join(["id " + kind, "n_bytes long", "n_tokens long", *(f"cut_{b} long" for b in budgets), *["prefix_tokens array<int>"] * with_table])

@@ -72,6 +72,23 @@ def test_counts_at_every_prefix():
             assert m.cut(t, sums, budget) == max(i for i, c in enumerate(want) if c <= budget)
 
 
+def test_stored_counts_are_the_tables():
+    m = token_counts.PrefixTables(vocabulary("byte_bpe_50k.json"))
+    r = random.Random(8)
+    some = [t or "" for t in texts()[:-12]] + ["a  b", " a\n\n b  c ", "  \n x", "\u3000 y z", "don't  'll"] + ["".join(r.choice(" \n\tabthe'rl.1é日<|") for _ in range(r.randint(0, 30))) for _ in range(300)]
+    for t in some:
+        assert m.counts(t).tolist() == m.table(t).tolist(), ascii(t)
+
+
+def test_token_counts_query_stores_every_prefix(spark, tmp_path):
+    from rowledger.llm.queries import op2_token_counts
+
+    spark.createDataFrame([(1, "one two  three"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op2_token_counts(spark, str(tmp_path)).collect()}
+    m = token_counts.PrefixTables(vocabulary("byte_bpe_50k.json"))
+    assert got[1]["prefix_tokens"] == [len(m.ids("one two  three"[:i])) for i in range(15)] and got[2]["prefix_tokens"] == [0]
+
+
 def test_token_counts(docs, empty):
     path = vocabulary("byte_bpe_50k.json")
     out = token_counts.within_budget(token_counts.prefix_counts(docs, path, (512,), with_table=True), 512)
