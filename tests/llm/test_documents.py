@@ -272,6 +272,16 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.align(b, a, 30)[0] == len(a) - 3  # brute force: three words of the template are gone
 
 
+def test_license_scan_names_whole_texts(spark):
+    names = ["MIT-text", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-3.0-notice", "AGPL-3.0-notice", "LGPL-3.0-notice", "Unlicense"]
+    ends = ["dealings in the software", "such damage", "such damage", "performance of this software", "licenses", "licenses", "licenses", "unlicense.org"]
+    for k, e in zip(names, ends, strict=True):
+        assert e in license_scan.TEMPLATES[k][-60:].lower()
+    rows = [(i, "intro here " + license_scan.TEMPLATES[k] + " and an outro") for i, k in enumerate(names)]
+    got = sorted((r["doc_id"], r["license"], r["coverage"], r["first_word"], r["last_word"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(i, k, 1.0, 2, 1 + len(license_scan.TEMPLATES[k].split())) for i, k in enumerate(names)]
+
+
 def test_toxicity(spark, docs, empty):
     r = random.Random(4)
     rows, labels = [], []
