@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,25 +29,43 @@ def table(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def measured_table(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """``table`` and aggregates of its rows, found by the job that writes it; ``rows`` is always among them."""
+    seen = Observation()
+    out = table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in facts.items())), name)
+    return out, seen.get
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``table`` has written and that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     ``nodes`` (id), ``edges`` (src, dst) -> (id, component), the smallest id that
-    links reach. Every round is one aggregation and one join on the node; a node
+    links reach. Every round is one job: two aggregations and two joins on the node; a node
     with very many neighbours is combined before the shuffle (min) and its join
-    may be split. Rounds grow with the logarithm of the longest chain. Links are
+    may be split. Rounds grow with the logarithm of the longest chain; they end when the
+    links' number and sums of hashes stay. Links are
     never collected. Nulls in edges and self links are ignored.
     """
     shared_folder(edges.sparkSession)
+    # sums of two hashes of all links, 48 bits each, which cannot overflow a decimal
+    sums = {f"h{k}": F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(k), "u", "v"), 16).cast("decimal(38,0)")) for k in range(2)}
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
-    e = table(e, "links")
+    e, before = measured_table(e, "links", **sums)
     for _ in range(max_rounds):
-        # settled: every node has one link, to a node that has none
-        n, each = e.agg(F.count("*"), F.count_distinct("u")).first()
-        if n == each and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+        if not before["rows"]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -55,7 +73,11 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         # small star: every node links its lower neighbours to the lowest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = table(small.where("u <> v").distinct(), "links")
+        new, after = measured_table(small.where("u <> v").distinct(), "links", **sums)
+        discard(e)
+        e, settled, before = new, after == before, after
+        if settled:
+            break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(e.groupBy("u").agg(F.min("v").alias("m")), nodes["id"] == F.col("u"), "left").select("id", F.coalesce("m", "id").alias("component"))

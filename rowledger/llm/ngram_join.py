@@ -12,14 +12,15 @@ band. The slack allows for a subset of the segments: frequent contents (common
 passages, empty segments) stay out of the index for every document that can spare
 them, and stay in for the others, so no link is lost.
 
-Candidates are made between sets that differ; equal sets are one node. Each entry's
-nodes are paired with its smallest one first. Exact bounds look at every pair before
-any set is moved: sizes, and parity sketches of about two bits a shingle, whose
-differing bits cannot exceed the differing shingles. Of its leaders that pass, a node
-tries the nearest. Then nodes that this leaves in another component than most of an
-entry are paired with the rest of it; again the nearest of each other component first,
-until no pair that may link lies between two components. Verification is exact on the
-sets; they are shuffled once for each try, large groups salted.
+Candidates are made between sets that differ; equal sets are one node. Exact bounds look
+at every pair before any set is moved: sizes, and parity sketches of about four bits a
+shingle, whose differing bits cannot exceed the differing shingles. The nodes of an entry
+of up to ``FREQUENT`` meet each other there. A longer entry is dealt into blocks, and a
+task that meets two of them gives no more pairs than there are nodes: a forest that spans
+what the bounds leave together, nearest first. Verification is exact on the sets. As most
+of such a forest is true, few pairs are left between components; the blocks of entries
+with several components give those, the nearest of each node and other component first,
+until all that may link have been verified.
 
 Shingles, nodes and index keys are 64-bit hashes. Defined results: null or empty
 texts have no shingles and link with nothing; texts of fewer than ``width`` words
@@ -36,10 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_column, components, shared_folder, table
+from .common import as_column, components, discard, measured_table, shared_folder, table
 
 BLOCK = 256
 RATIO, SCHEMES, SEGMENT_BITS = 1.3, 64, 17
@@ -47,8 +48,8 @@ RATIO, SCHEMES, SEGMENT_BITS = 1.3, 64, 17
 FREQUENT = 16
 #: Nodes up to this number are sent to all tasks (8 bytes each); beyond, Spark joins by a shuffle.
 FEW_NODES = 400_000
-#: Members of a leader that meet in one task.
-GROUP = 256
+#: Members of a leader that meet in one task, and rows of an entry's block.
+GROUP, ROWS = 256, 512
 #: Places of the short sketch that a join condition looks at.
 MINI = 512
 #: Bytes of text that a shingle takes, about, for the number of documents in each band.
@@ -200,8 +201,8 @@ _WORDS = Words()
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parities of the set's hashes over a power of two of places, two for each shingle at least."""
-    places = max(512, 1 << (2 * len(s) - 1).bit_length())
+    """Parities of the set's hashes over a power of two of places, four for each shingle at least."""
+    places = max(512, 1 << (4 * len(s) - 1).bit_length())
     return parities(s, places)
 
 
@@ -235,7 +236,7 @@ def _node(s: np.ndarray) -> int | None:
 
 
 def candidates(found: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
-    """(entry, node, first) of entries with two nodes or more, frequent ones only for nodes that cannot spare them."""
+    """(entry, node, size) of entries with two nodes or more, frequent ones only for nodes that cannot spare them."""
     all_rows = found.where("id is not null").select(F.explode("entries").alias("entry"), "node")
     shared = all_rows.groupBy("entry").agg(F.count("*").alias("rows")).where("rows > 1")
     rows = table(all_rows.join(shared, "entry").distinct(), "entries")
@@ -246,8 +247,10 @@ def candidates(found: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
     spare = lost.groupBy("node", "scheme").agg(F.sum(F.when(F.col("segment") < mine["double"], 2).otherwise(1)).alias("lost")).where(F.col("lost") <= mine["slack"]).select("node", "scheme", F.lit(True).alias("spare"))
     often = rows.where(F.col("rows") > FREQUENT).withColumn("scheme", scheme).join(spare, ["node", "scheme"], "left_anti")
     kept = rows.where(F.col("rows") <= FREQUENT).select("entry", "node").union(often.select("entry", "node"))
-    two = kept.groupBy("entry").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("entry", "first")
-    return table(kept.join(two, "entry"), "kept")
+    two = kept.groupBy("entry").agg(F.count("*").alias("size")).where("size > 1")
+    out = table(kept.join(two, "entry"), "kept")
+    discard(rows)
+    return out
 
 
 def verify(docs: DataFrame, place: DataFrame, pairs: DataFrame, limit: Threshold, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -258,10 +261,10 @@ def verify(docs: DataFrame, place: DataFrame, pairs: DataFrame, limit: Threshold
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     members = pairs.join(sizes, "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     leaders = sizes.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    work = table(leaders.unionByName(members), "pairs")
-    wanted = work.select("node").distinct().join(place, "node").select("id", "node")
-    few = wanted.limit(FEW_NODES + 1).count() <= FEW_NODES
-    some = _texts(docs, id_col, text_col).join(F.broadcast(wanted.select("id")) if few else wanted.select("id"), "id", "left_semi")
+    work, facts = measured_table(leaders.unionByName(members), "pairs")
+    small = facts["rows"] <= FEW_NODES
+    wanted = work.select("node").distinct().join(place, "node").select("id")
+    some = _texts(docs, id_col, text_col).join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WORDS
@@ -289,10 +292,11 @@ def verify(docs: DataFrame, place: DataFrame, pairs: DataFrame, limit: Threshold
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     # a node's set may be wanted by several leaders, and documents with equal sets make it more than once
-    small = work.limit(FEW_NODES + 1).count() <= FEW_NODES
     joined = made.join(F.broadcast(work) if small else work, "node").select("a", "salt", "role", "node", "shingles")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a long, b long").distinct()
+    out = table(joined.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a long, b long").distinct(), "verified")
+    discard(work)
+    return out
 
 
 def near(pairs: DataFrame, facts: DataFrame, limit: Threshold) -> DataFrame:
@@ -314,53 +318,152 @@ def near(pairs: DataFrame, facts: DataFrame, limit: Threshold) -> DataFrame:
     return d.mapInArrow(run, "a long, b long, apart long")
 
 
+def forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
+    """Places of edges (i, j) among ``n`` nodes that connect what all of them connect, short ones first."""
+    order = np.lexsort((j, i, far))
+    i, j, label, out = i[order], j[order], np.arange(n), []
+    while True:
+        a, b = label[i], label[j]
+        left = np.flatnonzero(a != b)
+        if not len(left):
+            return order[np.unique(np.concatenate([np.zeros(0, np.int64), *out]))]
+        best = np.full(n, len(i))
+        np.minimum.at(best, a[left], left)
+        np.minimum.at(best, b[left], left)
+        took = np.unique(best[best < len(i)])
+        out.append(took)
+        # the edges are in one order, so what each label takes has no cycles
+        while len(took):
+            x, y = label[i[took]], label[j[took]]
+            took = took[x != y]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label != label[label]).any():
+                label = label[label]
+
+
+def met(limit: Threshold, n: np.ndarray, sketches: list[bytes], side: np.ndarray, both_sides: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, apart) of the pairs of a block, or of one from either side of two, that sizes and sketches allow to link."""
+    out = [(np.zeros(0, np.int64),) * 3]
+    lengths = np.array([len(x) for x in sketches])
+    groups = [(w, np.flatnonzero(lengths == w)) for w in np.unique(lengths)]
+    for w, p in groups:
+        for v, q in groups:
+            if v < w:
+                continue
+            x = np.frombuffer(b"".join(sketches[k] for k in p), np.uint64).reshape(len(p), -1)
+            y = np.frombuffer(b"".join(sketches[k] for k in q), np.uint64).reshape(len(q), -1)
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            step = max(1, (1 << 20) // max(1, y.size))
+            for at in range(0, len(p), step):
+                i, part = p[at : at + step], x[at : at + step]
+                d = np.bitwise_count(part[:, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                total = n[i][:, None] + n[q][None, :]
+                both = np.minimum((total - d) // 2, np.minimum(n[i][:, None], n[q][None, :]))
+                ok = limit.den * both >= limit.num * (total - both)
+                ok &= side[i][:, None] != side[q][None, :] if both_sides else True
+                if v == w:
+                    ok &= i[:, None] < q[None, :]
+                a, b = np.nonzero(ok)
+                out.append((i[a], q[b], d[a, b]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, component: np.ndarray, deal: int) -> tuple[np.ndarray, bool]:
+    """Places of the ``deal`` shortest edges of each node and other component, and whether these are not all."""
+    cross = np.flatnonzero(component[i] != component[j])
+    rank = np.full(len(cross), len(cross))
+    for a, b in ((i[cross], j[cross]), (j[cross], i[cross])):
+        order = np.lexsort((b, far[cross], component[b], a))
+        key = np.stack([a[order], component[b[order]]])
+        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]) if len(order) else np.zeros(0, np.int64)
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        rank[order] = np.minimum(rank[order], place)
+    return cross[rank < deal], bool((rank >= deal).any())
+
+
+def blocks(rows: DataFrame, limit: Threshold, deal: int) -> DataFrame:
+    """(a, b, more) from long entries. ``rows``: (entry, node, size, n, sketch, component). Without ``deal``, a forest of each pair of
+    blocks; with it, pairs between components."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("size") / ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("entry", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "n", "sketch", "component")
+
+    def pairs(group: list[tuple]) -> tuple[list[int], list[int], list[bool]]:
+        _, lo, hi, own, node, n, sketches, component = zip(*group, strict=True)
+        i, j, far = met(limit, np.array(n, np.int64), list(sketches), np.array(own), lo[0] != hi[0])
+        node, component = np.array(node, np.int64), np.array(component, np.int64)
+        at, more = nearest(i, j, far, component, deal) if deal else (forest(i, j, far, len(node)), False)
+        a, b = np.maximum(node[i[at]], node[j[at]]), np.minimum(node[i[at]], node[j[at]])
+        return a.tolist(), b.tolist(), [more] * len(a)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        out: tuple[list, list, list] = ([], [], [])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                for c, x in zip(out, pairs(held), strict=True):
+                    c.extend(x)
+            if len(out[0]) > 10_000 or key is None:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["a", "b", "more"])
+                for c in out:
+                    c.clear()
+            held.clear()
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:3] != key:
+                    yield from flush() if key else ()
+                    key = r[:3]
+                held.append(r)
+        if key:
+            key = None
+            yield from flush()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "entry", "lo", "hi").sortWithinPartitions("entry", "lo", "hi").mapInArrow(run, "a long, b long, more boolean")
+
+
 def links(docs: DataFrame, found: DataFrame, limit: Threshold, plan: list[tuple[int, int, int]], width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(src, dst) between nodes: enough verified links to connect every component of the exact link graph.
 
     ``found`` is the table that ``sets`` gives."""
-    place = found.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini"))
     kept = candidates(found, plan)
+    place = found.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini"))
     place = table(place.join(kept.select("node").distinct(), "node", "left_semi"), "places")
-    facts, nodes, args = place.select("node", "n", "sketch"), place.select(F.col("node").alias("id")), (limit, width, id_col, text_col)
-
-    def named(edges: DataFrame) -> DataFrame:
-        return table(components(nodes, edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), "component"), "names")
-
-    def settle(left: DataFrame, one: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Tries pairs that lie between two components, the nearest for each node and other component first, then four times as many, until none is left."""
-        deal, label = 1, lambda c: names.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-        while True:
-            cross = left.join(label("a"), "a").join(label("b"), "b").where("c_a <> c_b")
-            ranked = cross.withColumn("r", F.row_number().over(Window.partitionBy("b", "c_a").orderBy("apart", "a")))
-            ranked = table(ranked.select("a", "b", "apart", "r"), "cross")
-            now = ranked.where(F.col("r") <= deal).select("a", "b")
-            if now.isEmpty():
-                return one, names
-            one = table(one.union(verify(docs, place, now, *args)), "links")
-            names = named(one)
-            left, deal = ranked.where(F.col("r") > deal).select("a", "b", "apart"), deal * 4
-
-    firsts = table(near(kept.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), facts, limit), "firsts")
-    tries = firsts.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
-    one = table(verify(docs, place, tries, *args), "links")
-    one, names = settle(firsts.join(tries, ["a", "b"], "left_anti"), one, named(one))
-
-    # what is left: nodes outside the component that most of an entry belongs to
-    here = kept.select("entry", "node").join(names, "node")
-    several = here.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("entry")
-    rest = table(here.join(several, "entry").join(place.select("node", "n", "mini"), "node"), "rest")
-    most = rest.groupBy("entry", "component").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
-    minor = rest.join(most, "entry").where("component <> most").select("entry", F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n").alias("yn"), F.col("mini").alias("ym"), "most")
-    # two nodes outside it meet once, one outside and one inside once
-    once = (F.col("component") == F.col("most")) | (F.col("node") < F.col("y"))
-    d = sum((F.bit_count(F.get("mini", F.lit(i)).bitwiseXOR(F.get("ym", F.lit(i)))) for i in range(MINI // 64)), F.lit(0))
-    small, large = F.least("n", "yn"), F.greatest("n", "yn")
+    facts, args = place.select("node", "n", "sketch"), (limit, width, id_col, text_col)
+
+    # short entries: at most FREQUENT nodes, each pair told once
+    few = kept.where(F.col("size") <= FREQUENT).join(place.select("node", "n", "mini"), "node").select("entry", "node", "n", "mini")
+    x, y = few.alias("x"), few.alias("y")
+    d = sum((F.bit_count(F.get("x.mini", F.lit(i)).bitwiseXOR(F.get("y.mini", F.lit(i)))) for i in range(MINI // 64)), F.lit(0))
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     may = (small * limit.den >= large * limit.num) & (d * (limit.den + limit.num) <= (small + large) * (limit.den - limit.num))
-    met = rest.join(minor, "entry").where((F.col("component") != F.col("yc")) & once & may)
-    pairs = met.select(F.greatest("y", "node").alias("a"), F.least("y", "node").alias("b")).distinct()
-    known = firsts.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    left = table(near(pairs.join(known, ["a", "b"], "left_anti"), facts, limit), "left")
-    return settle(left, one, names)[0].select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    close = x.join(y, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.node") > F.col("y.node")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    close = near(close, facts, limit).select("a", "b")
+
+    # long entries: a forest first
+    many = kept.where(F.col("size") > FREQUENT)
+    long_rows, size = measured_table(many.join(facts, "node").select("entry", "node", "size", "n", "sketch"), "long")
+    grown = blocks(long_rows.withColumn("component", F.col("node")), limit, 0).select("a", "b")
+    tried = table(close.union(grown).distinct() if size["rows"] else close, "tried")
+    one = verify(docs, place, tried, *args)
+    deal = 4
+    while size["rows"]:
+        names = components(place.select(F.col("node").alias("id")), one.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), "component")
+        here = long_rows.join(names, "node")
+        several = here.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("entry")
+        between, seen = measured_table(blocks(here.join(several, "entry"), limit, deal).groupBy("a", "b").agg(F.max("more").alias("more")), "between", more=F.max("more"))
+        new, left = measured_table(between.select("a", "b").join(tried, ["a", "b"], "left_anti"), "new")
+        discard(between)
+        if left["rows"]:
+            true = verify(docs, place, new, *args)
+            one, tried = one.union(true), tried.union(new)
+        if not seen["more"]:
+            break
+        deal *= 4
+    return one.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def classes(docs: DataFrame, num: int = 85, den: int = 100, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -393,6 +496,5 @@ def representatives(docs: DataFrame, num: int = 85, den: int = 100, width: int =
     best = out.where("c is not null").groupBy("c").agg(F.min(order)["r"].alias("keep"), F.count("*").alias("rows")).where("rows > 1").select("c", "keep")
     first = out.where("c is null and id is not null").groupBy("id").agg(F.min("r").alias("keep"), F.count("*").alias("rows")).where("rows > 1").select("id", "keep")
     gone = out.where("c is not null").join(best, "c").where("r <> keep").select("r").union(out.where("c is null").join(first, "id").where("r <> keep").select("r"))
-    gone = table(gone, "gone")
-    few = gone.limit(FEW_NODES + 1).count() <= FEW_NODES
-    return keyed.join(F.broadcast(gone) if few else gone, F.col(row) == F.col("r"), "left_anti").drop(row)
+    gone, size = measured_table(gone.withColumnRenamed("r", row), "gone")
+    return keyed.join(F.broadcast(gone) if size["rows"] <= FEW_NODES else gone, row, "left_anti").drop(row)

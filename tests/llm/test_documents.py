@@ -182,6 +182,50 @@ def test_ngram_join_is_brute_force(docs, empty, num):
     assert kept == {i for i in s if root(i) == i} | {None}
 
 
+def test_ngram_join_of_a_large_group_near_the_threshold(spark, monkeypatch):
+    """Many copies with a few edits each, most pairs of which just miss the threshold, and texts that share one passage."""
+    monkeypatch.setattr(ngram_join, "ROWS", 16)
+    r = random.Random(2)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for i in range(110):
+        w = list(base)
+        for k in r.sample(range(4, 86), r.choice((1, 1, 2, 2, 3))):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join([*base[:30], *(f"p{i}q{k}" for k in range(20))])) for i in range(60)]
+    parent, s = {i: i for i, _ in rows}, {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in rows}
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for i in s:
+        for j in s:
+            if i < j and 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in s} and 2 < len(set(map(root, range(110)))) < 100
+
+
+@pytest.mark.parametrize("deal", [1, 2, 50])
+def test_blocks_lose_no_pair_between_components(deal):
+    r = np.random.default_rng(4)
+    i, j = np.nonzero(np.triu(r.random((40, 40)) < 0.4, 1))
+    far, names = r.integers(0, 9, len(i)), r.integers(0, 5, 40)
+    label = np.arange(40)
+    for k in ngram_join.forest(i, j, far, 40):
+        assert label[i[k]] != label[j[k]]
+        label[label == label[j[k]]] = label[i[k]]
+    assert len(set(label)) == 1 and len(ngram_join.forest(i, j, far, 40)) == 39
+    at, more = ngram_join.nearest(i, j, far, names, deal)
+    cross = set(np.flatnonzero(names[i] != names[j]))
+    assert set(at) <= cross and more == (set(at) != cross)
+    for node in range(40):
+        for other in set(names) - {names[node]}:
+            mine = sorted(int(far[k]) for k in cross if node in (i[k], j[k]) and names[i[k] if j[k] == node else j[k]] == other)
+            assert sorted(int(far[k]) for k in at if node in (i[k], j[k]) and names[i[k] if j[k] == node else j[k]] == other)[: min(deal, len(mine))] == mine[:deal]
+
+
 def test_ngram_join_indexes_rows_with_ids(spark):
     w = [f"w{k}" for k in range(120)]
     a, b, c = " ".join(w), " ".join([*w[:-1], "tail"]), " ".join(["head", *w[1:]])
