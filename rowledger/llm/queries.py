@@ -74,18 +74,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return found
 
 
-#: The mix in SQL: sources, level, digest order and cut.
+#: The mix in SQL: sources, levels, whole copies, Pareto ranks and cut.
 _MIX = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
   (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u FROM documents),
+m AS (SELECT *, length(ltrim(bin(size), '0')) + CAST(size = 0 AS INT) AS x FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM s),
 l AS (SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(source_size * CAST(3 AS DOUBLE)) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM w WINDOW b AS (ORDER BY source_size * CAST(3 AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, least(source_size * CAST(3 AS DOUBLE), max(level) OVER () * w) AS target FROM l),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS due FROM t),
-r AS (SELECT d.doc_id, d.size, d.u, q.source, q.source_size, q.target, floor(due) AS whole, due - floor(due) AS p, target - floor(due) * source_size AS rest FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM r)
+c AS (SELECT source, x, CAST(sum(size) AS DOUBLE) AS words FROM m GROUP BY source, x),
+e AS (SELECT c.*, t.source_size, t.target, sum(x * words) OVER (PARTITION BY c.source) - coalesce(sum(x * words) OVER b, 0) AS open, t.target - coalesce(sum(words * CAST(3 AS DOUBLE)) OVER b, 0) AS due_words
+  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WINDOW b AS (PARTITION BY c.source ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, least(CAST(3 AS DOUBLE), coalesce(max(CASE WHEN open > 0 THEN due_words / open END) OVER (PARTITION BY source), 0) * x) AS due FROM e),
+g AS (SELECT *, floor(due) AS whole, due - floor(due) AS p, target - sum(floor(due) * words) OVER (PARTITION BY source) AS rest FROM f),
+r AS (SELECT m.doc_id, m.size, g.*, (u / (1 - u)) / (p / (1 - p)) AS pareto FROM m JOIN g ON m.source IS NOT DISTINCT FROM g.source AND m.x = g.x),
+o AS (SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY p > 0 DESC, pareto, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM r)
 SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN p > 0 AND upto - size / 2 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o
 """
 

@@ -67,9 +67,8 @@ def test_counts_at_every_prefix():
     for t in some:
         want = [len(m.ids(t[:i])) for i in range(len(t) + 1)]
         assert m.table(t).tolist() == want, ascii(t)
-        sums = np.cumsum(m.values(t))
         for budget in (0, 1, 3, 5):
-            assert m.cut(t, sums, budget) == max(i for i, c in enumerate(want) if c <= budget)
+            assert m.cut(m.counts(t), budget) == max(i for i, c in enumerate(want) if c <= budget)
 
 
 def test_stored_counts_are_the_tables():
@@ -80,6 +79,13 @@ def test_stored_counts_are_the_tables():
         assert m.counts(t).tolist() == m.table(t).tolist(), ascii(t)
 
 
+def test_counts_come_from_the_tables_alone(monkeypatch):
+    m = token_counts.PrefixTables(vocabulary("byte_bpe_50k.json"))
+    want = [len(m.ids(t or "")) for t in texts()]
+    monkeypatch.setattr(m, "tokenizer", None)  # no whole text is encoded
+    assert [int(m.counts(t or "")[-1]) for t in texts()] == want
+
+
 def test_token_counts_query_stores_every_prefix(spark, tmp_path):
     from rowledger.llm.queries import op2_token_counts
 
@@ -304,6 +310,38 @@ def test_mixing(spark, docs, empty):
     assert {r["doc_id"]: r["copies"] for r in rows if r["copies"] and r["doc_id"] != 12} == {k: v for k, v in copies.items() if k != 12}
 
 
+def test_mixing_takes_equal_rows_one_by_one(spark):
+    text = " ".join(["w"] * 10)
+    rows = [(1, text, "a")] * 50 + [(None, text, None)] * 40 + [(k, " ".join(["x"] * 7), "b") for k in range(30)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), (1.0, 2.0, 1.0)).collect()
+    for name in ("a", "b", None):
+        own = [r for r in out if r["source"] == name]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= own[0]["size"] / 2 and max(r["copies"] for r in own) <= 3
+
+
+def test_mixing_ranks_by_pareto(spark):
+    """Inclusion probabilities grow with the size, so the order is not that of the random numbers alone."""
+    r = random.Random(6)
+    rows = [(k, " ".join(["w"] * r.choice((1, 3, 9, 40, 200, 1000))), "ab"[k % 2]) for k in range(600)]
+    d = mixing.measured(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    plan = mixing.mix_plan(d, (1.0, 3.0))
+    got = [x.asDict() for x in mixing.with_copies(d, plan).collect()]
+    for name in "ab":
+        own = [x for x in got if x["source"] == name]
+        p = {x["x"]: x["whole"] + x["p"] for x in own}
+        assert sorted(p.values()) == [p[k] for k in sorted(p)] and len(set(p.values())) > 3
+        assert sum(p[x["x"]] * x["size"] for x in own) == pytest.approx(own[0]["target"])
+        open_ = [x for x in own if x["p"] > 0]
+        order = sorted(open_, key=lambda x: (x["u"] / (1 - x["u"]) / (x["p"] / (1 - x["p"])), x["id"]))
+        at, taken = 0, set()
+        for x in order:
+            if at + x["size"] / 2 <= x["rest"]:
+                taken.add(x["id"])
+            at += x["size"]
+        assert {x["id"] for x in open_ if x["copies"] > x["whole"]} == taken
+        assert taken != {x["id"] for x in sorted(open_, key=lambda x: x["u"])[: len(taken)]}
+
+
 def test_license_scan(spark, docs, empty):
     got = {(r["doc_id"], r["license"]) for r in license_scan.scan(docs).collect()}
     assert got == {(22, "MIT"), (23, "MIT")} and license_scan.scan(empty).count() == 0 and license_scan.scan(docs, {}).count() == 0
