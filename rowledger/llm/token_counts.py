@@ -18,6 +18,7 @@ library's default has it.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,52 +27,75 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_PIECES, ByteBpe, memo
+from .common import PLAIN, BYTE_PIECES, ByteBpe, memo
 
 BLOCK = 64
 _SPACE, _TAIL = regex.compile(r"\s*"), regex.compile(r"\s*$")
+#: Two white-space signs in a row, one of them a space: what is a piece then depends on where a prefix ends.
+_RUNS = re.compile(r" \s|\s ")
+_DOUBLE = re.compile(r"\s\s")
 
 
 class PrefixTables(ByteBpe):
-    """Tables of counts at every prefix: of pieces, of chunks and of whole texts."""
+    """Tables of counts at every prefix: of pieces, of chunks and of whole texts. The memo's values are the steps from
+    one count to the next, 16 bits for each character."""
 
     def __init__(self, path: str, limit: int = 250_000):
-        super().__init__(path, len, 0, limit)
+        super().__init__(path, None, b"", limit)
         self.vocab = set(self.tokenizer.get_vocab())
-        self.longest = max(map(len, self.vocab))
+        #: the longest entry that ends with these two letters
+        self.reach: dict[str, int] = {}
+        for token in self.vocab:
+            self.reach[token[-2:]] = max(len(token), self.reach.get(token[-2:], 1))
         self.fits: dict[tuple[str, str], bool] = {}
-        self.tables: dict[str, list[int]] = {}
+        self.prefixes: dict[str, tuple[int, str]] = {}
         self.steps: dict[tuple[str, str], np.ndarray] = {}
 
     def stands(self, last: str, token: str) -> bool:
         """Whether ``last`` and ``token`` stay two tokens when they meet."""
         key = (last, token)
-        if key not in self.fits:
+        v = self.fits.get(key)
+        if v is None:
             if len(self.fits) > self.limit:
                 self.fits.clear()
-            self.fits[key] = [t.value for t in self.model.tokenize(last + token)] == ([last, token] if last else [token])
-        return self.fits[key]
+            v = self.fits[key] = [t.value for t in self.model.tokenize(last + token)] == ([last, token] if last else [token])
+        return v
 
     def piece(self, text: str) -> list[int]:
-        """Counts at each character prefix of one pre-token, the empty one first."""
-        if (t := self.tables.get(text)) is not None:
-            return t
+        """Counts at each character prefix of one pre-token, the empty one first. What a prefix has is kept for all pre-tokens that begin so."""
         s = self.written(text)
-        count, last = [0] * (len(s) + 1), [""] * (len(s) + 1)
+        count, last, known = [0], [""], self.prefixes
         for i in range(1, len(s) + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = s[j:i]
-                if token in self.vocab and (self.stands(last[j], token) if j else self.alone(token)):
-                    count[i], last[i] = count[j] + 1, token
-                    break
+            head = s[:i]
+            found = known.get(head)
+            if found is None:
+                for j in range(max(0, i - self.reach.get(head[-2:], 1)), i):
+                    token = s[j:i]
+                    if token in self.vocab and (self.stands(last[j], token) if j else len(token) == 1 or self.stands("", token)):
+                        break
+                if len(known) > 2 * self.limit:
+                    known.clear()
+                found = known[head] = (count[j] + 1, token)
+            count.append(found[0])
+            last.append(found[1])
+        if len(s) == len(text):
+            return count
         ends = np.cumsum([0, *(len(c.encode()) for c in text)])
-        if len(self.tables) > self.limit:
-            self.tables.clear()
-        t = self.tables[text] = [count[e] for e in ends]
-        return t
+        return [count[e] for e in ends]
+
+    def begun(self, piece: str) -> list[int]:
+        """The counts of a piece within a text: a contraction that has begun is still a sign and a letter."""
+        t = self.piece(piece)
+        return [0, 1, 2, t[3]] if piece[0] == "'" and len(piece) == 3 and piece[1].isalpha() else t
+
+    def piece_value(self, piece: str) -> bytes:
+        t = self.begun(piece)
+        return array("h", [b - a for a, b in zip(t, t[1:], strict=False)]).tobytes()
 
-    def alone(self, token: str) -> bool:
-        return self.stands("", token) if len(token) > 1 else True
+    def chunk(self, text: str) -> bytes:
+        if PLAIN.fullmatch(text) and not _DOUBLE.search(text):
+            return super().chunk(text)
+        return np.diff(self.table(text)).astype(np.int16).tobytes()
 
     def table(self, text: str) -> np.ndarray:
         """Counts at each character prefix of a text: len(text) + 1 numbers. A special string is one token once it is complete;
@@ -95,9 +119,7 @@ class PrefixTables(ByteBpe):
         out, base, run, at_run = [0], 0, "", 0
         for m in BYTE_PIECES.finditer(text):
             piece = m[0]
-            t = self.piece(piece)
-            if piece[0] == "'" and len(piece) == 3 and piece[1].isalpha():  # a contraction that has begun is still a sign and a letter
-                t = [0, 1, 2, t[3]]
+            t = self.begun(piece)
             inner = [base + c for c in t[1:]]
             lead = _SPACE.match(piece).end()
             if run and lead:  # a prefix that ends in white space ends in one piece of it
@@ -111,17 +133,10 @@ class PrefixTables(ByteBpe):
             base += t[-1]
         return out
 
-    def cut(self, text: str, sums: np.ndarray, budget: int) -> int:
-        """Characters of the longest prefix that has no more than ``budget`` tokens; ``sums``: the counts at its chunks' ends."""
-        if not len(sums) or sums[-1] <= budget:
-            return len(text)
-        chunks = self.chunks(text)
-        k = int(np.searchsorted(sums, budget, side="right"))
-        before = chunks[k - 1] if k else ""
-        tail = _TAIL.search(before)[0]
-        inner = self.table(tail + chunks[k])[len(tail) :]
-        base = (int(sums[k - 1]) if k else 0) - (int(self.table(tail)[-1]) if tail else 0)
-        return sum(map(len, chunks[:k])) + int(np.flatnonzero(inner + base <= budget).max(initial=0))
+    @staticmethod
+    def cut(counts: np.ndarray, budget: int) -> int:
+        """Characters of the longest prefix that has no more than ``budget`` tokens, from a text's table."""
+        return int(np.flatnonzero(counts <= budget).max(initial=0))
 
     def step(self, tail: str, chunk: str) -> np.ndarray:
         """Counts at each character of a chunk beyond those before it; ``tail``: the white space that it follows, if any."""
@@ -138,6 +153,10 @@ class PrefixTables(ByteBpe):
         """The same as ``table``, from the tables of the text's chunks."""
         if not text or self.whole(text):
             return self.table(text).astype(np.int32)
+        if text[-1] != " " and not _RUNS.search(text):  # no chunk's table depends on what is before it
+            out = np.zeros(len(text) + 1, np.int32)
+            np.cumsum(np.frombuffer(b"".join(self.values(text)), np.int16), out=out[1:])
+            return out
         chunks, tail, made = self.chunks(text), "", []
         for c in chunks:
             made.append(self.step(tail, c))
@@ -163,7 +182,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, budgets: tuple[int, ...] = (5
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 made = [tables.counts(t) for t in texts]
                 cols = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([int(t[-1]) for t in made], pa.int64())]
-                cols += [pa.array([int(np.flatnonzero(t <= b).max(initial=0)) for t in made], pa.int64()) for b in budgets]
+                cols += [pa.array([tables.cut(t, b) for t in made], pa.int64()) for b in budgets]
                 if with_table:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(np.concatenate(made))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["id", *names])
