@@ -95,9 +95,10 @@ def as_column(names: list[str], base: str) -> str:
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACED = re.compile(r" \s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
+_LINES = re.compile(r"\S+(?:\n\S+)+")
 #: Signs whose classes and lower case are the same everywhere: up to U+024F, without the dotted capital I,
 #: number signs that are no digits, odd separators, and what special strings begin with.
-_PLAIN = re.compile("[\x00-\x1b !-;=-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]*")
+PLAIN = re.compile("[\x00-\x1b !-;=-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]*")
 #: The pre-tokenizer patterns of the two kinds of vocabulary, and what they are for plain signs.
 BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PLAIN_BYTE_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -117,9 +118,9 @@ class ByteBpe(dict):
 
     A text is cut before each space that a non-space follows. The pre-tokenizer
     of byte-level BPE begins a new piece exactly there and looks no further than
-    one sign ahead, so the ids of the text are those of its chunks in a row. Of a
-    chunk that is met first, the pieces are looked up in turn; the library's model
-    encodes each piece once. Texts with special strings or odd separators and chunks
+    one sign ahead, so the ids of the text are those of its chunks in a row. A single
+    line end between non-spaces is such a place too. Of a chunk that is met first, the
+    pieces are looked up in turn; the library's model encodes each piece once. Texts with special strings or odd separators and chunks
     with rare signs are left to the whole tokenizer. ``limit`` bounds the entries of
     either memo; a full one starts anew. ``value`` makes bytes or a count of a list of
     ids, and ``empty`` is that of none.
@@ -127,7 +128,7 @@ class ByteBpe(dict):
 
     plain_pieces = _PLAIN_BYTE_PIECES
 
-    def __init__(self, path: str, value, empty, limit: int = 250_000):
+    def __init__(self, path: str, value, empty, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -145,19 +146,34 @@ class ByteBpe(dict):
 
     def chunk(self, text: str):
         """The value of a text that is met as a whole."""
-        if not _PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text):
             return self.value(self.ids(text))
-        out, known = self.empty, self.known
-        for piece in self.plain_pieces.findall(text):
-            v = known.get(piece)
-            if v is None:
-                if len(known) > 2 * self.limit:
-                    known.clear()
-                v = known[piece] = self.value([t.id for t in self.model.tokenize(self.written(piece))])
-            out += v
+        pieces = self.plain_pieces.findall(text)
+        if len(pieces) == 1:  # kept as a chunk
+            return self.piece_value(pieces[0])
+        out = self.empty
+        for piece in pieces:
+            out += self.kept(piece, self.piece_value)
         return out
 
+    def piece_value(self, piece: str):
+        return self.value([t.id for t in self.model.tokenize(self.written(piece))])
+
+    def kept(self, text: str, make):
+        v = self.known.get(text)
+        if v is None:
+            if len(self.known) > self.limit:
+                self.known.clear()
+            v = self.known[text] = make(text)
+        return v
+
     def __missing__(self, word: str):
+        if "\n" in word and _LINES.fullmatch(word):
+            first, *rest = word.split("\n")
+            v = self[first]
+            for line in rest:
+                v += self.kept("\n" + line, self.chunk)
+            return v
         if len(self) > self.limit:
             self.clear()
         v = self[word] = self.chunk(" " + word)
@@ -194,7 +210,7 @@ class WordBpe(ByteBpe):
         if len(self) > self.limit:
             self.clear()
         text = word.decode()
-        v = self[word] = self.chunk(text.lower() if _PLAIN.fullmatch(text) else text)
+        v = self[word] = self.chunk(text.lower() if PLAIN.fullmatch(text) else text)
         return v
 
 
