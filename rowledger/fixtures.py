@@ -35,16 +35,24 @@ VIEWS = {
  cast(case when c_custkey % 5 = 0 then c_acctbal - 10 else c_acctbal end as decimal(18,2)) as c_acctbal,
  case when c_custkey % 7 in (1,2) or c_custkey % 5 = 0 then 1 else 0 end as row_version from cust_v0 where c_custkey % 41 <> 0""",
     "json_pairs": """select event_id, props as before_j, case when event_id % 3 = 0 then replace(props,'}', ', "a": {"x": 1, "y": [1,2]}}') when event_id % 3 = 1 then '{"z": 0, ' || substr(props,2) else replace(props,' ','') end as after_j from events""",
-    "xfer_v0": "select c_custkey as id, cast(c_acctbal as decimal(18,2)) as balance from customer where c_custkey < 100",
+    "xfer_v0": "select c_custkey as id, cast(c_acctbal as decimal(18,2)) as balance from customer",
     "xfer_v1": "select id, cast(case when id % 10 = 0 then balance - 40 when id % 10 = 1 then balance + 40 else balance end as decimal(18,2)) as balance from xfer_v0",
     "responses": """select event_id as step_no, case event_type when 'error' then 500 when 'signup' then 201 else 200 end as status, '{"id": ' || cast(user_id as string) || ', "meta": ' || props || '}' as body from events""",
-    "series_steps": "select distinct event_id - event_id % 25 as step_no from events",
-    "series_obs": "select event_id - event_id % 25 as step_no, user_id as id, cast(value as decimal(12,2)) as v from events where user_id < 5",
+    "series_steps": "select distinct event_id % 128 as step_no from events",
+    "series_obs": "select event_id % 128 as step_no, user_id as id, cast(value as decimal(12,2)) as v from events where event_type <> 'error'",
     "runs": """select conv_id as run_id, conv_id % 5 as scenario_id, turn as step_no, role,
  case when (conv_id * 7 + turn * 3) % 29 = 0 then 'errored' when (conv_id * 7 + turn * 3) % 31 = 1 then 'skipped' else 'passed' end as step_status,
  case when (conv_id * 5 + turn) % 17 = 0 then 'failed' when (conv_id * 5 + turn) % 19 = 1 then 'unevaluable' when (conv_id * 5 + turn) % 23 = 2 then 'passed-as-refused' else 'passed' end as a_status,
  case when (conv_id + turn) % 37 = 0 then 'scope-truncated' when (conv_id + turn) % 11 = 0 then 'degraded-row-identity' end as w_code from conversations""",
-    "features": "select * from (values ('a1','orders','o_totalprice','read'),('a2','ordres','o_totalprice','read'),('a3','orders','o_totalprise','match'),('a4','lineitem','*','select'),('a5','custmoer','c_acctbal','read')) as t(assertion_id,table_name,column_name,use_kind)",
+    "features": """select cast(conv_id * 100 + turn as string) as assertion_id, 0 as ordinal, case (conv_id + turn) % 7 when 1 then 'ordres' when 2 then 'lineitem' when 3 then 'custmoer' when 4 then 'customer' when 6 then '*' else 'orders' end as table_name,
+ case when turn % 4 > 1 then '*' when (conv_id + turn) % 5 = 0 then 'o_totalprise' when (conv_id + turn) % 5 = 1 then 'c_acctbal' when (conv_id + turn) % 5 = 2 then 'l_quantity' else 'o_totalprice' end as column_name,
+ case turn % 4 when 0 then 'read' when 1 then 'match' when 2 then 'select' else 'except' end as use_kind,
+ case conv_id % 4 when 0 then 'count' when 1 then 'hasWrite' when 2 then 'atomic' else 'sum' end as question, case conv_id % 3 when 0 then 'deleted' when 1 then 'changes' else 'inserted' end as selector_kind from conversations""",
+    "log_pairs": """select event_id as sequence, event_id - event_id % 4 as transaction_id, '0/' || hex(event_id) as lsn, event_id as place, case when event_id % 4 = 3 and event_id % 40 <> 39 then true else false end as is_commit from events""",
+    "log_kinds": """select event_id as sequence, 'table "pub""lic"."we""ird": INSERT: id[bigint]:' || cast(event_id as string) || ' ok[boolean]:' || case event_id % 2 when 0 then 'true' else 'false' end || ' bits[bit]:B''10''' ||
+ ' left[text]:unchanged-toast-datum none[text]:null say[text]:''it''''s ' || event_type || '''' as line from events""",
+    "fine_v0": "select event_id as id, cast(value as decimal(30,10)) as x from events",
+    "fine_v1": "select event_id as id, cast(cast(value as decimal(30,10)) + 0.0000000001 as decimal(30,10)) as x from events where event_id % 3 <> 0",
 }
 
 

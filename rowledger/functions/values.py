@@ -6,9 +6,11 @@ native values. Whether an assertion holds is ``eq_typed``, by the declared type.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,19 +43,43 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
 
-def minus(a: Column, b: Column, scale: int) -> Column:
-    """Exact difference with the scale kept; NULL on overflow."""
-    return F.try_subtract(a, b).cast(T.DecimalType(DIGITS, scale))
+def plus(a: Column, b: Column, scale: int) -> Column:
+    """Exact sum with the scale kept; NULL on overflow. Spark keeps all digits of terms of 37; longer ones are added as whole and fraction."""
+    t = T.DecimalType(DIGITS, scale)
+    if scale == 0:
+        return F.try_add(a.cast(t), b.cast(t)).cast(t)
+    short = T.DecimalType(DIGITS - 1, scale).simpleString()
+    x, y = a.cast(t), b.cast(t)
+    # of the fractions, which are not negative, one may be carried
+    part = lambda v: F.pmod(v, F.lit(1).cast("decimal(1,0)")).cast(T.DecimalType(scale + 1, scale))
+    fraction = part(x) + part(y)
+    carry = F.when(fraction >= 1, 1).otherwise(0)
+    whole, left = F.try_add(F.try_add(F.floor(x), F.floor(y)), carry), (fraction - carry).cast(T.DecimalType(scale + 1, scale))
+    back = (whole < 0) & (left > 0)
+    number = lambda w, f: F.concat(w.cast("string"), F.substring(f.cast("string"), -scale - 1, scale + 1)).try_cast(t)
+    one = F.lit(1).cast(T.DecimalType(scale + 1, scale))
+    long = F.when(back, F.when(whole == -1, F.concat(F.lit("-"), (one - left).cast(T.DecimalType(scale + 1, scale)).cast("string")).try_cast(t)).otherwise(number(whole + 1, (one - left).cast(T.DecimalType(scale + 1, scale))))).otherwise(number(whole, left))
+    return F.coalesce(F.try_add(x.try_cast(short), y.try_cast(short)).cast(t), long)
 
 
-def plus(a: Column, b: Column, scale: int) -> Column:
-    return F.try_add(a, b).cast(T.DecimalType(DIGITS, scale))
+def minus(a: Column, b: Column, scale: int) -> Column:
+    """Exact difference with the scale kept; NULL on overflow."""
+    return plus(a, -b, scale)
 
 
 def negate(a: Column) -> Column:
     return -a
 
 
+def digits_of(text: Column) -> Column:
+    """A decimal of any length as (negative, whole digits, whole, fraction), equal for equal numbers and ordered by size; NULL if it is none."""
+    t = F.trim(text.cast("string"))
+    whole = F.regexp_replace(F.regexp_extract(t, r"^[+-]?0*(\d*)", 1), "^0+", "")
+    fraction = F.regexp_replace(F.regexp_extract(t, r"\.(\d*)$", 1), "0+$", "")
+    nothing = (whole == "") & (fraction == "")
+    return F.when(t.rlike(DECIMAL_TEXT), F.struct((t.startswith("-") & ~nothing).alias("negative"), F.length(whole).alias("n"), whole.alias("whole"), fraction.alias("fraction")))
+
+
 def boolean_of(text: Column) -> Column:
     t = F.lower(F.trim(text.cast("string")))
     return F.when(t.isin("t", "true"), True).when(t.isin("f", "false"), False)
@@ -76,7 +102,7 @@ def eq_typed(a: Column, b: Column, kind: str) -> Column:
         x, y = canonical_json(sa), canonical_json(sb)
         same = F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(text)
     elif kind in NUMBERS:
-        x, y = decimal_of(a), decimal_of(b)
+        x, y = digits_of(a), digits_of(b)
         same = F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(text)
     elif kind == "citext":
         same = F.lower(sa) == F.lower(sb)
@@ -86,9 +112,12 @@ def eq_typed(a: Column, b: Column, kind: str) -> Column:
 
 
 def compare_numbers(a: Column, b: Column, op: str) -> Column:
-    """< <= > >= by decimal value; NULL (not decidable) if either is no decimal."""
-    x, y = decimal_of(a), decimal_of(b)
-    return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+    """< <= > >= by decimal value, digit by digit, so any length is exact; NULL (not decidable) if either is no decimal."""
+    x, y = digits_of(a), digits_of(b)
+    size = lambda v: F.struct(v["n"], v["whole"], v["fraction"])
+    below = lambda p, q: F.when(p["negative"] != q["negative"], p["negative"]).when(p["negative"], size(q) < size(p)).otherwise(size(p) < size(q))
+    answer = {"<": below(x, y), "<=": ~below(y, x), ">": below(y, x), ">=": ~below(x, y)}[op]
+    return F.when(x.isNotNull() & y.isNotNull(), answer)
 
 
 def comparable(c: Column, dtype: T.DataType) -> Column:
@@ -155,9 +184,74 @@ def json_summary(text: Column, most: int = 3) -> Column:
     return F.when(n.isNotNull(), F.concat(F.lit("["), n, F.lit("]"))).when(keys.isNotNull(), F.concat(F.lit("{"), F.size(keys), F.lit(" keys} "), names)).otherwise(text)
 
 
+#: Fixed value: a string of a JSON text with the colon that makes it a key, a string, or what is between strings.
+JSON_PARTS = r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|[^"]+|"'
+#: Bytes of known values that are sent to every task.
+MOST_SECRETS = 64 << 20
+
+
 def scrub(c: Column, secrets: dict[str, str], least: int = 6) -> Column:
-    """Known values replaced by their marks, longest first; shorter ones than ``least`` are left, as they occur by chance."""
-    for value, mark in sorted(secrets.items(), key=lambda x: (-len(x[0]), x[0])):
-        if len(value) >= least:
-            c = F.replace(c, F.lit(value), F.lit(mark))
+    """A few known values replaced by their marks, longest first; shorter ones than ``least`` are left, as they occur by chance.
+    For long lists, see ``scrub_texts``."""
+    for value, mark in _by_length(secrets, least):
+        c = F.replace(c, F.lit(value), F.lit(mark))
     return c
+
+
+def scrub_json(c: Column, secrets: dict[str, str], least: int = 6) -> Column:
+    """The same inside a JSON text, whose keys are spared."""
+    parts = F.regexp_extract_all(c, F.lit(JSON_PARTS), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r'^".*"\s*:$'), x).otherwise(scrub(x, secrets, least))), "")
+
+
+def _by_length(secrets: dict[str, str], least: int) -> list[tuple[str, str]]:
+    return sorted(((v, m) for v, m in secrets.items() if len(v) >= least), key=lambda x: (-len(x[0]), x[0]))
+
+
+def scrub_texts(texts: DataFrame, secrets: DataFrame, column: str, value: str = "value", mark: str = "mark", least: int = 6, out: str = "scrubbed") -> DataFrame:
+    """Adds ``out``: the text with all known values (rows of value and mark) replaced as ``scrub`` does, in one pass over each text.
+
+    Each task finds the values that occur with one automaton. The values are sent to all tasks, behind a check of their bytes;
+    a list beyond ``MOST_SECRETS`` is dealt into blocks by length, one pass for each."""
+    known = secrets.where(F.length(value) >= least).groupBy(value).agg(F.min(mark).alias(mark))
+    known = known.withColumn("_bytes", F.octet_length(value) + F.octet_length(mark))
+    lengths = known.groupBy(F.length(value).alias("n")).agg(F.sum("_bytes").alias("bytes")).orderBy(F.desc("n")).collect()  # one row for each length
+    blocks: list[tuple[int, int, int]] = []
+    for r in lengths:
+        if blocks and blocks[-1][2] + r["bytes"] <= MOST_SECRETS:
+            blocks[-1] = (r["n"], blocks[-1][1], blocks[-1][2] + r["bytes"])
+        else:
+            blocks.append((r["n"], r["n"], r["bytes"]))
+    d = texts.withColumn(out, F.col(column))
+    for low, high, _ in blocks:
+        part = {r[0]: r[1] for r in known.where(F.length(value).between(low, high)).select(value, mark).collect()}
+        d = _scrub_pass(d, out, _by_length(part, 0))
+    return d
+
+
+def _scrub_pass(d: DataFrame, column: str, secrets: list[tuple[str, str]]) -> DataFrame:
+    names, sent = [f.name for f in d.schema.fields], d.sparkSession.sparkContext.broadcast(secrets)
+    at = names.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for i, (v, _) in enumerate(sent.value):
+            found.add_word(v, i)
+        found.make_automaton()
+
+        def one(text: str | None) -> str | None:
+            done = -1
+            # a replacement may bring a later value together, never an earlier one back into turn
+            while text and (todo := sorted({i for _, i in found.iter(text) if i > done})):
+                done = todo[0]
+                text = text.replace(*sent.value[done])
+            return text
+
+        for b in batches:
+            cols = list(b.columns)
+            cols[at] = pa.array([one(t) for t in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return d.mapInArrow(run, d.schema)

@@ -43,7 +43,7 @@ def not_watched(features: DataFrame, columns: DataFrame, watched: DataFrame) ->
 
 def cannot_answer(features: DataFrame, scope: DataFrame, detection: str, fidelity: str) -> DataFrame:
     """The first reason, in the order of evaluation, why a capture of these capabilities cannot answer an assertion."""
-    f = features.join(F.broadcast(scope.select(F.col("table").alias("table_name"), "departures_observable")), "table_name", "left")
+    f = features.join(scope.select(F.col("table").alias("table_name"), "departures_observable"), "table_name", "left")
     kinds = F.col("selector_kind").isin("changes", "updated")
     need_write = (F.col("question") == "hasWrite") | (F.col("question").isin("count", "any", "isEmpty") & kinds)
     blind = F.col("question").isin("count", "any", "isEmpty", "hasWrite") & F.col("selector_kind").isin("changes", "updated", "deleted") & ~F.coalesce("departures_observable", F.lit(True))

@@ -22,6 +22,8 @@ from ..sources.scope import KEYLESS, Scope, TableScope, prove_key
 
 INSERT, UPDATE, DELETE, LEFT, ENTERED, UNCHANGED = "insert", "update", "delete", "left-scope", "entered-scope", "unchanged"
 WRITE, VALUE, NET, TRANSACTIONAL = "write", "value", "net", "transactional"
+#: Copies of a row that one task gives out.
+SLICE = 100_000
 WARNINGS = "source string, code string, table string, message string"
 
 
@@ -79,13 +81,18 @@ def _all(columns: list[str]) -> Column:
     return F.array(*map(F.lit, columns))
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame, scope: TableScope, salt: str = "rowledger") -> DataFrame:
+def snapshot_diff(before: DataFrame, after: DataFrame, scope: TableScope, salt: str = "rowledger", proven: bool = False) -> DataFrame:
     """Two versions by key: insert, update (a column differs), delete (left-scope if the table is watched by a predicate).
 
+    NULL is a key like another, unless the key is ``proven`` to have none: then tables bucketed by it need no shuffle.
+
     The predicate filters both versions below the join, so a row that enters its range is an insert."""
     b, a = _watched(before, scope), _watched(after, scope)
-    on = reduce(lambda x, y: x & y, (F.col(f"b.{k}").eqNullSafe(F.col(f"a.{k}")) if before.schema[k].nullable else F.col(f"b.{k}") == F.col(f"a.{k}") for k in scope.keys))
-    d = b.select(_row(b).alias("b")).join(a.select(_row(a).alias("a")), on, "full_outer")
+    # the keys stand beside the images, so that the tables' own partitioning is seen
+    side = lambda d, n: d.select(*(F.col(f"`{k}`").alias(f"_{n}{i}") for i, k in enumerate(scope.keys)), _row(d).alias(n))
+    pairs = [(F.col(f"_b{i}"), F.col(f"_a{i}"), before.schema[k].nullable and not proven) for i, k in enumerate(scope.keys)]
+    on = reduce(lambda x, y: x & y, (x.eqNullSafe(y) if null else x == y for x, y, null in pairs))
+    d = side(b, "b").join(side(a, "a"), on, "full_outer")
     both = F.col("b").isNotNull() & F.col("a").isNotNull()
     differs = _differs(after.columns, after)
     d = d.withColumn("differs", F.when(both, differs)).where(~both | (F.size("differs") > 0))
@@ -105,11 +112,16 @@ def wide_snapshot_diff(before: DataFrame, after: DataFrame, scope: TableScope, s
 def multiset_diff(before: DataFrame, after: DataFrame, scope: TableScope, salt: str = "rowledger") -> DataFrame:
     """Keyless versions by counts of whole rows: surplus rows are inserts, missing ones deletes, each as often as it is so.
 
-    Counts are combined before the one shuffle, so a row that repeats very often costs no more than another."""
+    Counts are combined before the one shuffle. A surplus of many copies is given out in slices of ``SLICE`` by several tasks."""
     cols = after.columns
     census = _watched(before, scope).withColumn("_n", F.lit(-1)).unionByName(_watched(after, scope).withColumn("_n", F.lit(1)))
     net = census.groupBy(*(F.col(f"`{c}`") for c in cols)).agg(F.sum("_n").alias("_n")).where(F.col("_n") != 0)
-    net = net.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("r"), F.col("_n").alias("n"), F.explode(F.array_repeat(F.lit(1), F.abs(F.col("_n")).cast("int"))))
+    row = F.struct(*(F.col(f"`{c}`") for c in cols)).alias("r")
+    few = net.where(F.abs("_n") <= SLICE).select(row, F.col("_n").alias("n"), F.abs("_n").alias("k"))
+    many = net.where(F.abs("_n") > SLICE).select(row, F.col("_n").alias("n"), F.abs("_n").alias("all"))
+    many = many.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / SLICE)))).repartition("r", "slice")
+    net = few.unionByName(many.select("r", "n", F.least(F.lit(SLICE), F.col("all") - F.col("slice") * SLICE).alias("k")))
+    net = net.select("r", "n", F.explode(F.array_repeat(F.lit(1), F.col("k").cast("int"))))
     d = net.select(F.when(F.col("n") < 0, F.col("r")).alias("b"), F.when(F.col("n") > 0, F.col("r")).alias("a"))
     kind = F.when(F.col("b").isNull(), INSERT).otherwise(LEFT if scope.where else DELETE)
     return _finish(d, kind, _all(cols), F.lit(True), after, TableScope(scope.name, (), KEYLESS, scope.where, scope.ignore, scope.masked), salt)
@@ -172,7 +184,7 @@ def capture_snapshots(spark: SparkSession, before: dict[str, DataFrame], after:
             t = TableScope(t.name, (), KEYLESS, t.where, t.ignore, t.masked, True)
         tables[name] = t
         if t.keys:
-            frames[name] = snapshot_diff(b, a, t, scope.salt)
+            frames[name] = snapshot_diff(b, a, t, scope.salt, prove)
         else:
             frames[name] = multiset_diff(b, a, t, scope.salt)
             if not any(n[2] == name for n in notes) and not frames[name].isEmpty():
@@ -218,7 +230,7 @@ def noise_warning(idle: dict[str, DataFrame]) -> DataFrame:
 
 def attribute(changes: DataFrame, noise: DataFrame) -> DataFrame:
     """Adds maybe_foreign: the table also changes when nothing is asked of it."""
-    return changes.join(F.broadcast(noise.select("table", F.lit(True).alias("_n"))), "table", "left").withColumn("maybe_foreign", F.coalesce("_n", F.lit(False))).drop("_n")
+    return changes.join(noise.select("table", F.lit(True).alias("_n")), "table", "left").withColumn("maybe_foreign", F.coalesce("_n", F.lit(False))).drop("_n")
 
 
 def rewritten(before_ids: DataFrame, after_ids: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from .select import delta
 SHAPE = "table string, rule string, expression string, caveat string"
 #: Names of columns that tell kinds of rows apart, and what changes on every run.
 DISCRIMINATORS = ("type", "status", "kind", "state", "reason", "currency", "category")
-VOLATILE_NAME = r"(?i)(^|_)(created|updated|modified|deleted|inserted|expires?)(_?(at|on|time))?$|_at$|(^|_)(ts|timestamp|time|version|etag|nonce|token|uuid)$"
+VOLATILE_NAME = r"(?i)(^|_)(created|updated|modified|deleted|inserted|expires?)(_?(at|on|time))?$|_at$|(^|_)(ts|timestamp|time|version|etag|nonce|token|uuid|touched|last_seen)$"
 VOLATILE_TYPES = ("timestamp", "timestamp_ntz", "time", "interval", "xid")
 
 

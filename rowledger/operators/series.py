@@ -12,10 +12,10 @@ def observe(steps: DataFrame, values: DataFrame, by: list[str], step: str = "ste
     """(by…, step, state, value, since) for every series and step.
 
     ``values`` are the rows that a step gave a series: one non-null value is observed, several are unevaluable, none (or a
-    NULL) is carried from the last observed step, or unobserved before the first. Steps are few (one row each); series are
-    partitioned, so the window sorts one series' steps."""
+    NULL) is carried from the last observed step, or unobserved before the first. The result has every series at every step;
+    series are partitioned, so the window sorts one series' steps."""
     per = values.groupBy(*by, step).agg(F.count("*").alias("_n"), F.max(value).alias("_v"))
-    grid = values.select(*by).distinct().crossJoin(F.broadcast(steps.select(step).distinct()))
+    grid = values.select(*by).distinct().crossJoin(steps.select(step).distinct())
     d = grid.join(per, [*by, step], "left")
     own = F.when(F.col("_n") == 1, F.col("_v"))
     w = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)

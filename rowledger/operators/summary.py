@@ -69,7 +69,7 @@ def top_rows(changes: DataFrame, order: list[Column | str], rows: int = 3, table
     counts = changes.groupBy(by).agg(F.count("*").alias("_n"))
     ranked = counts.select(by, "_n", F.row_number().over(Window.orderBy(by)).alias("_t"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("_all"))
     first = changes.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= rows)
-    d = first.join(F.broadcast(ranked.where(F.col("_t") <= tables)), by)
+    d = first.join(ranked.where(F.col("_t") <= tables), by)
     return d.withColumn("more_rows", F.greatest(F.col("_n") - rows, F.lit(0))).withColumn("more_tables", F.greatest(F.col("_all") - tables, F.lit(0))).drop("_n", "_t", "_all")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 STATUSES = ("passed", "failed", "unevaluable", "passed-as-refused")
 OUTCOMES = ("clean", "undecided", "failed", "errored")
 EXIT_CODES = {"clean": 0, "failed": 1, "errored": 2, "undecided": 3}
-SEVERITIES = {"scope-truncated": "error", "reduced-fidelity": "error", "concurrent-writes-detected": "warning", "degraded-row-identity": "warning", "unreadable-value": "warning"}
+SEVERITIES = {"scope-truncated": "error", "reduced-fidelity": "error", "concurrent-writes-detected": "warning", "degraded-row-identity": "warning", "unreadable-value": "warning", "rendering-not-pinned": "warning"}
 STEP_OUTCOMES = ("passed", "failed", "undecided", "errored", "not-run")
 
 
@@ -67,27 +67,57 @@ def unreached(declared: DataFrame, attempted: DataFrame, by: list[str]) -> DataF
     return declared.join(attempted.select(*by), by, "left_anti").withColumn("outcome", F.lit("not-run"))
 
 
-def run_verdicts(outcomes: DataFrame, by: list[str], policy: Policy = Policy()) -> DataFrame:  # noqa: B008
-    """From step outcomes: counts of steps, unchecked and not-run ones, the run's outcome with its reason, and whether all was proven."""
+def run_verdicts(outcomes: DataFrame, by: list[str], policy: Policy = Policy(), warnings: DataFrame | None = None, facts: DataFrame | None = None, step: str = "step_no") -> DataFrame:  # noqa: B008
+    """From step outcomes: counts of steps, unchecked and not-run ones, the run's outcome with its reason, and whether all was proven.
+
+    The reason names the first cause that holds. ``warnings`` (by…, code, table) gives a bound for each code with its tables, and names the
+    severe one that leaves a run undecided; ``facts`` (by…, partial, probed) tells of runs of a part of their steps and of baselines that
+    nobody looked at. ``bounds`` are codes; ``fine_print`` has a sentence for each of them, in the same order."""
     o = F.col("outcome")
+    first = F.min(F.when(o == "errored", F.col(step))) if step in outcomes.columns else F.lit(None)
+    missed = F.array_sort(F.collect_list(F.when(o == "not-run", F.col(step)))) if step in outcomes.columns else F.array()
     d = outcomes.groupBy(*by).agg(
-        F.count("*").alias("steps"), *(F.count_if(o == s).alias(s.replace("-", "_") + "_steps") for s in STEP_OUTCOMES),
+        F.count("*").alias("steps"), *(F.count_if(o == s).alias(s.replace("-", "_") + "_steps") for s in STEP_OUTCOMES), F.sum("failed").alias("failed"), first.alias("_first"), missed.alias("_missed"),
         F.count_if(~o.isin("errored", "not-run") & (F.col("total") == 0)).alias("unchecked"), F.sum("total").alias("assertions"), F.sum("unevaluable").alias("unevaluable"), F.sum("blind").alias("blind"),
     )
+    noted = F.array().cast("array<struct<code:string,tables:string,severity:string>>")
+    if warnings is not None:
+        w = bound_rows(warnings, by).withColumn("severity", severity(F.col("code"), policy))
+        w = w.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("code", "tables", "severity"))).alias("_noted"))  # one of each code
+        d, noted = d.join(w, by, "left"), F.coalesce("_noted", noted)
+    if facts is not None:
+        d = d.join(facts.select(*by, "partial", "probed"), by, "left")
+    partial, unprobed = (F.coalesce("partial", F.lit(False)), ~F.coalesce("probed", F.lit(True))) if facts is not None else (F.lit(False), F.lit(False))
     none = (F.col("assertions") == 0) & F.lit(policy.require_assertions)
+    open_ = F.lit(not policy.accept_unevaluable) & (F.col("unevaluable") > 0)
     by_policy = F.lit(policy.accept_unevaluable) & (F.col("unevaluable") > 0)
-    undecided = (F.col("undecided_steps") > 0) | (F.col("blind") > 0) | none
-    outcome = F.when(F.col("errored_steps") > 0, "errored").when(F.col("failed_steps") > 0, "failed").when(undecided, "undecided").otherwise("clean")
+    undecided = (F.col("undecided_steps") > 0) | (F.col("blind") > 0) | open_ | none
+    outcome = F.when(F.col("errored_steps") > 0, "errored").when((F.col("failed_steps") > 0) | (F.col("failed") > 0), "failed").when(undecided, "undecided").otherwise("clean")
+    severe = F.get(F.filter(noted, lambda x: x["severity"] == "error"), F.lit(0))
+    many = lambda n, one, more: F.concat(F.col(n).cast("string"), F.when(F.col(n) == 1, f" {one}").otherwise(f" {more}"))
     reason = (
-        F.when(outcome == "errored", F.format_string("%d of %d steps errored", "errored_steps", "steps"))
-        .when(outcome == "failed", F.format_string("%d of %d steps failed", "failed_steps", "steps"))
+        F.when(outcome == "errored", F.concat(many("errored_steps", "step", "steps"), F.lit(" of "), F.col("steps").cast("string"), F.lit(" errored"), F.coalesce(F.concat(F.lit(", first "), F.col("_first").cast("string")), F.lit(""))))
+        .when((outcome == "failed") & (F.col("failed") > 0), many("failed", "assertion failed", "assertions failed"))
+        .when(outcome == "failed", many("failed_steps", "step failed", "steps failed"))
+        .when(open_, many("unevaluable", "assertion could not be evaluated", "assertions could not be evaluated"))
+        .when((F.col("blind") > 0) & severe.isNotNull(), F.concat(severe["code"], F.when(severe["tables"] != "", F.concat(F.lit(" on "), severe["tables"])).otherwise("")))
+        .when(F.col("blind") > 0, many("blind", "severe warning", "severe warnings"))
         .when(none, "nothing was asserted")
-        .when(outcome == "undecided", F.format_string("%d steps could not be decided", "undecided_steps"))
+        .when(outcome == "undecided", many("undecided_steps", "step could not be decided", "steps could not be decided"))
         .otherwise("all assertions held")
     )
-    bounds = F.array_compact(F.array(F.when(F.col("not_run_steps") > 0, "unreached"), F.when(F.col("unchecked") > 0, "unchecked"), F.when(F.col("blind") > 0, "warnings"), F.when(by_policy, "by-policy")))
-    d = d.withColumn("outcome", outcome).withColumn("reason", reason).withColumn("bounds", bounds)
-    return d.withColumn("proves", F.when(F.size("bounds") == 0, "full").otherwise("bounded"))
+    entry = lambda when, code, text: F.when(when, F.struct(F.lit(code).alias("bound"), text.alias("said")))
+    codes = F.transform(noted, lambda x: F.struct(x["code"].alias("bound"), F.concat(x["code"], F.when(x["tables"] != "", F.concat(F.lit(" on "), x["tables"])).otherwise("")).alias("said")))
+    before = F.array_compact(F.array(
+        entry(partial, "partial", F.lit("only a part of the steps was asked for")),
+        entry(F.col("not_run_steps") > 0, "unreached", F.concat(many("not_run_steps", "step never ran", "steps never ran"), F.when(F.size("_missed") > 0, F.concat(F.lit(": "), F.array_join(F.transform("_missed", lambda x: x.cast("string")), ", "))).otherwise(""))),
+        entry(unprobed, "unprobed", F.lit("nobody looked at what changes when nothing is asked")),
+        entry((F.col("blind") > 0) & F.lit(warnings is None), "warnings", many("blind", "severe warning", "severe warnings")),
+    ))
+    behind = F.array_compact(F.array(entry(by_policy, "by-policy", F.concat(many("unevaluable", "assertion", "assertions"), F.lit(" not evaluated and accepted by policy"))), entry(F.col("unchecked") > 0, "unchecked", many("unchecked", "step checked nothing", "steps checked nothing"))))
+    d = d.withColumn("outcome", outcome).withColumn("reason", reason).withColumn("_bounds", F.concat(before, codes, behind))
+    d = d.withColumn("bounds", F.transform("_bounds", lambda x: x["bound"])).withColumn("fine_print", F.transform("_bounds", lambda x: x["said"]))
+    return d.withColumn("proves", F.when(F.size("bounds") == 0, "full").otherwise("bounded")).drop("_first", "_missed", "_noted", "_bounds", "partial", "probed")
 
 
 def bound_rows(warnings: DataFrame, by: list[str]) -> DataFrame:
@@ -113,10 +143,12 @@ def suite_verdict(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def suite_bounds(runs: DataFrame) -> DataFrame:
-    """(bound, sentence): in how many of the runs each bound holds. Bounds stay structured until here."""
+    """(bound, sentence): in how many of the runs each bound holds. Bounds stay structured until here: a warning's code is one bound
+    whatever its tables, and what was accepted by policy is counted over all runs."""
     n = runs.agg(F.count("*").alias("n"))
-    d = runs.select(F.explode("bounds").alias("bound")).groupBy("bound").agg(F.count("*").alias("k")).crossJoin(F.broadcast(n))
-    return d.select("bound", F.when(F.col("k") == F.col("n"), F.col("bound")).otherwise(F.format_string("%s in %d of %d datasets", "bound", "k", "n")).alias("sentence"))
+    d = runs.select(F.explode("bounds").alias("bound"), "unevaluable").groupBy("bound").agg(F.count("*").alias("k"), F.sum("unevaluable").alias("u")).crossJoin(F.broadcast(n))  # one row
+    said = F.when(F.col("k") == F.col("n"), F.col("bound")).otherwise(F.format_string("%s in %d of %d datasets", "bound", "k", "n"))
+    return d.select("bound", F.when(F.col("bound") == "by-policy", F.concat(said, F.lit(", "), F.col("u").cast("string"), F.lit(" assertions"))).otherwise(said).alias("sentence"))
 
 
 def exit_code(outcome: Column, exit_zero: bool = False) -> Column:
@@ -154,7 +186,11 @@ def reach(ran: Column, declared: Column) -> Column:
     return F.concat(ran.cast("string"), F.lit("/"), declared.cast("string"), F.lit(" steps ran"))
 
 
-def worst_first(results: DataFrame) -> DataFrame:
-    """failed, unevaluable, passed, planned, other; then by ordinal."""
-    s = F.col("status")
-    return results.orderBy(F.when(s == "failed", 0).when(s == "unevaluable", 1).when(s == "passed", 2).when(s == "planned", 3).otherwise(4), "ordinal")
+def badness(status: Column) -> Column:
+    """failed, unevaluable, passed, planned, other."""
+    return F.when(status == "failed", 0).when(status == "unevaluable", 1).when(status == "passed", 2).when(status == "planned", 3).otherwise(4)
+
+
+def worst_first(results: DataFrame, *then: str) -> DataFrame:
+    """The worst first; then by ordinal."""
+    return results.orderBy(badness(F.col("status")), "ordinal", *then)

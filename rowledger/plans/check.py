@@ -218,6 +218,8 @@ class Planner:
     def __init__(self, cs: ChangeSet, variables: dict[str, object] | None = None, rows_cap: int | None = None, kinds: dict[str, dict[str, str]] | None = None):
         self.cs, self.variables, self.cap, self.kinds = cs, variables or {}, rows_cap, kinds or {}
         self.sources: dict[tuple, _Source] = {}
+        self.picked: list[DataFrame] = []
+        self.written: dict[int, tuple] = {}
 
     # -- guards ------------------------------------------------------------
 
@@ -293,6 +295,11 @@ class Planner:
         for s in self.sources.values():
             if s.columns:
                 s.row = s.frame.agg(*(c.alias(n) for n, (_, c) in s.columns.items())).first().asDict()
+        if self.picked:  # all questions about writes are one job, a row for each
+            asked = reduce(DataFrame.unionByName, self.picked).distinct()
+            m = self.cs.mutations.join(asked, ["table", "key_token"]).groupBy("question")
+            got = m.agg(F.count("*").alias("n"), F.count_distinct("transaction_id").alias("t"), F.count_if(F.col("transaction_id").isNull()).alias("u")).collect()
+            self.written = {r["question"]: (r["n"], r["t"], r["u"]) for r in got}
 
     # -- expressions -----------------------------------------------------------
 
@@ -337,11 +344,11 @@ class Planner:
             return lambda: No("needs a list of writes with their transactions")
         if (bad := self.set_question(sel, False)) is not None:
             return lambda: bad
-        picked = reduce(DataFrame.unionByName, (self.source(sel, t).frame.where(self.chosen(sel, t) & F.col("key_token").isNotNull()).select("table", "key_token") for t in self.tables(sel)))
-        r = self.cs.mutations.join(picked.distinct(), ["table", "key_token"], "left_semi").agg(F.count("*").alias("n"), F.count_distinct("transaction_id").alias("t"), F.count_if(F.col("transaction_id").isNull()).alias("u"))
+        at = len(self.picked)
+        self.picked.append(reduce(DataFrame.unionByName, (self.source(sel, t).frame.where(self.chosen(sel, t) & F.col("key_token").isNotNull()).select("table", "key_token", F.lit(at).alias("question")) for t in self.tables(sel))))
 
         def answer() -> object:
-            n, t, u = r.first()
+            n, t, u = self.written.get(at, (0, 0, 0))
             if op == "writeCount":
                 return n
             if not n:
@@ -462,7 +469,8 @@ def show(x: object) -> str | None:
 
 
 def evaluate(spark: SparkSession, cs: ChangeSet, assertions: list[Expr], variables: dict[str, object] | None = None, rows_cap: int | None = None, kinds: dict[str, dict[str, str]] | None = None) -> DataFrame:
-    """assertion_results, one row for each expression: one job for each table that is asked, whatever their number."""
+    """assertion_results, one row for each expression: one job for each table that is asked, whatever their number,
+    and one for all questions about the list of writes."""
     p = Planner(cs, variables, rows_cap, kinds)
     plans = []
     for e in assertions:

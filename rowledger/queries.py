@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fixtures import prelude, view
@@ -317,9 +318,9 @@ def json_equal(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "json_pairs").select("event_id", values.eq_typed(F.col("before_j"), F.col("after_j"), "json").alias("same"))
 
 
-@query("""select event_id, unnest(case when event_id % 3 = 0 then ['a.x', 'a.y[0]', 'a.y[1]'] when event_id % 3 = 1 then ['z'] else [] end) as path, unnest(case when event_id % 3 = 0 then ['1', '1', '2'] when event_id % 3 = 1 then ['0'] else [] end) as after_leaf, 'added' as mark from json_pairs""")
+@query("""select event_id, unnest(case when event_id % 3 = 0 then ['a.x', 'a.y[0]', 'a.y[1]'] when event_id % 3 = 1 then ['z'] else [] end) as path, unnest(case when event_id % 3 = 0 then ['1', '1', '2'] when event_id % 3 = 1 then ['0'] else [] end) as after_leaf, 'added' as mark, cast(null as varchar) as before_leaf from json_pairs""")
 def json_leaf_diff(s: SparkSession, d: str) -> DataFrame:
-    return jsondiff.leaf_diff(view(s, d, "json_pairs"), ["event_id"], "before_j", "after_j").drop("before_leaf")
+    return jsondiff.leaf_diff(view(s, d, "json_pairs"), ["event_id"], "before_j", "after_j")
 
 
 @query("""select event_id, '{' || cast(len(json_keys(after_j)) as varchar) || ' keys} ' || array_to_string(list_sort(json_keys(after_j))[1:3], ', ') || case when len(json_keys(after_j)) > 3 then '…' else '' end as summary from json_pairs""")
@@ -379,9 +380,7 @@ def atomic_groups(s: SparkSession, d: str) -> DataFrame:
 @query("with " + _NET + " select 0 as ordinal, 'passed' as status, cast(count(*) as varchar) as actual from log where table_name = 'accounts' and id in (select id from net) union all select 1, case when count(distinct transaction_id) = 1 then 'passed' else 'failed' end, case when count(distinct transaction_id) = 1 then 'true' else 'false' end from log where table_name = 'accounts' and id in (select id from net)")
 def write_counts(s: SparkSession, d: str) -> DataFrame:
     m, sc = _mutations(s, d)
-    net = log_net_view(s, d)
-    image = F.struct("id", "amount")
-    c = net.select(F.lit("accounts").alias("table"), values.key_token("fixed", [F.col("id").cast("string")], ["id"]).alias("key_token"), "kind", F.when(F.col("kind") != "insert", image).alias("before"), F.when(F.col("kind") != "delete", image).alias("after"), F.array(F.lit("amount")).alias("changed_columns"), F.array(F.lit("amount")).alias("visible_columns"), F.lit(True).alias("has_write"))
+    c = _accounts(log_net_view(s, d))
     cs = capture.ChangeSet({"accounts": c}, sc, capture.WRITE, capture.TRANSACTIONAL, capture.warn(s), m)
     k = check
     return check.evaluate(s, cs, [k.write_count(k.changes("accounts")).ge(0), k.atomic(k.changes("accounts"))]).select("ordinal", "status", "actual")
@@ -481,9 +480,9 @@ def repeated_writes(s: SparkSession, d: str) -> DataFrame:
     return summary.repeated_writes(view(s, d, "log").where("table_name = 'accounts'"), ["id"])
 
 
-@query("with " + _NET + ", a as (select * from log where table_name = 'accounts') select (select count(*) from a) as total, (select count(distinct transaction_id) from a) as transactions, (select count(*) from a where id not in (select id from net)) as without_net_change, (select count(*) from n where writes > 1) as repeated")
+@query("with " + _NET + ", a as (select * from log where table_name = 'accounts') select (select count(*) from a) as total, (select count(distinct transaction_id) from a) as transactions, (select count(*) from a where id not in (select id from net)) as without_net_change, (select count(*) from n where writes > 1) as repeated, (select count(distinct transaction_id) from a)::varchar || ' transactions; ' || (select count(*) from n where writes > 1)::varchar || ' rows written more than once' || (select case when count(*) > 0 then '; ' || count(*)::varchar || ' writes without net change' else '' end from a where id not in (select id from net)) as story")
 def write_order_summary(s: SparkSession, d: str) -> DataFrame:
-    return summary.write_order_summary(view(s, d, "log").where("table_name = 'accounts'"), log_net_view(s, d), ["id"]).drop("story")
+    return summary.write_order_summary(view(s, d, "log").where("table_name = 'accounts'"), log_net_view(s, d), ["id"])
 
 
 @query(_D + ", " + _CONV + """, x as (select 'orders' as t, cast(k as varchar) as key, k as o, kind from d union all select 'conversations', cast(conv_id as varchar) || '|' || cast(turn as varchar), conv_id * 1000 + turn, kind from c), r as (select *, row_number() over (partition by t order by o) as rn, count(*) over (partition by t) as n from x)
@@ -514,12 +513,12 @@ _RUN = """rv as (select run_id, scenario_id, count(*) as steps, count(*) filter
  ro as (select *, case when e > 0 then 'errored' when f > 0 then 'failed' when u > 0 or blind > 0 then 'undecided' else 'clean' end as outcome, case when nr > 0 or blind > 0 then 'bounded' else 'full' end as proves from rv)"""
 
 
-def _steps(s: SparkSession, d: str) -> DataFrame:
+def _steps(s: SparkSession, d: str, policy: verdict.Policy = verdict.Policy()) -> DataFrame:  # noqa: B008
     r = view(s, d, "runs")
     by = ["run_id", "scenario_id", "step_no"]
     a = r.select(*by, F.col("a_status").alias("status"), F.lit(0).alias("ordinal"))
     w = r.where("w_code is not null").select(*by, F.col("w_code").alias("code"), F.lit("orders").alias("table"))
-    return verdict.step_outcomes(r.select(*by, "step_status"), a, w, by)
+    return verdict.step_outcomes(r.select(*by, "step_status"), a, w, by, policy)
 
 
 def _runs(s: SparkSession, d: str) -> DataFrame:
@@ -548,18 +547,18 @@ def run_verdicts(s: SparkSession, d: str) -> DataFrame:
     return _runs(s, d).select("run_id", "steps", "outcome", "proves", verdict.exit_code(F.col("outcome")).alias("exit_code"))
 
 
-_SUITE = "case max(case outcome when 'clean' then 1 when 'undecided' then 2 when 'failed' then 3 else 4 end) when 1 then 'clean' when 2 then 'undecided' when 3 then 'failed' else 'errored' end as outcome, count(*) as runs, cast(sum(steps) as bigint) as steps, cast(sum(nr) as bigint) as not_run_steps, case when bool_and(nr = 0) then 'full' when bool_and(nr > 0) then 'partial' else 'mixed' end as coverage, case when bool_or(proves = 'bounded') then 'bounded' else 'full' end as proves"
+_SUITE = "case max(case outcome when 'clean' then 1 when 'undecided' then 2 when 'failed' then 3 else 4 end) when 1 then 'clean' when 2 then 'undecided' when 3 then 'failed' else 'errored' end as outcome, count(*) as runs, cast(sum(steps) as bigint) as steps, cast(sum(steps) as bigint) as assertions, cast(sum(nr) as bigint) as not_run_steps, case when bool_and(nr = 0) then 'full' when bool_and(nr > 0) then 'partial' else 'mixed' end as coverage, case when bool_or(proves = 'bounded') then 'bounded' else 'full' end as proves"
 
 
 @query("with " + _STEP + ", " + _RUN + f" select scenario_id, {_SUITE} from ro group by scenario_id")
 def suite_verdict(s: SparkSession, d: str) -> DataFrame:
-    return verdict.suite_verdict(_runs(s, d), ["scenario_id"]).drop("assertions")
+    return verdict.suite_verdict(_runs(s, d), ["scenario_id"])
 
 
 @query("with " + _STEP + ", " + _RUN + f" select {_SUITE}, cast(sum(run_id) as bigint) as duration_ms from ro")
 def merge_shards(s: SparkSession, d: str) -> DataFrame:
     r = _runs(s, d).withColumn("duration_ms", F.col("run_id"))
-    return verdict.merge_shards([r.where("scenario_id < 2"), r.where("scenario_id >= 2")]).drop("assertions")
+    return verdict.merge_shards([r.where("scenario_id < 2"), r.where("scenario_id >= 2")])
 
 
 @query("with " + _STEP + ", " + _RUN + ", b as (select 'unreached' as bound, count(*) filter (where nr > 0) as k, count(*) as n from ro union all select 'warnings', count(*) filter (where blind > 0), count(*) from ro) select bound, case when k = n then bound else bound || ' in ' || cast(k as varchar) || ' of ' || cast(n as varchar) || ' datasets' end as sentence from b where k > 0")
@@ -628,24 +627,50 @@ def _catalog(s: SparkSession, d: str) -> DataFrame:
     return scope.catalog_columns(s, {t: s.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "lineitem", "customer")})
 
 
-@query("""select assertion_id, 'unknown-table' as problem, table_name as name, case table_name when 'ordres' then 'orders' when 'custmoer' then 'customer' end as suggestion from features where table_name not in ('orders', 'lineitem', 'customer')
- union all select assertion_id, 'unknown-column-match', 'orders.' || column_name, 'orders.o_totalprice' from features where column_name = 'o_totalprise'""")
+_AUDIT = """cols as (select unnest(['orders', 'orders', 'lineitem', 'customer']) as t, unnest(['o_totalprice', 'o_orderkey', 'l_quantity', 'c_acctbal']) as c),
+ ut as (select distinct assertion_id, case when use_kind = 'except' then 'except-names-nothing' else 'unknown-table' end as problem, table_name as name, case table_name when 'ordres' then 'orders' when 'custmoer' then 'customer' end as suggestion from features where table_name in ('ordres', 'custmoer')),
+ uc as (select distinct assertion_id, 'unknown-column-' || use_kind as problem, table_name || '.' || column_name as name, case when table_name = 'orders' and column_name = 'o_totalprise' then 'orders.o_totalprice' end as suggestion from features left join cols on t = table_name and c = column_name where table_name in ('orders', 'lineitem', 'customer') and column_name <> '*' and c is null)"""
+
+
+@query("with " + _AUDIT + " select * from ut union all select * from uc")
 def audit_names(s: SparkSession, d: str) -> DataFrame:
     return audit.audit(view(s, d, "features"), _catalog(s, d))
 
 
-@query("select assertion_id, 'not-watched' as problem, table_name as name from features where table_name = 'lineitem' union all select assertion_id, 'masked-column', 'orders.o_totalprice' from features where table_name = 'orders' and column_name = 'o_totalprice'")
+@query("with " + _AUDIT + " select problem, name, suggestion, count(*) as n from (select * from ut union all select * from uc) group by all")
+def audit_panels(s: SparkSession, d: str) -> DataFrame:
+    return audit.panel_audit(view(s, d, "features"), _catalog(s, d)).groupBy("problem", "name", "suggestion").agg(F.count("*").alias("n"))
+
+
+@query("select distinct assertion_id, 'not-watched' as problem, 'lineitem' as name from features where table_name = 'lineitem' union all select distinct assertion_id, 'masked-column', 'orders.o_totalprice' from features where table_name = 'orders' and column_name = 'o_totalprice'")
 def audit_watch_and_masks(s: SparkSession, d: str) -> DataFrame:
     f, c = view(s, d, "features"), _catalog(s, d)
     watched, masks = s.createDataFrame([("orders",), ("customer",)], "table string"), s.createDataFrame([("o_totalprice",)], "column string")
     return audit.not_watched(f, c, watched).unionByName(audit.masked_reads(f, masks, c))
 
 
-@query("select 'a4' as assertion_id, 'rows-have-no-identity' as problem, 'lineitem' as name from features where assertion_id = 'a4'")
-def audit_capabilities(s: SparkSession, d: str) -> DataFrame:
-    f = view(s, d, "features").withColumns({"ordinal": F.lit(0), "question": F.lit("count"), "selector_kind": F.lit("deleted")})
+_CANNOT = "select assertion_id, case when question = 'hasWrite' or (question = 'count' and selector_kind = 'changes') then {write} when question = 'atomic' then 'needs-transactions' when question in ('count', 'hasWrite') and selector_kind in ('changes', 'deleted') and table_name = 'lineitem' then 'rows-have-no-identity' end as problem, table_name as name from features"
+
+
+def _cannot(s: SparkSession, d: str, detection: str) -> DataFrame:
     sc = Scope({"orders": ORDERS, "lineitem": TableScope("lineitem", departures_observable=False)}).frame(s)
-    return audit.cannot_answer(f, sc, capture.VALUE, capture.NET)
+    return audit.cannot_answer(view(s, d, "features"), sc, detection, capture.NET)
+
+
+@query("select * from (" + _CANNOT.format(write="'needs-write-detection'") + ") where problem is not null")
+def audit_capabilities(s: SparkSession, d: str) -> DataFrame:
+    return _cannot(s, d, capture.VALUE)
+
+
+@query("select * from (" + _CANNOT.replace("when question = 'hasWrite' or (question = 'count' and selector_kind = 'changes') then {write} ", "") + ") where problem is not null")
+def audit_capabilities_written(s: SparkSession, d: str) -> DataFrame:
+    return _cannot(s, d, capture.WRITE)
+
+
+@query("select 'nothing-asserted' as problem from runs where a_status = 'nobody' having count(*) = 0 union all select 'nothing-asserted' from runs having count(*) = 0")
+def audit_nothing_asserted(s: SparkSession, d: str) -> DataFrame:
+    r = view(s, d, "runs")
+    return audit.nothing_asserted(r.where("a_status = 'nobody'")).unionByName(audit.nothing_asserted(r))
 
 
 @query("""with n as (select distinct scenario_id, role as name, step_no from runs where step_no > 0), c as (select distinct scenario_id, role as name, step_no as at from runs where a_status <> 'passed'),
@@ -665,8 +690,14 @@ def row_addresses(s: SparkSession, d: str) -> DataFrame:
 
 @query("with recursive b as (select text, '[item ' || cast(item_id as varchar) || ']' as mark, row_number() over (order by length(text) desc, text) as i from benchmark where length(text) >= 6), r(doc_id, text, i) as (select doc_id, text, cast(0 as bigint) from documents union all select r.doc_id, replace(r.text, b.text, b.mark), b.i from r join b on b.i = r.i + 1) select doc_id, text as scrubbed from r where i = (select count(*) from b)")
 def scrub_documents(s: SparkSession, d: str) -> DataFrame:
-    marks = {r["text"]: f"[item {r['item_id']}]" for r in view(s, d, "benchmark").collect()}
-    return view(s, d, "documents").select("doc_id", values.scrub(F.col("text"), marks).alias("scrubbed"))
+    marks = view(s, d, "benchmark").select(F.col("text").alias("value"), F.concat(F.lit("[item "), F.col("item_id").cast("string"), F.lit("]")).alias("mark"))
+    return values.scrub_texts(view(s, d, "documents").select("doc_id", "text"), marks, "text").select("doc_id", "scrubbed")
+
+
+@query("""select event_id, replace(props, '"k": ', '"signup secret": "•••", "k\\"": ') as scrubbed from events""")
+def scrub_json_values(s: SparkSession, d: str) -> DataFrame:
+    e = view(s, d, "events").select("event_id", F.replace("props", F.lit('"k": '), F.lit('"signup secret": "signup secret", "k\\"": ')).alias("j"))
+    return e.select("event_id", values.scrub_json(F.col("j"), {"signup secret": "•••"}).alias("scrubbed"))
 
 
 @query("select 'capture' as source, 'scope-truncated' as code, 'orders' as table_name, 'the table was rewritten' as message from orders_v0 having cast(count(*) as varchar) is distinct from (select cast(count(*) as varchar) from orders_v1) union all select 'capture', 'scope-truncated', 'lineitem', 'the table is gone'")
@@ -737,3 +768,286 @@ def stream_net_view(s: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.unix_micros("window_start").alias("window_us"), "kind", "writes", "amount")
 
 
+@query("""with c as (select transaction_id from log where is_commit) select sequence, transaction_id, complete from log join (select distinct transaction_id, true as complete from c) using (transaction_id)""")
+def stream_fence(s: SparkSession, d: str) -> DataFrame:
+    rec = view(s, d, "log").withColumn("ts", F.col("ts").cast("timestamp"))
+    base = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    rec.write.parquet(f"{base}/log")
+    src = streaming.read_parquet_stream(s, f"{base}/log", 1000).withWatermark("ts", "40 days")
+    held = streaming.transaction_fence(src)
+    streaming.store_each_batch(held, f"{base}/out", f"{base}/state").awaitTermination()
+    return s.read.schema("sequence bigint, transaction_id bigint, complete boolean, batch int").parquet(f"{base}/out").where("complete").drop("batch")
+
+
+@query("""select 'stream' as source, 'scope-truncated' as code, id, cast(count(*) filter (where sequence % 7 = 0) as varchar) || ' writes came too late' as message from log where table_name = 'accounts' group by id having count(*) filter (where sequence % 7 = 0) > 0""")
+def stream_late_writes(s: SparkSession, d: str) -> DataFrame:
+    all_ = view(s, d, "log").where("table_name = 'accounts'")
+    seen = all_.where("sequence % 7 <> 0")
+    count = lambda x: x.groupBy("id").agg(F.count("*").alias("writes"))
+    return streaming.late_writes(count(seen), count(all_), ["id"])
+
+
+@query("with " + _NET + " select 0 as ordinal, 'passed' as status, cast(count(*) as varchar) as actual from net where kind = 'update' union all select 1, case when count(*) = 0 then 'passed' else 'failed' end, case when count(*) = 0 then 'true' else 'false' end from net where kind = 'delete'")
+def stream_assertions(s: SparkSession, d: str) -> DataFrame:
+    net = _accounts(log_net_view(s, d))
+    base = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    net.write.parquet(f"{base}/changes")
+    _, sc = _mutations(s, d)
+    k = check
+
+    def answer(batch: DataFrame, _: int) -> DataFrame:
+        cs = capture.ChangeSet({"accounts": batch}, sc, capture.WRITE, capture.NET, capture.warn(s))
+        return check.evaluate(batch.sparkSession, cs, [k.count(k.updated("accounts")).ge(0), k.is_empty(k.deleted("accounts"))])
+
+    streaming.evaluate_each_batch(streaming.read_parquet_stream(s, f"{base}/changes", 1000), answer, f"{base}/out", f"{base}/state").awaitTermination()
+    return s.read.schema(check.RESULT).parquet(f"{base}/out").select("ordinal", "status", "actual")
+
+
+@query("with " + _SERIES + " select id, step_no, state, cast(value as varchar) as value, since from srs")
+def stream_carried(s: SparkSession, d: str) -> DataFrame:
+    obs, steps = view(s, d, "series_obs"), view(s, d, "series_steps")
+    every = obs.select("id").distinct().crossJoin(steps).join(obs, ["id", "step_no"], "left").select("id", "step_no", F.col("v").cast("string").alias("value"))
+    base = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    every.write.parquet(f"{base}/obs")
+    out = streaming.carried(streaming.read_parquet_stream(s, f"{base}/obs", 1000), ["id"])
+    streaming.store_each_batch(out, f"{base}/out", f"{base}/state").awaitTermination()
+    r = s.read.schema("id bigint, step_no bigint, state string, value string, since bigint, batch int").parquet(f"{base}/out")
+    shown = F.col("state").isin("observed", "carried")
+    return r.select("id", "step_no", "state", F.when(shown, F.col("value")).alias("value"), F.when(shown, F.col("since")).alias("since"))
+
+
+# -- exactness ---------------------------------------------------------------------------
+
+
+@query("with c as (select transaction_id, max(place) as c from log_pairs where is_commit group by 1) select sequence, log_pairs.transaction_id, lsn from log_pairs left join c on c.transaction_id = log_pairs.transaction_id where place <= 300 and (c.c is null or c.c >= 16 or c.c > 300)")
+def commit_fence_text(s: SparkSession, d: str) -> DataFrame:
+    return log.commit_fence(view(s, d, "log_pairs"), "0/10", "0/12C").select("sequence", "transaction_id", "lsn")
+
+
+@query("select coalesce(a.id, b.id) as id, cast(cast(coalesce(a.x, 0) - coalesce(b.x, 0) as decimal(30,10)) as varchar) as delta from fine_v0 b full join fine_v1 a on a.id = b.id")
+def delta_scale(s: SparkSession, d: str) -> DataFrame:
+    t = TableScope("fine", ("id",), PRIMARY)
+    c = capture.snapshot_diff(view(s, d, "fine_v0"), view(s, d, "fine_v1"), t)
+    return c.select(F.coalesce("after.id", "before.id").alias("id"), select.delta(c, "x").cast("decimal(30,10)").cast("string").alias("delta"))
+
+
+@query("select event_id, event_id % 2 = 0 as same, event_id % 10 < (event_id + 1) % 10 as below, event_id % 10 >= (event_id + 1) % 10 as not_below from events")
+def numeric_exact(s: SparkSession, d: str) -> DataFrame:
+    e = view(s, d, "events").select("event_id", *(F.concat(F.lit("-0000123456789012345678901234567890123456789.0000000000000" if k < 2 else "0.00000000000000000000"), ((F.col("event_id") + k % 2) % 10).cast("string")).alias(f"x{k}") for k in range(4)))
+    same = values.eq_typed(F.concat(F.lit("0."), F.lit("0" * 20), (F.col("event_id") % 2).cast("string")), F.lit("-0.000"), "numeric")
+    # of negative numbers, the larger digits are below
+    low, high = values.compare_numbers(F.col("x1"), F.col("x0"), ">"), values.compare_numbers(F.col("x2"), F.col("x3"), "<")
+    return e.select("event_id", same.alias("same"), high.alias("below"), F.when(low == ~high, ~high).when(F.col("x0") == F.col("x1"), ~high).alias("not_below"))
+
+
+@query("select event_id, true as cased, event_type = upper(event_type) as text_same from events")
+def citext_equal(s: SparkSession, d: str) -> DataFrame:
+    e = view(s, d, "events")
+    return e.select("event_id", values.eq_typed(F.upper("event_type"), F.col("event_type"), "citext").alias("cased"), values.eq_typed(F.upper("event_type"), F.col("event_type"), "text").alias("text_same"))
+
+
+@query("""select sequence, 'pub"lic' as schema_name, 'we"ird' as table_name, case sequence % 2 when 0 then 't' else 'f' end as ok, '10' as bits, cast(null as varchar) as nothing, 'it''s ' || event_type as say, 'left' as unreadable from log_kinds join events on event_id = sequence""")
+def log_values(s: SparkSession, d: str) -> DataFrame:
+    c, v = log.decode(view(s, d, "log_kinds")), lambda n: F.col("columns")[n]
+    return c.select("sequence", "schema_name", "table_name", v("ok").alias("ok"), v("bits").alias("bits"), v("none").alias("nothing"), v("say").alias("say"), F.array_join("unreadable", ",").alias("unreadable"))
+
+
+@query("select cast(sequence as bigint) as sequence, cast(transaction_id as varchar) as transaction_id, lsn, 'accounts' as table_name, 'update' as operation, cast(sequence % 9 as varchar) as id from log_pairs where is_commit or place >= 16 union all select sequence, cast(transaction_id as varchar), lsn, 'accounts', 'update', cast(sequence % 9 as varchar) from log_pairs where not is_commit and place < 16")
+def log_records(s: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(s)}/records-{uuid.uuid4().hex}"
+    rec = view(s, d, "log_pairs").select("sequence", F.col("transaction_id").cast("string").alias("transaction_id"), "lsn", F.lit("accounts").alias("table_name"), F.lit("update").alias("operation"), F.create_map(F.lit("id"), (F.col("sequence") % 9).cast("string")).alias("key"))
+    rec.write.json(path)
+    return log.read_records(s, path).select("sequence", "transaction_id", "lsn", "table_name", "operation", F.col("key")["id"].alias("id"))
+
+
+# -- scopes, stores ------------------------------------------------------------------------
+
+
+def _world(s: SparkSession, d: str) -> tuple[scope.Catalog, dict[str, DataFrame], dict[str, DataFrame]]:
+    names = {"orders": ("orders_v0", "orders_v1"), "customer": ("cust_v0", "cust_v1"), "lineitem": ("line_v0", "line_v1"), "conversations": ("conv_v0", "conv_v1"), "_hidden": ("xfer_v0", "xfer_v1")}
+    b, a = ({n: view(s, d, v[i]) for n, v in names.items()} for i in (0, 1))
+    return scope.Catalog(a, {"orders": ("o_orderkey",), "customer": ("c_custkey",), "conversations": ("conv_id",)}), b, a
+
+
+def _captured(s: SparkSession, d: str, sc: Scope, b: dict[str, DataFrame], a: dict[str, DataFrame]) -> DataFrame:
+    cs = capture.capture_snapshots(s, b, a, sc)
+    parts = [x.groupBy(F.lit(t).alias("table_name"), "kind").agg(F.count("*").alias("n"), F.count_if(F.size("visible_columns") == 0).alias("unseen")) for t, x in cs.changes.items()]
+    notes = cs.warnings.select(F.col("table").alias("table_name"), F.col("code").alias("kind"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("unseen"))
+    return reduce(DataFrame.unionByName, [*parts, notes])
+
+
+_LINE_DIFF = "li as (select * from line_v1 except all select * from line_v0), lg as (select * from line_v0 except all select * from line_v1), ci as (select * from conv_v1 except all select * from conv_v0), cg as (select * from conv_v0 except all select * from conv_v1)"
+
+
+@query(f"""with {_LINE_DIFF}, o as (select case when b.o_orderkey is null then 'insert' when a.o_orderkey is null then 'delete' else 'update' end as kind, (b.o_orderstatus, b.o_totalprice) is not distinct from (a.o_orderstatus, a.o_totalprice) as unseen from orders_v0 b full join orders_v1 a on a.o_orderkey = b.o_orderkey where a.o_orderkey is null or b.o_orderkey is null or (b.o_orderstatus, b.o_totalprice, b.row_version) is distinct from (a.o_orderstatus, a.o_totalprice, a.row_version)),
+ c as (select case when a.c_custkey is null then 'delete' else 'update' end as kind, (b.c_mktsegment, b.c_acctbal) is not distinct from (a.c_mktsegment, a.c_acctbal) as unseen from cust_v0 b left join cust_v1 a on a.c_custkey = b.c_custkey where a.c_custkey is null or (b.c_mktsegment, b.c_acctbal, b.row_version) is distinct from (a.c_mktsegment, a.c_acctbal, a.row_version))
+ select 'orders' as table_name, kind, count(*) as n, count(*) filter (where unseen and kind = 'update') as unseen from o group by kind union all select 'customer', kind, count(*), count(*) filter (where unseen and kind = 'update') from c group by kind
+ union all select 'lineitem', 'insert', count(*), 0 from li having count(*) > 0 union all select 'lineitem', 'delete', count(*), 0 from lg having count(*) > 0 union all select 'lineitem', 'degraded-row-identity', 0, 0
+ union all select 'conversations', 'insert', count(*), 0 from ci having count(*) > 0 union all select 'conversations', 'delete', count(*), 0 from cg having count(*) > 0 union all select 'conversations', 'degraded-row-identity', 0, 0""")
+def scope_full(s: SparkSession, d: str) -> DataFrame:
+    catalog, b, a = _world(s, d)
+    return _captured(s, d, scope.full_scope(catalog, ignore=(V,)), b, a)
+
+
+@query("""with c as (select case when b.c_custkey is null then 'insert' when a.c_custkey is null then 'left-scope' else 'update' end as kind, b.c_acctbal is not distinct from a.c_acctbal and b.c_mktsegment is not distinct from a.c_mktsegment as same from (select * from cust_v0 where c_mktsegment = 'BUILDING') b full join (select * from cust_v1 where c_mktsegment = 'BUILDING') a on a.c_custkey = b.c_custkey
+ where a.c_custkey is null or b.c_custkey is null or (b.c_acctbal, b.row_version) is distinct from (a.c_acctbal, a.row_version))
+ select 'customer' as table_name, kind, count(*) as n, count(*) filter (where kind = 'update') as unseen from c group by kind union all select 'orders', 'scope-truncated', 0, 0""")
+def scope_watched(s: SparkSession, d: str) -> DataFrame:
+    catalog, b, a = _world(s, d)
+    sc = scope.narrowed_scope(scope.full_scope(catalog, ignore=(V,)), {"customer": {"where": "c_mktsegment = 'BUILDING'", "ignore": ("c_acctbal",)}, "orders": {}})
+    tables = sc.tables | {"orders": replace(sc.tables["orders"], max_rows=10)}
+    return _captured(s, d, replace(sc, tables=tables), b, a)
+
+
+@query("select 'orders' as table_name, 'o_orderkey' as key, 'primary-key' as strategy from orders_v0 having count(*) > 0 union all select 'conversations', 'conv_id,turn', 'unique-index' union all select 'lineitem', '', 'full-row-multiset' union all select 'customer', 'c_custkey', 'unique-index'")
+def key_inference(s: SparkSession, d: str) -> DataFrame:
+    found = {
+        "orders": scope.infer_key(view(s, d, "orders_v0"), ("o_orderkey",)), "conversations": scope.infer_key(view(s, d, "conv_v0"), ("conv_id",), [("conv_id",), ("turn",), ("conv_id", "turn")]),
+        "lineitem": scope.infer_key(view(s, d, "line_v0")), "customer": scope.infer_key(view(s, d, "cust_v0"), None, [("c_nationkey",), ("c_custkey",)]),
+    }
+    return s.createDataFrame([(t, ",".join(k), how) for t, (k, how) in found.items()], "table_name string, key string, strategy string")
+
+
+@query("select x.*, (select count(*) from orders) as n_rows from (values ('orders', 0, 'o_orderkey', true, false, false), ('orders', 1, 'o_custkey', false, false, false), ('orders', 2, 'o_orderstatus', false, true, false), ('orders', 3, 'o_totalprice', false, false, true), ('orders', 4, 'o_orderdate', false, false, false), ('orders', 5, 'o_orderpriority', false, false, false), ('orders', 6, 'row_version', false, false, false)) as x(table_name, ordinal, column_name, is_key, ignored, masked)")
+def table_description(s: SparkSession, d: str) -> DataFrame:
+    t = view(s, d, "orders_v0")
+    sc = Scope({"orders": TableScope("orders", ("o_orderkey",), PRIMARY, None, ("o_orderstatus",), ("o_totalprice",))})
+    c = scope.describe(scope.catalog_columns(s, {"orders": t}), sc.frame(s)).crossJoin(scope.prove_key(t, ("o_orderkey",)).select(F.col("rows").alias("n_rows")))  # one row
+    return c.select(F.col("table").alias("table_name"), "ordinal", F.col("column").alias("column_name"), "is_key", "ignored", "masked", "n_rows")
+
+
+@query("with c as (select * from (values ('watched', 'conversations'), ('watched', 'customer'), ('watched', 'lineitem'), ('watched', 'orders'), ('keyless', 'lineitem'), ('underscore', '_hidden'), ('foreign', 'far')) as t(kind, table_name)) select kind, table_name, case table_name when 'orders' then (select count(*) from orders_v1) when 'lineitem' then (select count(*) from line_v1) end as n_rows from c")
+def scope_report(s: SparkSession, d: str) -> DataFrame:
+    catalog, _, a = _world(s, d)
+    catalog.foreign = ("far",)
+    r = scope.scope_report(s, catalog, scope.full_scope(catalog)).withColumnRenamed("table", "table_name")
+    n = reduce(DataFrame.unionByName, (a[t].agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(t)) for t in ("orders", "lineitem")))
+    return r.join(n, "table_name", "left")
+
+
+@query("select distinct role as name from conversations")
+def unresolved_masks(s: SparkSession, d: str) -> DataFrame:
+    names = view(s, d, "conversations").select(F.col("role").alias("name")).unionByName(view(s, d, "conversations").select(F.lit("c_acctbal").alias("name")))
+    return scope.unresolved_names(s, names, _catalog(s, d))
+
+
+@query(_D + "select 'r' || cast(i as varchar) as run_id, kind, count(*) as n from d, (values (1), (2)) as t(i) where i = 1 or kind = 'insert' group by all")
+def history_changes(s: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(s)}/changes-{uuid.uuid4().hex}"
+    c = capture.canonical(_orders(s, d)).drop("key")
+    for run, part in (("r1", c), ("r2", c), ("r2", select.of_kind(c, "inserted"))):  # the last one replaces its run alone
+        history.write_changes(part.withColumn("run_id", F.lit(run)), path)
+    return s.read.parquet(path).groupBy("run_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("with r as (select distinct run_id from runs), n as (select run_id from r order by run_id desc limit 6), k as (select run_id from n where run_id % 2 = 0 or true) select run_id, count(*) as n from runs where run_id in (select run_id from k order by run_id desc limit 4) group by run_id")
+def history_runs(s: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(s)}/runs-{uuid.uuid4().hex}"
+    r = view(s, d, "runs")
+    history.write_run(r.repartition(4, "run_id"), path, 6)
+    stored = s.read.parquet(path).withColumn("run_id", F.col("run_id").cast("bigint"))
+    few = history.newest(stored.select("run_id", "schema_major").distinct(), 4).select("run_id")
+    return stored.join(few, "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query(_D + "select k as o_orderkey, kind from d where k % 3 = 1")
+def at_step(s: SparkSession, d: str) -> DataFrame:
+    c = _orders(s, d).withColumn("step_id", F.coalesce("after.o_orderkey", "before.o_orderkey") % 3)
+    return select.at_step(c, 1).select(F.coalesce("after.o_orderkey", "before.o_orderkey").alias("o_orderkey"), "kind")
+
+
+# -- more assertions and verdicts --------------------------------------------------------------
+
+
+def _accounts(net: DataFrame) -> DataFrame:
+    image = F.struct("id", "amount")
+    return net.select(F.lit("accounts").alias("table"), values.key_token("fixed", [F.col("id").cast("string")], ["id"]).alias("key_token"), "kind", F.when(F.col("kind") != "insert", image).alias("before"), F.when(F.col("kind") != "delete", image).alias("after"), F.array(F.lit("amount")).alias("changed_columns"), F.array(F.lit("amount")).alias("visible_columns"), F.lit(True).alias("has_write"))
+
+
+@query(_D + """, u as (select * from d where kind = 'update'), one as (select * from d where kind = 'insert' and k = (select min(k) from d where kind = 'insert'))
+ select 0 as ordinal, 'passed' as status, cast(ap as varchar) as actual, cast(null as varchar) as reason from one union all select 1, 'unevaluable', null, cast(count(*) as varchar) || ' values where one is needed' from d where kind = 'insert'
+ union all select 2, 'passed', cast(cast(min(ap - bp) as decimal(38,2)) as varchar), null from u union all select 3, 'passed', cast(cast(max(ap) as decimal(38,2)) as varchar), null from d where kind = 'insert'
+ union all select 4, 'unevaluable', null, cast(count(*) as varchar) || ' rows have no number in o_orderstatus' from u union all select 5, 'unevaluable', null, 'current rows cannot be read here' union all select 6, 'unevaluable', null, 'orders has no column o_totalprise; did you mean o_totalprice?'
+ union all select 7, 'passed', 'true', null""")
+def single_and_folds(s: SparkSession, d: str) -> DataFrame:
+    c = _orders(s, d)
+    first = select.of_kind(c, "inserted").agg(F.min("after.o_orderkey").alias("k")).first()["k"]
+    cs = capture.ChangeSet({"orders": c}, Scope({"orders": ORDERS}), capture.VALUE, capture.NET, capture.warn(s))
+    k = check
+    new = k.inserted("orders")
+    e = [
+        k.single(new.where(o_orderkey=first)).after("o_totalprice").gt(0), k.single(new).after("o_totalprice").gt(0), k.min_(k.delta(k.updated("orders"), "o_totalprice")).ge(0), k.max_(new.after("o_totalprice")).gt(0),
+        k.sum_(k.updated("orders").after("o_orderstatus")).eq(0), k.count(k.rows("orders")).gt(0), k.sum_(k.delta(k.changes("orders"), "o_totalprise")).eq(0), k.any_(new),
+    ]
+    return check.evaluate(s, cs, e).select("ordinal", "status", "actual", "reason")
+
+
+@query("select run_id, step_no, row_number() over (partition by run_id order by case a_status when 'failed' then 0 when 'unevaluable' then 1 when 'passed' then 2 else 4 end, step_no) as place from runs")
+def worst_first(s: SparkSession, d: str) -> DataFrame:
+    r = view(s, d, "runs").select("run_id", "step_no", F.col("a_status").alias("status"), F.col("step_no").alias("ordinal"))
+    # the order within each run is read off the sorted rows
+    w = verdict.worst_first(r, "run_id").withColumn("_at", F.monotonically_increasing_id())
+    return w.select("run_id", "step_no", F.row_number().over(Window.partitionBy("run_id").orderBy("_at")).alias("place"))
+
+
+@query("with t as (select 'conversations' as table_name union all select 'lineitem' union all select 'orders') select table_name, row_number() over (order by table_name) as place from t, (select count(*) as n from orders_v1) where n > 0")
+def summary_order(s: SparkSession, d: str) -> DataFrame:
+    all_ = reduce(DataFrame.unionByName, (x.select("table", "kind", "visible_columns") for x in (_orders(s, d), _conv(s, d), _lines(s, d))))
+    w = summary.change_summary(all_).withColumn("_at", F.monotonically_increasing_id())
+    return w.select(F.col("table").alias("table_name"), F.row_number().over(Window.orderBy("_at")).alias("place"))
+
+
+_REASON = """pl as (select run_id, count(*) as steps, count(*) filter (where outcome = 'errored') as e, min(case when outcome = 'errored' then step_no end) as fe, count(*) filter (where a_status = 'failed') as f, count(*) filter (where a_status = 'unevaluable') as u, count(*) filter (where w_code = 'scope-truncated') as blind, count(*) filter (where outcome = 'not-run') as nr,
+ list_sort(list(step_no) filter (where outcome = 'not-run')) as missed, count(*) filter (where w_code = 'degraded-row-identity') as soft, run_id % 5 = 0 as part, run_id % 3 = 0 as unprobed, list_sort(list(distinct 't' || cast(step_no as varchar)) filter (where w_code = 'scope-truncated')) as ts, list_sort(list(distinct 't' || cast(step_no as varchar)) filter (where w_code = 'degraded-row-identity')) as ds from sx group by run_id),
+ tx as (select *, array_to_string(ts[1:3], ', ') || case when len(ts) > 3 then ' and ' || cast(len(ts) - 3 as varchar) || ' more' else '' end as tt, array_to_string(ds[1:3], ', ') || case when len(ds) > 3 then ' and ' || cast(len(ds) - 3 as varchar) || ' more' else '' end as dt from pl)"""
+
+
+@query("with " + _STEP + ", " + _REASON + """ select run_id, case when e > 0 then cast(e as varchar) || case when e = 1 then ' step' else ' steps' end || ' of ' || cast(steps as varchar) || ' errored, first ' || cast(fe as varchar) when f > 0 then cast(f as varchar) || case when f = 1 then ' assertion failed' else ' assertions failed' end
+ when u > 0 then cast(u as varchar) || case when u = 1 then ' assertion' else ' assertions' end || ' could not be evaluated' when blind > 0 then 'scope-truncated on ' || tt else 'all assertions held' end as reason,
+ array_to_string(list_filter([case when part then 'only a part of the steps was asked for' end, case when nr > 0 then cast(nr as varchar) || case when nr = 1 then ' step' else ' steps' end || ' never ran: ' || array_to_string(missed, ', ') end, case when unprobed then 'nobody looked at what changes when nothing is asked' end,
+ case when soft > 0 then 'degraded-row-identity on ' || dt end, case when blind > 0 then 'scope-truncated on ' || tt end], lambda x: x is not null), '; ') as fine_print from tx""")
+def run_reasons(s: SparkSession, d: str) -> DataFrame:
+    return _reasoned(s, d).select("run_id", "reason", F.array_join("fine_print", "; ").alias("fine_print"))
+
+
+def _reasoned(s: SparkSession, d: str, policy: verdict.Policy = verdict.Policy()) -> DataFrame:  # noqa: B008
+    r = view(s, d, "runs")
+    w = r.where("w_code is not null").select("run_id", F.col("w_code").alias("code"), F.concat(F.lit("t"), F.col("step_no").cast("string")).alias("table"))
+    facts = r.select("run_id").distinct().select("run_id", (F.col("run_id") % 5 == 0).alias("partial"), (F.col("run_id") % 3 != 0).alias("probed"))
+    return verdict.run_verdicts(_steps(s, d, policy), ["run_id"], policy, w, facts)
+
+
+@query("with " + _STEP + """, pl as (select run_id, count(*) filter (where outcome = 'not-run') as nr, count(*) filter (where w_code = 'scope-truncated') as blind, count(*) filter (where w_code = 'degraded-row-identity') as soft, count(*) filter (where a_status = 'unevaluable') as u, run_id % 5 = 0 as part, run_id % 3 = 0 as unprobed from sx group by run_id),
+ b as (select unnest(list_filter([case when part then 'partial' end, case when nr > 0 then 'unreached' end, case when unprobed then 'unprobed' end, case when soft > 0 then 'degraded-row-identity' end, case when blind > 0 then 'scope-truncated' end, case when u > 0 then 'by-policy' end], lambda x: x is not null)) as bound, u from pl),
+ k as (select bound, count(*) as k, sum(u) as u, (select count(*) from pl) as n from b group by bound) select bound, case when k = n then bound else bound || ' in ' || cast(k as varchar) || ' of ' || cast(n as varchar) || ' datasets' end || case when bound = 'by-policy' then ', ' || cast(u as varchar) || ' assertions' else '' end as sentence from k""")
+def suite_fine_print(s: SparkSession, d: str) -> DataFrame:
+    return verdict.suite_bounds(_reasoned(s, d, verdict.Policy(accept_unevaluable=True)))
+
+
+@query("select run_id, count(*) as total, count(*) filter (where role = 'passed') as passed, count(*) filter (where role = 'failed') as failed, count(*) filter (where role not in ('passed', 'failed', 'passed-as-refused')) as unevaluable, count(*) filter (where role = 'passed-as-refused') as passed_as_refused from runs group by run_id")
+def unknown_statuses(s: SparkSession, d: str) -> DataFrame:
+    return verdict.assertion_counts(view(s, d, "runs"), ["run_id"], "role")
+
+
+@query("with " + _STEP + ", " + _RUN + f" select {_SUITE} from ro where run_id % 2 = 0 union all select {_SUITE} from ro")
+def stored_suite(s: SparkSession, d: str) -> DataFrame:
+    """Stored verdicts, read back, are a report like another."""
+    path = f"{shared_folder(s)}/verdicts-{uuid.uuid4().hex}"
+    history.write_run(_runs(s, d), path, 0)
+    stored = history.gate(s.read.parquet(path))[0]
+    return verdict.suite_verdict(stored.where("run_id % 2 = 0")).unionByName(verdict.suite_verdict(stored))
+
+
+@query("with c as (select distinct scenario_id as assertion, role as expected, step_no % 2 as d from runs), f as (select distinct assertion, expected from c where d = 0), t as (select assertion from f group by 1 having count(*) > 1) select assertion, expected from f where assertion not in (select assertion from t) union all select assertion, 'claimed twice' from t")
+def expected_answers(s: SparkSession, d: str) -> DataFrame:
+    r = view(s, d, "runs").select(F.col("scenario_id").alias("assertion"), F.col("role").alias("expected"), F.when(F.col("step_no") % 2 == 0, "value").otherwise("write").alias("detection"), F.lit(None).cast("string").alias("fidelity"), F.lit(None).cast("boolean").alias("row_identity"))
+    one, twice = summary.expected_answers(r, capture.VALUE, capture.NET, True)
+    return one.unionByName(twice.withColumn("expected", F.lit("claimed twice")))
+
+
+@query(_D + "select 'hasWrite(changes(orders, o_orderkey = \"' || cast(k as varchar) || '\")) == true' as expression, 'volatile' as caveat from d where kind = 'update'")
+def promote_volatile(s: SparkSession, d: str) -> DataFrame:
+    names = {"o_orderstatus": "last_seen", "o_totalprice": "touched", "o_orderdate": "created_at", "o_orderpriority": "etag"}
+    part = lambda v: view(s, d, v).drop(V).withColumnsRenamed(names)
+    c = capture.snapshot_diff(part("orders_v0"), part("orders_v1"), ORDERS)
+    return promote.update_candidates(c, ["o_orderkey"]).select("expression", "caveat")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from .scope import Scope
 #: The structured record.
 RECORD = "sequence bigint, transaction_id string, lsn string, table_name string, operation string, key map<string,string>, ts timestamp"
 #: The shapes of the log's lines.
-HEADER = r"^table (\"[^\"]+\"|[^.\"]+)\.(\"[^\"]+\"|[^:\"]+): (INSERT|UPDATE|DELETE):"
+HEADER = r"^table (\"(?:[^\"]|\"\")+\"|[^.\"]+)\.(\"(?:[^\"]|\"\")+\"|[^:\"]+): (INSERT|UPDATE|DELETE):"
 TRUNCATE = r"^table (.+): TRUNCATE:"
 COLUMN = r"(\"(?:[^\"]|\"\")+\"|\w+)\[((?:[^\[\]]|\[\])+)\]:((?:[BEX]?'(?:[^']|'')*')|[^\s]+)"
 
@@ -22,7 +24,8 @@ def read_records(spark, path: str, fmt: str = "json", streaming: bool = False) -
 
 
 def _unquoted(c: Column) -> Column:
-    return F.when(c.startswith('"'), F.replace(F.substring(c, 2, 1 << 20), F.lit('"'), F.lit(""))).otherwise(c)
+    """A name without its quotes; a doubled quote inside stands for one."""
+    return F.when(c.startswith('"'), F.replace(F.regexp_extract(c, '^"(.*)"$', 1), F.lit('""'), F.lit('"'))).otherwise(c)
 
 
 def normal_value(type_: Column, text: Column) -> Column:
@@ -66,17 +69,26 @@ def position(text: Column) -> Column:
     return F.conv(hi, 16, 10).cast("decimal(20,0)") * 4294967296 + F.conv(lo, 16, 10).cast("decimal(20,0)")
 
 
+def _place(d: DataFrame, lsn: str) -> tuple[Column, Callable[[object], Column]]:
+    """The position column as a number, and how to read a mark: texts 'A/B' are compared as positions, numbers as they are."""
+    if d.schema[lsn].dataType.typeName() == "string":
+        return position(F.col(lsn)), lambda v: position(F.lit(v))
+    return F.col(lsn), F.lit
+
+
 def commit_fence(log: DataFrame, opened: object, closed: object | None = None, lsn: str = "lsn", txn: str = "transaction_id", is_commit: str = "is_commit") -> DataFrame:
     """Whole transactions of a window: those whose COMMIT stands at or after ``opened``, and those without one; records
     beyond ``closed`` are left out first. Only the old transactions are looked for (combined before the shuffle) and taken away."""
-    d = log if closed is None else log.where(F.col(lsn) <= F.lit(closed))
-    old = d.where(F.col(is_commit)).groupBy(txn).agg(F.max(lsn).alias("_c")).where(F.col("_c") < F.lit(opened)).select(txn)
+    at, mark = _place(log, lsn)
+    d = log if closed is None else log.where(at <= mark(closed))
+    old = d.where(F.col(is_commit)).groupBy(txn).agg(F.max(at).alias("_c")).where(F.col("_c") < mark(opened)).select(txn)
     return d.join(old, txn, "left_anti")
 
 
 def late_log_warning(log: DataFrame, mark: object, lsn: str = "lsn") -> DataFrame:
     """A scope-truncated row if the log does not reach the mark that closed the window."""
-    m = log.agg(F.max(lsn).alias("m")).where(F.col("m").isNull() | (F.col("m") < F.lit(mark)))
+    at, read = _place(log, lsn)
+    m = log.agg(F.max(at).alias("m")).where(F.col("m").isNull() | (F.col("m") < read(mark)))
     return m.select(F.lit("log").alias("source"), F.lit("scope-truncated").alias("code"), F.lit(None).cast("string").alias("table"), F.lit("the log ends before the window does").alias("message"))
 
 

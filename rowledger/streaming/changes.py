@@ -106,7 +106,8 @@ def store_each_batch(changes: DataFrame, path: str, checkpoint: str) -> Streamin
 def carried(observations: DataFrame, by: list[str], step: str = "step_no", value: str = "value") -> DataFrame:
     """(by…, step, state, value, since): a series' last observed value fills the steps that report none (NULL), across batches.
 
-    A batch's rows of a series are taken in order of step; the state is one value and its step."""
+    As in ``series.observe``: a step with one value observes it, one with several rows is unevaluable, whatever they hold. A batch's rows
+    of a series are taken in order of step; a step's rows of a series come in one batch. The state is one value and its step."""
     schema = observations.schema
     out = ", ".join([*(f"{c} {schema[c].dataType.simpleString()}" for c in by), f"{step} {schema[step].dataType.simpleString()}", "state string", "value string", f"since {schema[step].dataType.simpleString()}"])
 
@@ -115,7 +116,7 @@ def carried(observations: DataFrame, by: list[str], step: str = "step_no", value
         rows = []
         for s, group in pd.concat(list(frames)).sort_values(step).groupby(step, sort=True):
             seen = [v for v in group[value] if v is not None and v == v]
-            if len(seen) > 1:
+            if len(group) > 1:
                 rows.append((*key, s, "unevaluable", None, None))
             elif seen:
                 last, since = str(seen[0]), int(s)

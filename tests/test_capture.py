@@ -169,3 +169,19 @@ def test_one_aggregation_for_many_assertions(spark):
         p.plan(k.count(k.updated("accounts").where(id=str(i))).eq(0))
         p.plan(k.count(k.updated("accounts").where(id=str(i))).eq(1))
     assert len(p.sources) == 1 and len(next(iter(p.sources.values())).columns) == 20
+
+
+def test_copies_are_given_out_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(capture, "SLICE", 4)
+    d = spark.createDataFrame([("a",)] * 11 + [("b",)] * 2, "x string")
+    out = capture.multiset_diff(d.where("x = 'b'"), d.unionByName(d.where("x = 'b'")), TableScope("t"))
+    assert {(r["kind"], r["x"]): r["n"] for r in out.groupBy("kind", F.col("after.x").alias("x")).agg(F.count("*").alias("n")).collect()} == {("insert", "a"): 11, ("insert", "b"): 2}
+
+
+def test_tables_bucketed_by_a_proven_key_need_no_shuffle(spark):
+    d = spark.createDataFrame([(i, i % 3) for i in range(50)], "k long, v long")
+    for name, x in (("bucket_b", d), ("bucket_a", d.withColumn("v", F.col("v") + F.when(F.col("k") == 7, 1).otherwise(0)))):
+        x.write.mode("overwrite").bucketBy(4, "k").sortBy("k").saveAsTable(name)
+    t = TableScope("t", ("k",), PRIMARY)
+    out = capture.snapshot_diff(spark.table("bucket_b").hint("merge"), spark.table("bucket_a"), t, proven=True)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 1

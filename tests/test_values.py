@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,10 +32,27 @@ def test_typed_equality(spark, kind, a, b, same):
 def test_decimals_keep_their_digits(spark):
     a, b = F.lit("1234567890123456789012345.0000000001").cast("decimal(38,10)"), F.lit("0.01").cast("decimal(38,2)")
     assert str(one(spark, values.minus(a, b, 10))[0]) == "1234567890123456789012344.9900000001"
+    for x, y in (("-0.3", "0.1"), ("9999999999999999999999999999.9999999999", "-0.0000000001"), ("-5000000000000000000000000000.5", "-0.5000000001"), ("9999999999999999999999999999.9999999999", "0.0000000001"), ("-1000000000000000000000000000.25", "1000000000000000000000000000.5"), ("-0.25", "-9000000000000000000000000000.75")):
+        with localcontext(prec=60):
+            want = Decimal(x) + Decimal(y)
+        got = one(spark, values.plus(F.lit(x).cast("decimal(38,10)"), F.lit(y).cast("decimal(38,10)"), 10))[0]
+        assert got == (want if want.copy_abs() < 10**28 else None), (x, y, got)
+    tiny = lambda k: F.lit("0." + "0" * 30 + str(k))
+    assert one(spark, values.compare_numbers(tiny(1), tiny(2), "<"), values.compare_numbers(F.concat(F.lit("-"), tiny(1)), F.concat(F.lit("-"), tiny(2)), ">"), values.eq_typed(tiny(1), tiny(2), "numeric"), values.eq_typed(F.lit("-0.0"), F.lit("0"), "numeric")) == (True, True, False, True)
     assert one(spark, values.compare_numbers(F.lit("abc"), F.lit("1"), "<")) == (None,)
     assert one(spark, values.compare_numbers(F.lit("9"), F.lit("10"), "<")) == (True,)
 
 
+def test_scrubbing(spark):
+    known = {"alpha beta": "<1>", "beta gamma": "<2>", "alpha beta gamma": "<3>", "tiny": "<4>"}
+    texts = ["say alpha beta gamma", "alpha betabeta gamma", "tiny things", None, ""]
+    d, s = spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame(list(known.items()), "value string, mark string")
+    got = [r["scrubbed"] for r in values.scrub_texts(d, s, "t").collect()]
+    assert got == ["say <3>", "<1><2>", "tiny things", None, ""] == [r["x"] for r in d.select(values.scrub(F.col("t"), known).alias("x")).collect()]
+    j = '{"alpha beta": ["alpha beta", {"x\\"": "no alpha beta\\""}], "n": 1}'
+    assert one(spark, values.scrub_json(F.lit(j), known)) == ('{"alpha beta": ["<1>", {"x\\"": "no <1>\\""}], "n": 1}',)
+
+
 def test_key_parts_that_are_null_count(spark):
     k = lambda x: values.key_token("s", [F.lit(1), F.lit(x).cast("string")], ["a", "b"])
     a, b, c = one(spark, k(None), k(""), k(None))
