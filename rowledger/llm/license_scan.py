@@ -5,10 +5,14 @@ the hashes of every ``GRAM`` words in a row, the smallest of each ``WINDOW`` is
 fingerprint, so a shared run of GRAM + WINDOW - 1 words always shares one. The
 fingerprints of the templates are an inverted index: hash -> places. A document's
 fingerprints that occur in it vote for a template and a diagonal (place in the
-document less place in the template); votes on near diagonals are one candidate,
-which an alignment within a band of ``BAND`` words about the diagonal confirms. It
+document less place in the template); votes within half a band (and half a short template) are one candidate,
+which an alignment within a band of ``BAND`` words about the diagonal confirms: the
+longest common subsequence of the words that meet in the band. It
 allows for words that were changed, left out or put in, and gives the matched words,
-their share of the template (coverage) and the span in the document.
+their share of the template (coverage) and the span in the document. What a long
+insertion or omission tears apart lies on several diagonals: alignments of one template
+that are none by themselves are joined where no more than ``GAP`` words lie between
+them, and the words that they match together count.
 
 The index is of the size of the templates, which the caller gives and ``most`` bounds;
 documents are read in one scan without a shuffle, whole. Defined results: null and
@@ -19,6 +23,7 @@ other columns are not read; an empty table or no templates give an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM, WINDOW, BAND = 3, 2, 8
+GRAM, WINDOW, BAND, GAP = 3, 2, 8, 64
 _EDGES = b"\"'()[]{}<>.,;:!?*#-_=`~|"
 
 #: Public license notices, as they are written in files.
@@ -173,36 +178,69 @@ class Index:
         pairs = sorted({(int(self.template[j]), int(at[i] - self.place[j])) for i in hit for j in range(lo[i], hi[i])})
         out: list[list[int]] = []
         for t, d in pairs:
-            if out and out[-1][0] == t and d - out[-1][2] <= BAND // 2:
+            if out and out[-1][0] == t and d - out[-1][1] <= band(self.words[t]) // 2:
                 out[-1][2] = d
             else:
                 out.append([t, d, d])
         return [(t, (a + b) // 2) for t, a, b in out]
 
 
-def align(doc: np.ndarray, template: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Longest common subsequence within the band about the diagonal: (matched words, first, last place in the document).
-
-    Ties prefer the shorter span. Cost: words of the template times the width of the band."""
-    width = 2 * BAND + 1
-    # state for each offset in the band: (matched, -first place, last place)
-    best = [(0, 0, -1)] * width
-    for i in range(len(template)):
-        row = [(0, 0, -1)] * width
-        for k in range(width):
-            j = i + diagonal + k - BAND
-            s = best[k + 1] if k + 1 < width else (0, 0, -1)  # this word of the template is left out
-            if k and row[k - 1] > s:
-                s = row[k - 1]  # a word of the document is skipped
-            if 0 <= j < len(doc) and doc[j] == template[i]:
-                m = best[k]
-                took = (m[0] + 1, m[1] if m[0] else -j, j)
-                if took > s:
-                    s = took
-            row[k] = s
-        best = row
-    m, first, last = max(best)
-    return m, -first, last
+def band(template: np.ndarray) -> int:
+    """Words on either side of a diagonal; of a short template half, so that it cannot meet its next copy."""
+    return min(BAND, len(template) // 2)
+
+
+def meetings(doc: np.ndarray, template: np.ndarray, diagonal: int) -> list[tuple[int, int]]:
+    """(place in the template, place in the document) of equal words within the band about the diagonal, in order."""
+    wide = band(template)
+    at = np.arange(len(template))[:, None] + np.arange(diagonal - wide, diagonal + wide + 1)[None, :]
+    inside = (at >= 0) & (at < len(doc))
+    same = inside & (doc[np.where(inside, at, 0)] == template[:, None])
+    i, k = np.nonzero(same)
+    return list(zip(i.tolist(), at[i, k].tolist(), strict=True))
+
+
+def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest of the pairs that rise in both places: a longest common subsequence, drawn together towards its end.
+
+    Cost: the logarithm of its length for each pair."""
+    ends: list[int] = []
+    held: list[int] = []
+    before: list[int] = []
+    # of equal places in the template, the later one in the document first, so that one of them is taken
+    pairs = sorted(pairs, key=lambda p: (p[0], -p[1]))
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(ends, j)
+        if k == len(ends):
+            ends.append(j)
+            held.append(n)
+        else:
+            ends[k], held[k] = j, n
+        before.append(held[k - 1] if k else -1)
+    out: list[tuple[int, int]] = []
+    n = held[-1] if held else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    where: dict[int, list[int]] = {}
+    for i, j in pairs:
+        where.setdefault(i, []).append(j)
+    limit, tight = 1 << 62, []
+    for i, _ in out:  # from the last to the first
+        limit = max(j for j in where[i] if j < limit)
+        tight.append((i, limit))
+    return tight[::-1]
+
+
+def parts(found: list[tuple[int, int]], words: int) -> list[list[tuple[int, int]]]:
+    """A chain cut where more than ``words`` words of the document lie between two of its pairs."""
+    out: list[list[tuple[int, int]]] = []
+    for p in found:
+        if out and p[1] - out[-1][-1][1] - 1 <= words:
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most: int = 200_000) -> DataFrame:
@@ -211,19 +249,36 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     overlapping matches are one, the best; of templates on the same words the longer match is kept."""
     index = Index(TEMPLATES if templates is None else templates, most)
 
+    def free(out: list, a: int, b: int) -> bool:
+        return all(b < x[3] or a > x[4] for x in out)
+
     def matches(text: str | None, memo: WordHashes) -> list[tuple[int, int, float, int, int]]:
         h, at = words(text, memo)
-        found = []
+        whole, torn = [], {}
         for t, d in index.votes(h):
-            w = index.words[t]
-            m, first, last = align(h, w, d)
-            if m and m / len(w) >= least:
-                found.append((m, m / len(w), -t, int(at[first]), int(at[last])))
+            met = meetings(h, index.words[t], d)
+            c = chain(met)
+            if c and len(c) / len(index.words[t]) >= least:
+                whole.append((len(c), len(c) / len(index.words[t]), -t, c[0][1], c[-1][1]))
+            elif c:
+                torn.setdefault(t, []).append((d, met))
+        for t, rest in torn.items():
+            n = len(index.words[t])
+            rest.sort(key=lambda x: x[0])
+            group: list[tuple[int, int]] = []
+            for k, (d, met) in enumerate(rest):
+                group += met
+                if k + 1 < len(rest) and rest[k + 1][0] - d <= GAP + 2 * BAND:
+                    continue
+                for c in parts(chain(sorted(set(group))), GAP):
+                    if len(c) / n >= least:
+                        whole.append((len(c), len(c) / n, -t, c[0][1], c[-1][1]))
+                group = []
         out: list[tuple[int, int, float, int, int]] = []
-        for m, share, t, a, b in sorted(found, reverse=True):
-            if all(b < x[3] or a > x[4] for x in out):
+        for m, share, t, a, b in sorted(whole, key=lambda x: (-x[0], x[4] - x[3], -x[2], x[3])):
+            if free(out, a, b):
                 out.append((-t, m, share, a, b))
-        return out
+        return [(t, m, share, int(at[a]), int(at[b])) for t, m, share, a, b in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()

@@ -351,7 +351,43 @@ def test_license_scan(spark, docs, empty):
     assert [(x["license"], x["first_word"], x["last_word"]) for x in r] == [("MIT-text", 30, 30 + len(t) - 3)] and 0.9 < r[0]["coverage"] < 1
     memo = license_scan.WordHashes()
     a, b = (license_scan.words(" ".join(x), memo)[0] for x in (t, edited.split()))
-    assert license_scan.align(b, a, 30)[0] == len(a) - 3  # brute force: three words of the template are gone
+    assert len(license_scan.chain(license_scan.meetings(b, a, 30))) == len(a) - 3  # brute force: three words of the template are gone
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    """Against the plain table, for all templates: edited copies at several places, within the band."""
+    r, memo = random.Random(4), license_scan.WordHashes()
+    for text in license_scan.TEMPLATES.values():
+        t = license_scan.words(text, memo)[0]
+        doc = [f"x{k}" for k in range(r.randrange(9))]
+        for w in text.split():
+            x = r.random()
+            doc += [w] if x < 0.9 else [w, "extra"] if x < 0.93 else ["other"] if x < 0.96 else []
+        h = license_scan.words(" ".join([*doc, "the", "end"]), memo)[0]
+        d = len(doc) - len(text.split()) - 2
+        c = license_scan.chain(license_scan.meetings(h, t, d))
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(c, c[1:], strict=False)) and all(h[j] == t[i] and abs(j - i - d) <= license_scan.band(t) for i, j in c)
+        best = np.zeros((len(t) + 1, len(h) + 1), int)
+        for i in range(len(t)):
+            for j in range(len(h)):
+                hit = h[j] == t[i] and abs(j - i - d) <= license_scan.band(t)
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + 1 if hit else 0)
+        assert len(c) == best[-1, -1]
+
+
+def test_license_scan_loses_no_match(spark):
+    mit, short = license_scan.TEMPLATES["MIT-text"].split(), license_scan.TEMPLATES["CC-BY-NC-4.0"]
+    cases = {
+        1: " ".join([short] * 20), 2: " ".join([*mit[:60], *(f"put{k}" for k in range(12)), *mit[60:]]), 3: " ".join([*mit[:50], *mit[62:]]), 4: " ".join(["far"] * 5000 + mit + ["away"] * 5000), 5: " ".join(mit + ["between"] * 3 + mit),
+        6: " ".join([*mit[:80], *(f"gap{k}" for k in range(400)), *mit[80:]]), 7: " ".join([*mit[:40], "one", *(f"a{k}" for k in range(20)), *mit[40:90], *(f"b{k}" for k in range(20)), *mit[90:]]),
+    }
+    got = defaultdict(list)
+    for r in license_scan.scan(spark.createDataFrame([*cases.items(), (1, cases[1]), (None, short)], "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["license"], r["matched"], r["first_word"], r["last_word"]))
+    n = len(mit)
+    assert sorted(got[1]) == sorted([("CC-BY-NC-4.0", 5, 5 * k, 5 * k + 4) for k in range(20)] * 2) and got[None] == [("CC-BY-NC-4.0", 5, 0, 4)]
+    assert got[2] == [("MIT-text", n, 0, n + 11)] and got[3] == [("MIT-text", n - 12, 0, n - 13)] and got[4] == [("MIT-text", n, 5000, 4999 + n)]
+    assert sorted(got[5]) == [("MIT-text", n, 0, n - 1), ("MIT-text", n, n + 3, 2 * n + 2)] and got[6] == [] and got[7] == [("MIT-text", n, 0, n + 40)]
 
 
 def test_license_scan_names_whole_texts(spark):
