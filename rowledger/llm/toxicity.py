@@ -12,8 +12,8 @@ fitted on the driver from at most ``max_rows`` labelled documents, chosen by a h
 of the id; everything else covers all rows. Scoring is one scan without a shuffle.
 
 Defined results: a null text counts as empty and gets the score of a text without
-features; null ids and repeated rows come back one for one; labels that are null are
-not used, equal ids in the labels count once, and with no labels of both kinds a
+features; null ids and repeated rows come back one for one; a label that is null is
+not used, the others of its row are; equal ids in the labels count once, of several texts with a labelled id one is learnt from, and with no labels of both kinds a
 category's score is its rate; empty tables give empty results; columns of the
 documents are carried only if asked for, and score columns never replace one of them.
 """
@@ -126,24 +126,29 @@ def predict_linear(rows: list[np.ndarray], dense: np.ndarray, model) -> np.ndarr
 
 
 def fit_chain(rows: list[np.ndarray], labels: dict[str, np.ndarray], folds: np.ndarray, most: int = 1500, least_rows: int = 6, ridge: float = 1.0, steps: int = 120) -> tuple[list[Link], dict[str, np.ndarray]]:
-    """The chain, and the out-of-fold probabilities of each category. Thresholds hold a precision out of fold."""
+    """The chain, and the out-of-fold probabilities of each category. A label of NaN is not used, but its row takes part in the
+    categories that it is labelled for. Thresholds hold a precision out of fold."""
     dense, chain, held = np.zeros((len(rows), 0)), [], {}
-    for name, y in labels.items():
-        if not 0 < y.sum() < len(y):
-            p = np.full(len(y), float(y.mean()) if len(y) else 0.0)
+    for name, given in labels.items():
+        there = ~np.isnan(given)
+        y = np.where(there, given, 0.0)
+        rate = float(given[there].mean()) if there.any() else 0.0
+        if not 0 < y.sum() < there.sum():
+            p = np.full(len(y), rate)
             chain.append(Link(name, float(_odds(np.array([p[0] if len(p) else 0.0]))[0]), chain=[0.0] * dense.shape[1]))
         else:
             p = np.zeros(len(y))
             for k in np.unique(folds):
-                inside = np.flatnonzero(folds != k)
+                inside = np.flatnonzero((folds != k) & there)
                 outside = np.flatnonzero(folds == k)
                 if len(inside) and 0 < y[inside].sum() < len(inside):
                     m = fit_linear([rows[i] for i in inside], dense[inside], y[inside], most, least_rows, ridge, steps)
                     p[outside] = predict_linear([rows[i] for i in outside], dense[outside], m)
                 else:
-                    p[outside] = y[inside].mean() if len(inside) else y.mean()
-            at, w, v, bias = fit_linear(rows, dense, y, most, least_rows, ridge, steps)
-            chain.append(Link(name, bias, best_threshold(p, y), dict(zip(at.tolist(), w.tolist(), strict=True)), v.tolist()))
+                    p[outside] = y[inside].mean() if len(inside) else rate
+            own = np.flatnonzero(there)
+            at, w, v, bias = fit_linear([rows[i] for i in own], dense[own], y[own], most, least_rows, ridge, steps)
+            chain.append(Link(name, bias, best_threshold(p[own], y[own]), dict(zip(at.tolist(), w.tolist(), strict=True)), v.tolist()))
         held[name] = p
         dense = np.column_stack([dense, _odds(p)])
     return chain, held
@@ -163,7 +168,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray, precision: float = 0.95) -> flo
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_rows: int = 6000, folds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> list[Link]:
     """Fit the chain on at most about ``max_rows`` labelled documents, a bound that does not grow with the tables."""
-    known = labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories))).dropna()
+    known = labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories))).dropna("all", subset=[f"y{i}" for i in range(len(categories))]).where("id is not null")
     n = known.count()
     part = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, max_rows / max(n, 1)) * (1 << 30)))
     part = part.groupBy("id").agg(*(F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))))
@@ -177,9 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_r
     ys = [f"y{i}" for i in range(len(categories))]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(part, "id").select("id", "text", *ys)
     shape = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{y} int" for y in ys) + ", features binary"
-    got = sorted(rows.mapInArrow(run, shape).collect(), key=lambda r: (r["id"], r["features"]))
+    # one text for each labelled id, so that the bound holds whatever repeats in the documents
+    one = rows.mapInArrow(run, shape).groupBy("id").agg(*(F.max(y).alias(y) for y in ys), F.min("features").alias("features"))
+    got = sorted(one.collect(), key=lambda r: r["id"])
     x = [np.frombuffer(r["features"], np.int32).astype(np.int64) for r in got]
-    y = {c: np.array([r[f"y{i}"] != 0 for r in got], float) for i, c in enumerate(categories)}
+    y = {c: np.array([np.nan if r[f"y{i}"] is None else r[f"y{i}"] != 0 for r in got], float) for i, c in enumerate(categories)}
     fold = np.array([xxhash.xxh3_64_intdigest(str(r["id"])) % folds for r in got], np.int64)
     return fit_chain(x, y, fold)[0]
 
