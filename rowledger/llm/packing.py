@@ -152,7 +152,10 @@ def pack(items: DataFrame, capacity: int = 1024, group_size: int = 2000, islands
 
     shape = "grp long, island int, uids array<long>, lengths array<long>, genomes array<array<int>>, bins int, filled double"
     for k in range(epochs):
-        done = table(state.mapInPandas(epoch(k), shape), "islands")
+        done = state.mapInPandas(epoch(k), shape)
+        if k + 1 == epochs:  # read once, by what follows
+            break
+        done = table(done, "islands")
         guests = done.select("grp", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("genomes")[0].alias("guest"))
         state = done.drop("bins", "filled").join(guests, ["grp", "island"])
     best = done.groupBy("grp").agg(F.min_by(F.struct("uids", "lengths", F.col("genomes")[0].alias("genome")), F.struct("bins", -F.col("filled"), "island")).alias("b")).select("b.*")

@@ -433,6 +433,41 @@ def test_chain_uses_out_of_fold_predictions():
     assert abs(np.corrcoef(held["a"], y["a"])[0, 1]) < 0.3  # predictions in the fold would follow the labels
 
 
+def test_chain_uses_the_labels_that_are_there(spark):
+    rows = [(i, "plain words here " + ("nasty " if i % 3 == 0 else "") + WORDS[i % 20]) for i in range(300)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, None, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, *toxicity.graded(lab))
+    got = toxicity.score(docs, chain).collect()
+    limit = chain[1].threshold
+    assert len(got) == 350 and all((r["p_toxic"] >= limit) == (r["doc_id"] % 3 == 0) for r in got)
+    # brute force: each score from the model's own numbers
+    memo, texts_ = toxicity.Features(), dict(rows)
+    for r in got[::37]:
+        f, odds = memo.of(texts_[r["doc_id"]]), []
+        for link in chain:
+            z = link.bias + sum(link.weights.get(x, 0.0) for x in f) + sum(c * o for c, o in zip(link.chain, odds, strict=True))
+            p = 1 / (1 + np.exp(-z))
+            assert r[f"p_{link.name}"] == pytest.approx(p)
+            odds.append(np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4))))
+
+
+def test_genetic_packing_beats_its_own_start():
+    """Of groups that best fit packs into more bins than their sum needs, breeding packs some into fewer, and none into more."""
+    better = 0
+    for seed in range(20):
+        r = random.Random(seed)
+        lengths = [r.choice((501, 260, 250, 249, 241, 380, 120)) for _ in range(150)]
+        isle = packing.Island(lengths, 1000, seed)
+        folk = [isle.start(0.15 * j) for j in range(3)]
+        best = min(map(len, folk))
+        got = isle.evolve(folk, 60)[0]
+        assert sorted(i for b in got for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 1000 for b in got)
+        assert len(got) <= best
+        better += len(got) < best
+    assert better
+
+
 def test_lm_scores(spark, docs, empty):
     r = random.Random(6)
     pairs = [("hot", "sun"), ("cold", "snow"), ("wet", "rain")]
