@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; where it is unset (on one machine, as in tests), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,10 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and outlives executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and outlives executors. The shuffles that made it
+    are of no use afterwards, so Spark is told to remove their files with the end of the job."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

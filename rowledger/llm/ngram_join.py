@@ -463,6 +463,7 @@ def links(docs: DataFrame, found: DataFrame, limit: Threshold, plan: list[tuple[
         if not seen["more"]:
             break
         deal *= 4
+    discard(kept, place, long_rows)
     return one.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
@@ -489,7 +490,7 @@ def representatives(docs: DataFrame, num: int = 85, den: int = 100, width: int =
     not link are apart. Of rows without words one stays for each id, and all that have no id."""
     shared_folder(docs.sparkSession)
     row = as_column(docs.columns, "_row")
-    keyed = table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    keyed = table(docs.withColumn(row, F.monotonically_increasing_id()), "rows", compression="zstd")
     out = classes(keyed, num, den, width, row, text_col).join(keyed.select(row, id_col), row)
     out = table(out.select(F.col(row).alias("r"), F.col(id_col).alias("id"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c")), "classed")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "r")

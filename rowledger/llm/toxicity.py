@@ -76,12 +76,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def counted(rows: list[np.ndarray]) -> np.ndarray:
+    """In how many of the rows each feature is; some rows at a time."""
+    n = np.zeros(1 << BITS, np.int64)
+    for k in range(0, len(rows), 256):
+        n += np.bincount(np.concatenate(rows[k : k + 256]), minlength=1 << BITS)
+    return n
+
+
 def select(rows: list[np.ndarray], y: np.ndarray, most: int, least_rows: int) -> np.ndarray:
     """Features by likelihood ratio with the category, among those in enough documents."""
     if not len(rows):
         return np.zeros(0, np.int64)
     n, one = len(y), int(y.sum())
-    all_, in_ = np.bincount(np.concatenate(rows), minlength=1 << BITS), np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, v in zip(rows, y, strict=True) if v)]), minlength=1 << BITS)
+    all_, in_ = counted(rows), counted([r for r, v in zip(rows, y, strict=True) if v])
     at = np.flatnonzero(all_ >= least_rows)
     a, b = in_[at].astype(float), (all_ - in_)[at].astype(float)
     cells = [(a, one), (b, n - one), (one - a, one), (n - one - b, n - one)]
@@ -185,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_r
     # one text for each labelled id, so that the bound holds whatever repeats in the documents
     one = rows.mapInArrow(run, shape).groupBy("id").agg(*(F.max(y).alias(y) for y in ys), F.min("features").alias("features"))
     got = sorted(one.collect(), key=lambda r: r["id"])
-    x = [np.frombuffer(r["features"], np.int32).astype(np.int64) for r in got]
+    x = [np.frombuffer(r["features"], np.int32) for r in got]
     y = {c: np.array([np.nan if r[f"y{i}"] is None else r[f"y{i}"] != 0 for r in got], float) for i, c in enumerate(categories)}
     fold = np.array([xxhash.xxh3_64_intdigest(str(r["id"])) % folds for r in got], np.int64)
     return fit_chain(x, y, fold)[0]
