@@ -238,7 +238,8 @@ def _node(s: np.ndarray) -> int | None:
 def candidates(found: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
     """(entry, node, size) of entries with two nodes or more, frequent ones only for nodes that cannot spare them."""
     all_rows = found.where("id is not null").select(F.explode("entries").alias("entry"), "node")
-    shared = all_rows.groupBy("entry").agg(F.count("*").alias("rows")).where("rows > 1")
+    # stored, so that the files of its shuffle are gone before the next one
+    shared = table(all_rows.groupBy("entry").agg(F.count("*").alias("rows")).where("rows > 1"), "shared")
     rows = table(all_rows.join(shared, "entry").distinct(), "entries")
     scheme, segment = F.shiftright("entry", 57).cast("int"), F.shiftright("entry", 40).bitwiseAND((1 << SEGMENT_BITS) - 1)
     schemes = F.array(*(F.struct(F.lit(d).alias("double"), F.lit(z).alias("slack")) for _, d, z in plan))
@@ -249,7 +250,7 @@ def candidates(found: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
     kept = rows.where(F.col("rows") <= FREQUENT).select("entry", "node").union(often.select("entry", "node"))
     two = kept.groupBy("entry").agg(F.count("*").alias("size")).where("size > 1")
     out = table(kept.join(two, "entry"), "kept")
-    discard(rows)
+    discard(rows, shared)
     return out
 
 
