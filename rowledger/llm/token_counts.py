@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import PLAIN, BYTE_PIECES, ByteBpe, memo
 
 BLOCK = 64
+#: Letters up to which a prefix's table is kept for other pre-tokens.
+KEPT = 16
 _SPACE, _TAIL = regex.compile(r"\s*"), regex.compile(r"\s*$")
 #: Two white-space signs in a row, one of them a space: what is a piece then depends on where a prefix ends.
 _RUNS = re.compile(r" \s|\s ")
@@ -48,11 +51,11 @@ class PrefixTables(ByteBpe):
         for token in self.vocab:
             self.reach[token[-2:]] = max(len(token), self.reach.get(token[-2:], 1))
         self.fits: dict[tuple[str, str], bool] = {}
-        self.prefixes: dict[str, tuple[int, str]] = {}
+        self.prefixes: dict[str, tuple[list[int], list[str]]] = {}
         self.steps: dict[tuple[str, str], np.ndarray] = {}
 
     def stands(self, last: str, token: str) -> bool:
-        """Whether ``last`` and ``token`` stay two tokens when they meet."""
+        """Whether ``last`` and ``token`` stay two tokens when they meet, or, if nothing is before it, ``token`` is one."""
         key = (last, token)
         v = self.fits.get(key)
         if v is None:
@@ -61,36 +64,42 @@ class PrefixTables(ByteBpe):
             v = self.fits[key] = [t.value for t in self.model.tokenize(last + token)] == ([last, token] if last else [token])
         return v
 
-    def piece(self, text: str) -> list[int]:
-        """Counts at each character prefix of one pre-token, the empty one first. What a prefix has is kept for all pre-tokens that begin so."""
-        s = self.written(text)
-        count, last, known = [0], [""], self.prefixes
-        for i in range(1, len(s) + 1):
-            head = s[:i]
-            found = known.get(head)
-            if found is None:
-                for j in range(max(0, i - self.reach.get(head[-2:], 1)), i):
-                    token = s[j:i]
-                    if token in self.vocab and (self.stands(last[j], token) if j else len(token) == 1 or self.stands("", token)):
+    def piece(self, text: str) -> Sequence[int]:
+        """Counts at each character prefix of one pre-token, the empty one first. What a prefix has is kept for all pre-tokens
+        that begin so; the table goes on from the longest one that is known."""
+        s, known, vocab, fits, reach = self.written(text), self.prefixes, self.vocab, self.fits, self.reach
+        n = len(s)
+        k = min(n, KEPT)
+        while k and (found := known.get(s[:k])) is None:
+            k -= 1
+        counts, lasts = map(list, found) if k else ([0], [""])
+        for i in range(k + 1, n + 1):
+            for j in range(max(0, i - reach.get(s[max(0, i - 2) : i], 1)), i):
+                token = s[j:i]
+                if token in vocab:
+                    fit = fits.get((lasts[j], token))
+                    if self.stands(lasts[j], token) if fit is None else fit:
                         break
-                if len(known) > 2 * self.limit:
-                    known.clear()
-                found = known[head] = (count[j] + 1, token)
-            count.append(found[0])
-            last.append(found[1])
-        if len(s) == len(text):
-            return count
+            counts.append(counts[j] + 1)
+            lasts.append(token)
+        if k < min(n, KEPT):
+            if len(known) > self.limit:
+                known.clear()
+            for i in range(k + 1, min(n, KEPT) + 1):
+                known[s[:i]] = (counts[: i + 1], lasts[: i + 1])
+        if n == len(text):
+            return counts
         ends = np.cumsum([0, *(len(c.encode()) for c in text)])
-        return [count[e] for e in ends]
+        return [counts[e] for e in ends]
 
-    def begun(self, piece: str) -> list[int]:
+    def begun(self, piece: str) -> Sequence[int]:
         """The counts of a piece within a text: a contraction that has begun is still a sign and a letter."""
         t = self.piece(piece)
         return [0, 1, 2, t[3]] if piece[0] == "'" and len(piece) == 3 and piece[1].isalpha() else t
 
     def piece_value(self, piece: str) -> bytes:
         t = self.begun(piece)
-        return array("h", [b - a for a, b in zip(t, t[1:], strict=False)]).tobytes()
+        return array("h", map(sub, t[1:], t)).tobytes()
 
     def chunk(self, text: str) -> bytes:
         if PLAIN.fullmatch(text) and not _DOUBLE.search(text):
