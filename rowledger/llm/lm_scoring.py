@@ -6,9 +6,9 @@ on both sides of a masked one: their vectors, each scaled for its place in the w
 are summed and squashed, and predict the masked word in two steps, its class and the
 word within the class. It is trained in numpy, data-parallel: each task runs steps of
 AdaGrad over the masked positions of its documents from the current network, and the
-networks are averaged by Spark, weighted by positions, once for each round. Every
-document takes part in every round, so what is gathered grows with the input (word
-counts, and one network for each task); what reaches the driver is one vocabulary and
+networks are averaged by Spark, weighted by positions, once for each round. A round masks a
+share of the positions of every document, one at least, so what is gathered grows with the input (word
+counts, and one network for each task; the network depends on how the documents are dealt to tasks); what reaches the driver is one vocabulary and
 one network of fixed size.
 
 A document's score is the sum over its words of the log-probability of each given the
@@ -32,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, table
+
 CLASSES = 64
 WORDS = CLASSES * CLASSES
 #: Places for words that have no name of their own.
@@ -92,7 +94,17 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
-    top = word_counts(docs, text_col).orderBy(F.desc("count"), "word").limit(WORDS - OTHERS).collect()
+    """The most frequent words. A histogram of the counts, eight bins an octave, shows from which bin on words can be among them; only those are sorted."""
+    counts = table(word_counts(docs, text_col).withColumn("bin", F.floor(F.log2("count") * 8).cast("int")), "words")
+    most, low = WORDS - OTHERS, 0
+    total = 0
+    for r in counts.groupBy("bin").agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect():  # at most 8 * 63 rows
+        total, low = total + r["n"], r["bin"]
+        if total >= most:
+            break
+    # few words are that frequent, so few tasks hold them
+    top = counts.where(F.col("bin") >= low).repartition(4).orderBy(F.desc("count"), "word").limit(most).collect()
+    discard(counts)
     return [bytes(r["word"]) for r in top]
 
 
@@ -180,6 +192,14 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([ids[at + s] for s in SIDES], 1), ids[at]
 
 
+def masked(lengths: list[int], every: int, k: int) -> np.ndarray:
+    """Positions of a block's documents that round ``k`` masks: one in ``every`` of each document, one at least."""
+    n = np.array(lengths, np.int64)
+    n = n[n > 0]
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.flatnonzero((place - np.repeat(k % np.minimum(n, every), n)) % every == 0)
+
+
 def _numbered(batches: Iterator[pa.RecordBatch], column: int, vocab: Vocabulary) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Blocks of documents with about CHUNK words each."""
     for b in batches:
@@ -196,7 +216,8 @@ def _numbered(batches: Iterator[pa.RecordBatch], column: int, vocab: Vocabulary)
 
 
 def train(docs: DataFrame, rounds: tuple[int, ...] = (16, 6), rate: float = 0.1, text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
-    """(vocabulary, network). Each round masks one position in as many of every document, by place, and averages the tasks' networks."""
+    """(vocabulary, network). Each round masks one position in as many of every document, one at least, and averages the tasks' networks.
+    The default rounds train on about 23 % of the positions of all documents, whatever their number; ``(1,)`` trains on all of them."""
     names = vocabulary(docs, text_col)
     state, block = flat(new_network()), 1 << 12
 
@@ -207,7 +228,7 @@ def train(docs: DataFrame, rounds: tuple[int, ...] = (16, 6), rate: float = 0.1,
             power = {n: np.full(v.shape, 1e-3, np.float32) for n, v in net.items()}
             for b, texts in _numbered(batches, 0, vocab):
                 context, target = windows(texts)
-                for part in np.array_split(np.arange((done + k) % every, len(target), every), 4):
+                for part in np.array_split(masked([len(t) for t in texts], every, k), 4):
                     if not len(part):
                         continue
                     grad = {n: np.zeros(v.shape, np.float64) for n, v in net.items()}
@@ -228,9 +249,10 @@ def train(docs: DataFrame, rounds: tuple[int, ...] = (16, 6), rate: float = 0.1,
 
         shape = "block int, weight double, sums binary"
         made = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "block int, part int, weight double, sums binary")
-        # first sums of up to 64 tasks' blocks, then of those
-        some = made.groupBy("block", F.floor(F.col("part") / 64).alias("g")).applyInPandas(lambda f: add(f), shape)
-        got = sorted(some.groupBy("block").applyInPandas(add, shape).collect(), key=lambda r: r["block"])
+        # a tree of sums of up to 64 at a time: three levels are enough for 262,144 tasks
+        first = made.groupBy("block", F.floor(F.col("part") / 64).alias("g")).applyInPandas(lambda key, f: add(f).assign(part=int(key[1])), shape + ", part int")
+        second = first.groupBy("block", F.floor(F.col("part") / 64).alias("g")).applyInPandas(lambda key, f: add(f), shape)
+        got = sorted(second.groupBy("block").applyInPandas(add, shape).collect(), key=lambda r: r["block"])
         if got:
             state = np.concatenate([np.frombuffer(r["sums"]) / r["weight"] for r in got]).astype(np.float32)
     return names, state

@@ -481,6 +481,44 @@ def test_lm_scores(spark, docs, empty):
     assert lm_scoring.score(docs, lm_scoring.train(empty)).count() == docs.count()
 
 
+def test_lm_masks_every_document():
+    lengths = [3, 0, 1, 40, 16, 17, 2]
+    for k in range(3):
+        for every in (16, 6, 1):
+            at, ends = lm_scoring.masked(lengths, every, k), np.cumsum(lengths)
+            for i, n in enumerate(lengths):
+                mine = at[(at >= ends[i] - n) & (at < ends[i])]
+                assert len(mine) >= n // every and (len(mine) > 0) == (n > 0) and len(mine) <= n // every + 1
+
+
+def test_lm_vocabulary_and_scores_are_brute_force(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(lm_scoring, "OTHERS", lm_scoring.WORDS - 50)
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{int(r.expovariate(0.02))}" for _ in range(60))) for i in range(80)] + [(80, None), (81, "")]
+    rows.append((82, rows[7][1]))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    names = lm_scoring.vocabulary(d)
+    c = Counter(w for _, t in rows for w in (t or "").encode().split())
+    assert names == [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:50]]
+    monkeypatch.undo()  # tasks have the module as it is
+    net = lm_scoring.new_network(5)
+    got = {x["doc_id"]: x for x in lm_scoring.score(d, (names, lm_scoring.flat(net))).collect()}
+    vocab = lm_scoring.Vocabulary(names)
+    for i in (0, 7, 33):
+        ids, total = [vocab[w] for w in rows[i][1].encode().split()], 0.0
+        for at, word in enumerate(ids):
+            h = sum(net["vectors"][ids[at + s] if 0 <= at + s < len(ids) else lm_scoring.WORDS] * net["sides"][k] for k, s in enumerate(lm_scoring.SIDES))
+            h = np.tanh(h)
+            z = net["kind"] @ h + net["kind_bias"]
+            c_, w_ = word % lm_scoring.CLASSES, word // lm_scoring.CLASSES
+            y = net["inner"][c_] @ h + net["inner_bias"][c_]
+            total += z[c_] - np.log(np.exp(z).sum()) + y[w_] - np.log(np.exp(y).sum())
+        assert got[i]["pseudo_log_likelihood"] == pytest.approx(total, rel=1e-4)
+    assert got[7]["pseudo_log_likelihood"] == pytest.approx(got[82]["pseudo_log_likelihood"]) and got[80]["pseudo_log_likelihood"] == 0 and got[81]["mean_log_likelihood"] is None
+
+
 def test_lm_gradient():
     net = lm_scoring.new_network()
     r = np.random.default_rng(0)
