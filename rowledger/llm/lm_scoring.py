@@ -6,13 +6,18 @@ on both sides of a masked one: their vectors, each scaled for its place in the w
 are summed and squashed, and predict the masked word in two steps, its class and the
 word within the class. It is trained in numpy, data-parallel: each task runs steps of
 AdaGrad over the masked positions of its documents from the current network, and the
-networks are averaged by Spark, weighted by positions, once for each round. A round masks a
-share of the positions of every document, one at least, so what is gathered grows with the input (word
-counts, and one network for each task; the network depends on how the documents are dealt to tasks); what reaches the driver is one vocabulary and
-one network of fixed size.
+networks are averaged by Spark, weighted by positions, once for each round. By default one round
+masks every position of every document; the network depends on how the documents are dealt to tasks.
 
 A document's score is the sum over its words of the log-probability of each given the
-others in the window: every position is predicted once.
+others in the window: every position is predicted once. For a word without a name the
+network gives the probability of its place, and the corpus counts that of the word within the
+place: its count, or 1 if it never occurs, over the place's total plus 1. The counts of the
+``KNOWN`` most frequent of these words go to all tasks; those of all others are joined by Spark.
+So what is gathered grows with the input; what reaches the driver is the vocabulary, the
+places' totals and one network, all of fixed size.
+
+Texts are read twice, to count and to number words; training and scoring read the stored numbers.
 
 Defined results: null or empty texts have no words, score 0 and a mean of null; texts
 of any length are taken whole; ids may be null or repeat; other columns are not read;
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,40 +38,59 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, table
+from .common import discard, shared_folder, table
 
 CLASSES = 64
 WORDS = CLASSES * CLASSES
 #: Places for words that have no name of their own.
 OTHERS = 512
+#: Words beyond those with a name whose counts are sent to all tasks.
+KNOWN = 1 << 16
 SIDES, SIZE = (-2, -1, 1, 2), 16
 CHUNK = 1 << 15
+#: Rows of logits that are in work at once.
+ROWS = 1 << 11
+
+
+class Rates(NamedTuple):
+    """What the corpus says of words within their places."""
+
+    totals: np.ndarray  # logarithm of each place's total plus 1
+    known: list[tuple[bytes, int]]  # (word, count) of the most frequent
+    rest: DataFrame  # (word, log_count) of the others that occur twice or more
+
+
+def place(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) % OTHERS
 
 
 class Vocabulary(dict):
-    """word -> its number: frequent words spread over the classes, others by hash into the last places."""
+    """word -> its number: frequent words spread over the classes, others by hash into the last places; ``known`` ones among these
+    have numbers of their own from WORDS on."""
 
-    def __init__(self, words: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(words[: WORDS - OTHERS]))
-        self.names = dict(self)
+    def __init__(self, names: list[bytes], known: list[bytes] = ()):
+        super().__init__((w, i) for i, w in enumerate(names[: WORDS - OTHERS]))
+        self.update((w, WORDS + i) for i, w in enumerate(known))
+        self.fixed = dict(self)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-            self.update(self.names)
-        i = self[word] = self.names.get(word, WORDS - OTHERS + xxhash.xxh3_64_intdigest(word) % OTHERS)
+            self.update(self.fixed)
+        i = self.fixed.get(word)
+        i = self[word] = WORDS - OTHERS + place(word) if i is None else i
         return i
 
 
 _LAST: dict[int, Vocabulary] = {}
 
 
-def numbering(names: list[bytes]) -> Vocabulary:
+def numbering(names: list[bytes], known: list[bytes] = ()) -> Vocabulary:
     """The vocabulary's memo of this Python process, which tasks that follow each other share."""
-    key = xxhash.xxh3_64_intdigest(b"\n".join(names))
+    key = xxhash.xxh3_64_intdigest(b"\n".join([*names, b"", *known]))
     if key not in _LAST:
         _LAST.clear()
-        _LAST[key] = Vocabulary(names)
+        _LAST[key] = Vocabulary(names, known)
     return _LAST[key]
 
 
@@ -74,7 +99,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, count) over all documents; combined in each task before the shuffle."""
+    """(word, place, count, bin) over all documents, stored; combined in each task before the shuffle. bin: eight an octave of the count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
@@ -88,24 +113,44 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def out(seen: Counter[bytes]) -> Iterator[pa.RecordBatch]:
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(map(place, seen), pa.int32()), pa.array(seen.values(), pa.int64())], ["word", "place", "count"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, place int, count long").groupBy("word").agg(F.first("place").alias("place"), F.sum("count").alias("count"))
+    return table(counts.withColumn("bin", F.floor(F.log2("count") * 8).cast("int")), "words")
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
-    """The most frequent words. A histogram of the counts, eight bins an octave, shows from which bin on words can be among them; only those are sorted."""
-    counts = table(word_counts(docs, text_col).withColumn("bin", F.floor(F.log2("count") * 8).cast("int")), "words")
-    most, low = WORDS - OTHERS, 0
-    total = 0
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words and their counts. A histogram of the counts shows from which bin on words can be among them; only those are sorted."""
+    low = total = 0
     for r in counts.groupBy("bin").agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect():  # at most 8 * 63 rows
         total, low = total + r["n"], r["bin"]
         if total >= most:
             break
     # few words are that frequent, so few tasks hold them
     top = counts.where(F.col("bin") >= low).repartition(4).orderBy(F.desc("count"), "word").limit(most).collect()
+    return [(bytes(r["word"]), r["count"]) for r in top]
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
+    """The words with a name, the most frequent ones."""
+    counts = word_counts(docs, text_col)
+    top = frequent(counts, WORDS - OTHERS)
     discard(counts)
-    return [bytes(r["word"]) for r in top]
+    return [w for w, _ in top]
+
+
+def rated(counts: DataFrame) -> tuple[list[bytes], Rates]:
+    """The words with a name, and what the counts say of all others."""
+    top = frequent(counts, WORDS - OTHERS + KNOWN)
+    names, known = top[: WORDS - OTHERS], top[WORDS - OTHERS :]
+    totals = np.zeros(OTHERS)
+    for r in counts.groupBy("place").agg(F.sum("count").alias("n")).collect():  # a row for each place
+        totals[r["place"]] = r["n"]
+    for w, n in names:
+        totals[place(w)] -= n
+    least = known[-1][1] if known else 0
+    rest = counts.where((F.col("count") >= 2) & (F.col("count") <= least)).select("word", F.log("count").alias("log_count"))
+    return [w for w, _ in names], Rates(np.log(totals + 1), known, rest)
 
 
 def new_network(seed: int = 1) -> dict[str, np.ndarray]:
@@ -129,15 +174,18 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return net
 
 
-def _pick(z: np.ndarray, at: np.ndarray, keep: bool) -> np.ndarray:
-    """Log-probability of one column in each row of logits, which become probabilities in place if they are to be kept."""
-    z -= z.max(1, keepdims=True)
-    picked = z[np.arange(len(at)), at]
+def _pick(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of one column in each row of the logits of ``h``, and, if they are to be kept, the probabilities."""
+    z = h @ weights.T
+    z += bias
+    if np.abs(weights).sum(1).max() + np.abs(bias).max() > 60:  # as no h is beyond 1, smaller logits cannot overflow
+        z -= z.max(1, keepdims=True)
+    log = z[np.arange(len(at)), at]
     np.exp(z, out=z)
-    total = z.sum(1)
+    total = z @ np.ones(z.shape[1], z.dtype)
     if keep:
         z /= total[:, None]
-    return picked - np.log(total)
+    return log - np.log(total), z
 
 
 def _miss(p: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -147,38 +195,48 @@ def _miss(p: np.ndarray, at: np.ndarray) -> np.ndarray:
     return e
 
 
+def _sums(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each word."""
+    order = np.argsort(words.astype(np.int16), kind="stable")
+    words = words[order]
+    first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+    out = np.zeros((WORDS + 1, rows.shape[1]))
+    out[words[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def forward(net: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> np.ndarray:
     """Log-probabilities of the targets (n) given context (n, sides); with ``grad``, adds the gradients of their sum to it."""
+    if not len(target):
+        return np.zeros(0)
     # by class, so that the words of a class are one product
-    order = np.argsort(target % CLASSES, kind="stable")
-    context, target = context[order], target[order]
-    seen = net["vectors"][context]
-    h = np.tanh(np.einsum("nsd,sd->nd", seen, net["sides"]))
-    kind, inner = target % CLASSES, target // CLASSES
+    kind, inner = (target % CLASSES).astype(np.uint8), target // CLASSES
+    order = np.argsort(kind, kind="stable")
+    context, kind, inner = context[order], kind[order], inner[order]
+    h = np.tanh(sum((net["vectors"] * net["sides"][s])[context[:, s]] for s in range(len(SIDES))))
+    log, back = np.zeros(len(h), h.dtype), np.zeros_like(h)
+
+    def layer(at: slice, weights: np.ndarray, bias: np.ndarray, column: np.ndarray, slopes: tuple[np.ndarray, np.ndarray] | None) -> None:
+        one, z = _pick(h[at], weights, bias, column[at], slopes is not None)
+        log[at] += one
+        if slopes is not None:
+            e = _miss(z, column[at])
+            slopes[0][...] += e.T @ h[at]
+            slopes[1][...] += e.sum(0)
+            back[at] += e @ weights
+
+    for a in range(0, len(h), ROWS):
+        layer(slice(a, a + ROWS), net["kind"], net["kind_bias"], kind, grad and (grad["kind"], grad["kind_bias"]))
     cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
-    z = h @ net["kind"].T + net["kind_bias"]
-    log = _pick(z, kind, grad is not None)
-    if grad is not None:
-        e = _miss(z, kind)
-        grad["kind"] += e.T @ h
-        grad["kind_bias"] += e.sum(0)
-        back = e @ net["kind"]
     for c in np.flatnonzero(np.diff(cuts)):
-        at = slice(cuts[c], cuts[c + 1])
-        z = h[at] @ net["inner"][c].T + net["inner_bias"][c]
-        log[at] += _pick(z, inner[at], grad is not None)
-        if grad is not None:
-            e = _miss(z, inner[at])
-            grad["inner"][c] += e.T @ h[at]
-            grad["inner_bias"][c] += e.sum(0)
-            back[at] += e @ net["inner"][c]
+        for a in range(cuts[c], cuts[c + 1], ROWS):
+            layer(slice(a, min(a + ROWS, cuts[c + 1])), net["inner"][c], net["inner_bias"][c], inner, grad and (grad["inner"][c], grad["inner_bias"][c]))
     if grad is not None:
         back *= 1 - h * h
-        grad["sides"] += np.einsum("nd,nsd->sd", back, seen)
         for s in range(len(SIDES)):
-            v, at = back * net["sides"][s], context[:, s]
-            for d in range(SIZE):
-                grad["vectors"][:, d] += np.bincount(at, weights=v[:, d], minlength=WORDS + 1)
+            g = _sums(context[:, s], back)
+            grad["sides"][s] += (g * net["vectors"]).sum(0)
+            grad["vectors"] += g * net["sides"][s]
     out = np.empty(len(log), log.dtype)
     out[order] = log
     return out
@@ -200,14 +258,46 @@ def masked(lengths: list[int], every: int, k: int) -> np.ndarray:
     return np.flatnonzero((place - np.repeat(k % np.minimum(n, every), n)) % every == 0)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], column: int, vocab: Vocabulary) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def numbered(docs: DataFrame, names: list[bytes], rates: Rates | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, uid, ids, within, others), stored: the network's numbers of a text's words, 16 bits each; the log-probabilities within
+    their places of its words that are known, and for the others what their places' totals make of them, summed; and these others, whose counts are to be joined."""
+    known, joined = rates.known if rates else [], rates is not None
+    totals = rates.totals if rates else np.zeros(OTHERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = numbering(names, [w for w, _ in known])
+        at = np.array([place(w) for w, _ in known], np.int64)
+        number = np.concatenate([np.arange(WORDS), WORDS - OTHERS + at]).astype("<i2")
+        within = np.concatenate([np.zeros(WORDS - OTHERS), -totals, np.log([float(n) for _, n in known]) - totals[at]])
+        uid = TaskContext.get().partitionId() << 33
+        for b in batches:
+            ids, sums, ends, rare, times = [], [], [0], [], []
+            for t in b.column(1):
+                w = words(t.as_py())
+                x = np.fromiter(map(vocab.__getitem__, w), np.int64, len(w))
+                ids.append(number[x].tobytes())
+                sums.append(float(within[x].sum()))
+                if joined:
+                    seen = Counter([w[i] for i in np.flatnonzero((x >= WORDS - OTHERS) & (x < WORDS))])
+                    rare += seen.keys()
+                    times += seen.values()
+                ends.append(len(rare))
+            others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(range(uid, uid + len(ids)), pa.int64()), pa.array(ids, pa.binary()), pa.array(sums), others], ["id", "uid", "ids", "within", "others"])
+            uid += len(ids)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, uid long, ids binary, within double, others array<struct<word:binary,n:bigint>>")
+    return table(made, "numbered")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Blocks of documents with about CHUNK words each."""
     for b in batches:
         start, held, n = 0, [], 0
-        for i, t in enumerate(b.column(column)):
-            w = words(t.as_py())
-            held.append(np.fromiter(map(vocab.__getitem__, w), np.int64, len(w)))
-            n += len(w)
+        for i, x in enumerate(b.column(column)):
+            held.append(np.frombuffer(x.as_py(), "<i2").astype(np.int64))
+            n += len(held[-1])
             if n >= CHUNK:
                 yield b.slice(start, i + 1 - start), held
                 start, held, n = i + 1, [], 0
@@ -215,18 +305,17 @@ def _numbered(batches: Iterator[pa.RecordBatch], column: int, vocab: Vocabulary)
             yield b.slice(start), held
 
 
-def train(docs: DataFrame, rounds: tuple[int, ...] = (16, 6), rate: float = 0.1, text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
-    """(vocabulary, network). Each round masks one position in as many of every document, one at least, and averages the tasks' networks.
-    The default rounds train on about 23 % of the positions of all documents, whatever their number; ``(1,)`` trains on all of them."""
-    names = vocabulary(docs, text_col)
+def fit(texts: DataFrame, rounds: tuple[int, ...] = (1,), rate: float = 0.1) -> np.ndarray:
+    """The network, from numbered texts. Each round masks one position in as many of every document, one at least, and averages
+    the tasks' networks; a round of 1 trains on every position."""
     state, block = flat(new_network()), 1 << 12
 
     for k, every in enumerate(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], state=state, every=every, k=k) -> Iterator[pa.RecordBatch]:
-            vocab, net, size, done = numbering(names), unflat(state), len(state), 0
+            net, size, done = unflat(state), len(state), 0
             power = {n: np.full(v.shape, 1e-3, np.float32) for n, v in net.items()}
-            for b, texts in _numbered(batches, 0, vocab):
+            for _, texts in _blocks(batches, 0):
                 context, target = windows(texts)
                 for part in np.array_split(masked([len(t) for t in texts], every, k), 4):
                     if not len(part):
@@ -248,30 +337,57 @@ def train(docs: DataFrame, rounds: tuple[int, ...] = (16, 6), rate: float = 0.1,
             return pd.DataFrame({"block": f["block"][:1], "weight": [f["weight"].sum()], "sums": [total.tobytes()]})
 
         shape = "block int, weight double, sums binary"
-        made = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "block int, part int, weight double, sums binary")
+        made = texts.select("ids").mapInArrow(run, "block int, part int, weight double, sums binary")
         # a tree of sums of up to 64 at a time: three levels are enough for 262,144 tasks
         first = made.groupBy("block", F.floor(F.col("part") / 64).alias("g")).applyInPandas(lambda key, f: add(f).assign(part=int(key[1])), shape + ", part int")
         second = first.groupBy("block", F.floor(F.col("part") / 64).alias("g")).applyInPandas(lambda key, f: add(f), shape)
         got = sorted(second.groupBy("block").applyInPandas(add, shape).collect(), key=lambda r: r["block"])
         if got:
             state = np.concatenate([np.frombuffer(r["sums"]) / r["weight"] for r in got]).astype(np.float32)
-    return names, state
+    return state
+
 
+def train(docs: DataFrame, rounds: tuple[int, ...] = (1,), rate: float = 0.1, text_col: str = "text") -> tuple[list[bytes], np.ndarray, Rates]:
+    """(words with a name, network, rates of all other words) of a corpus."""
+    names, rates = rated(word_counts(docs, text_col))
+    texts = numbered(docs, names, None, text_col, text_col)
+    state = fit(texts, rounds, rate)
+    discard(texts)
+    return names, state, rates
 
-def score(docs: DataFrame, model: tuple[list[bytes], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, pseudo_log_likelihood, mean_log_likelihood). One scan."""
-    names, state = model
+
+def score_numbered(texts: DataFrame, state: np.ndarray, rates: Rates | None = None, id_col: str = "doc_id") -> DataFrame:
+    """The scores of numbered texts: one scan of the numbers, and a join of the words that few documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, net = numbering(names), unflat(state)
-        for b, texts in _numbered(batches, 1, vocab):
-            context, target = windows(texts)
+        net = unflat(state)
+        for b, held in _blocks(batches, 2):
+            context, target = windows(held)
             log = np.concatenate([np.zeros(0), *(forward(net, context[a : a + CHUNK], target[a : a + CHUNK]) for a in range(0, len(target), CHUNK))])
-            n = np.array([len(t) for t in texts])
-            doc = np.repeat(np.arange(len(n)), n)
-            sums = np.bincount(doc, weights=log, minlength=len(n)).astype(np.float64)
-            mean = [s / c if c else None for s, c in zip(sums.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sums), pa.array(mean, pa.float64())], ["id", "n_words", "pseudo_log_likelihood", "mean_log_likelihood"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_words long, pseudo_log_likelihood double, mean_log_likelihood double").withColumnRenamed("id", id_col)
+            n = np.array([len(t) for t in held])
+            sums = np.bincount(np.repeat(np.arange(len(n)), n), weights=log, minlength=len(n)).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(n, pa.int64()), pa.array(sums + b.column(3).to_numpy())], ["id", "uid", "n_words", "total"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    out = texts.select("id", "uid", "ids", "within").mapInArrow(run, f"id {kind}, uid long, n_words long, total double")
+    rest = F.lit(0.0)
+    if rates:
+        rare = texts.select("uid", F.inline("others")).join(rates.rest, "word").groupBy("uid").agg(F.sum(F.col("n") * F.col("log_count")).alias("rest"))
+        out, rest = out.join(rare, "uid", "left"), F.coalesce("rest", F.lit(0.0))
+    out = out.select(F.col("id").alias(id_col), "n_words", (F.col("total") + rest).alias("pseudo_log_likelihood"))
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("pseudo_log_likelihood") / F.col("n_words")))
+
+
+def score(docs: DataFrame, model: tuple[list[bytes], np.ndarray] | tuple[list[bytes], np.ndarray, Rates], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, pseudo_log_likelihood, mean_log_likelihood) of any documents. Without rates, a word without a name has the probability of its place."""
+    names, state, *rates = model
+    rates = rates[0] if rates else None
+    return score_numbered(numbered(docs, names, rates, id_col, text_col), state, rates, id_col)
+
+
+def scored(docs: DataFrame, rounds: tuple[int, ...] = (1,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score`` of the documents under a model of themselves, whose words are numbered once for both."""
+    shared_folder(docs.sparkSession)
+    names, rates = rated(word_counts(docs, text_col))
+    texts = numbered(docs, names, rates, id_col, text_col)
+    return score_numbered(texts, fit(texts, rounds), rates, id_col)

@@ -45,8 +45,7 @@ def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return lm_scoring.score(docs, lm_scoring.train(docs))
+    return lm_scoring.scored(read(spark, sf_dir, "documents"))
 
 
 def op6_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:

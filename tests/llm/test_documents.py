@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -519,6 +520,36 @@ def test_lm_vocabulary_and_scores_are_brute_force(spark, monkeypatch):
     assert got[7]["pseudo_log_likelihood"] == pytest.approx(got[82]["pseudo_log_likelihood"]) and got[80]["pseudo_log_likelihood"] == 0 and got[81]["mean_log_likelihood"] is None
 
 
+def test_lm_words_within_their_places(spark, monkeypatch):
+    """Words without a name get their share of the place, by counts that are sent and counts that are joined."""
+    from collections import Counter
+
+    r = random.Random(8)
+    rows = [(i, " ".join(f"w{int(r.expovariate(0.0002))}" for _ in range(60))) for i in range(300)] + [(300, None), (301, "w3 w3 neverseen"), (302, "")]
+    rows += [(303, " ".join(f"once{k}" for k in range(30)))] + [(i, " ".join(f"twice{k}" for k in range(30))) for i in (304, 305, None)]
+    d = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, word int").repartition(3)
+    seen = d.where("doc_id is null or doc_id <> 301")
+    monkeypatch.setattr(lm_scoring, "KNOWN", 100)
+    names, rates = lm_scoring.rated(lm_scoring.word_counts(seen))
+    monkeypatch.undo()
+    assert len(names) == lm_scoring.WORDS - lm_scoring.OTHERS and len(rates.known) == 100
+    c = Counter(w for i, t in rows if i != 301 for w in (t or "").encode().split())
+    total = Counter()
+    for w, n in c.items():
+        if w not in set(names):
+            total[lm_scoring.place(w)] += n
+    state = lm_scoring.flat(lm_scoring.new_network(5))
+    key = lambda i: -1 if i is None else i
+    ranked = lambda f: sorted((key(x["doc_id"]), x["pseudo_log_likelihood"]) for x in f.collect())
+    plain, full = ranked(lm_scoring.score(d, (names, state))), ranked(lm_scoring.score(d, (names, state, rates)))
+    text = {key(i): t for i, t in rows}
+    for (i, without), (same, score) in zip(plain, full, strict=True):
+        words = [w for w in (text[i] or "").encode().split() if w not in set(names)]
+        assert i == same and score - without == pytest.approx(sum(math.log(max(c[w], 1) / (total[lm_scoring.place(w)] + 1)) for w in words), abs=1e-6)
+    got = {x["doc_id"]: x["mean_log_likelihood"] for x in lm_scoring.scored(seen).collect()}
+    assert len(got) == seen.count() and got[300] is None and got[304] == pytest.approx(got[305]) and got[304] > got[303]
+
+
 def test_lm_gradient():
     net = lm_scoring.new_network()
     r = np.random.default_rng(0)
