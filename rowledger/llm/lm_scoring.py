@@ -174,35 +174,25 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return net
 
 
-def _pick(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of one column in each row of the logits of ``h``, and, if they are to be kept, the probabilities."""
-    z = h @ weights.T
+def _pick(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, slopes: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of one column in each row of the logits of ``h``, and, if asked for, its slopes along the logits."""
+    z, row = h @ weights.T, np.arange(len(at))
     z += bias
     if np.abs(weights).sum(1).max() + np.abs(bias).max() > 60:  # as no h is beyond 1, smaller logits cannot overflow
         z -= z.max(1, keepdims=True)
-    log = z[np.arange(len(at)), at]
+    log = z[row, at]
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], z.dtype)
-    if keep:
-        z /= total[:, None]
+    if slopes:
+        z *= (-1 / total)[:, None]
+        z[row, at] += 1
     return log - np.log(total), z
 
 
-def _miss(p: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Slope of the log-probability along the logits."""
-    e = -p
-    e[np.arange(len(at)), at] += 1
-    return e
-
-
-def _sums(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each word."""
-    order = np.argsort(words.astype(np.int16), kind="stable")
-    words = words[order]
-    first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-    out = np.zeros((WORDS + 1, rows.shape[1]))
-    out[words[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+def _sums(words: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each word; ``columns``: the rows, turned."""
+    words = np.ascontiguousarray(words)
+    return np.stack([np.bincount(words, weights=c, minlength=WORDS + 1) for c in columns], 1)
 
 
 def forward(net: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> np.ndarray:
@@ -217,12 +207,11 @@ def forward(net: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
     log, back = np.zeros(len(h), h.dtype), np.zeros_like(h)
 
     def layer(at: slice, weights: np.ndarray, bias: np.ndarray, column: np.ndarray, slopes: tuple[np.ndarray, np.ndarray] | None) -> None:
-        one, z = _pick(h[at], weights, bias, column[at], slopes is not None)
+        one, e = _pick(h[at], weights, bias, column[at], slopes is not None)
         log[at] += one
         if slopes is not None:
-            e = _miss(z, column[at])
             slopes[0][...] += e.T @ h[at]
-            slopes[1][...] += e.sum(0)
+            slopes[1][...] += np.ones(len(e), e.dtype) @ e
             back[at] += e @ weights
 
     for a in range(0, len(h), ROWS):
@@ -232,9 +221,9 @@ def forward(net: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
         for a in range(cuts[c], cuts[c + 1], ROWS):
             layer(slice(a, min(a + ROWS, cuts[c + 1])), net["inner"][c], net["inner_bias"][c], inner, grad and (grad["inner"][c], grad["inner_bias"][c]))
     if grad is not None:
-        back *= 1 - h * h
+        columns = np.ascontiguousarray((back * (1 - h * h)).T, np.float64)
         for s in range(len(SIDES)):
-            g = _sums(context[:, s], back)
+            g = _sums(context[:, s], columns)
             grad["sides"][s] += (g * net["vectors"]).sum(0)
             grad["vectors"] += g * net["sides"][s]
     out = np.empty(len(log), log.dtype)
