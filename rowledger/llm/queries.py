@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embedding_join, image_copies, license_scan, lm_scoring, mixing, ngram_join, packing, token_alignment, token_counts, token_files, toxicity
+from . import common, embedding_join, image_copies, license_scan, lm_scoring, mixing, ngram_join, packing, token_alignment, token_counts, token_files, toxicity, whitening
 
 
 def vocabulary(name: str) -> str:
@@ -68,13 +68,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2, 1024)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"), 16)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_alignment.align(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), groups="sha256")
     return token_alignment.with_counts(found).withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_files, op4_image_copies, op5_lm_scoring, op6_embedding_join, op7_ngram_join, op8_license_scan, op9_mixing, op10_packing, op12_token_alignment)}
+    found = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_files, op4_image_copies, op5_lm_scoring, op6_embedding_join, op7_ngram_join, op8_license_scan, op9_mixing, op10_packing, op11_whitening, op12_token_alignment)}
     return found
 
 
