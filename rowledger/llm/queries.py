@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embedding_join, image_copies, license_scan, lm_scoring, mixing, ngram_join, packing, token_alignment, token_counts, token_files, toxicity, whitening
+from . import common, embedding_join, image_copies, license_scan, lm_scoring, mixing, ngram_join, packing, token_alignment, token_counts, token_files, toxicity, warc, whitening
 
 
 def vocabulary(name: str) -> str:
@@ -77,8 +77,19 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.with_counts(found).withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{common.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(read(spark, sf_dir, "pages"), path)
+    # without payloads, a small table; both sides of the join read it
+    found = warc.resolved(common.table(warc.payloads(warc.read(spark, path), with_payload=False), "payloads"))
+    return found.select(
+        F.col("id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("refers_to_id").cast("long").alias("refers_to"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_files, op4_image_copies, op5_lm_scoring, op6_embedding_join, op7_ngram_join, op8_license_scan, op9_mixing, op10_packing, op11_whitening, op12_token_alignment)}
+    found = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_files, op4_image_copies, op5_lm_scoring, op6_embedding_join, op7_ngram_join, op8_license_scan, op9_mixing, op10_packing, op11_whitening, op12_token_alignment, op13_warc)}
     return found
 
 
@@ -114,5 +125,15 @@ SELECT c.vec_id, (SELECT count(*) FROM p WHERE p.a = c.vec_id) AS n_links, compo
 """
 
 
+#: Pages of equal payloads: the smallest id is a response. Five hexadecimal signs are four of base32.
+_WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + CAST((CAST('0x' || substr(h, 1 + 5 * CAST(i // 4 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_embedding_join": _EMBEDDINGS, "op9_mixing": _MIX}
+    return {"op6_embedding_join": _EMBEDDINGS, "op9_mixing": _MIX, "op13_warc": _WARC}
