@@ -72,13 +72,13 @@ def run_verdicts(outcomes: DataFrame, by: list[str], policy: Policy = Policy(),
 
     The reason names the first cause that holds. ``warnings`` (by…, code, table) gives a bound for each code with its tables, and names the
     severe one that leaves a run undecided; ``facts`` (by…, partial, probed) tells of runs of a part of their steps and of baselines that
-    nobody looked at. ``bounds`` are codes; ``fine_print`` has a sentence for each of them, in the same order."""
+    nobody looked at. ``unchecked`` counts steps without an assertion; it bounds a run only if none of its steps has one. ``bounds`` are codes; ``fine_print`` has a sentence for each of them, in the same order."""
     o = F.col("outcome")
     first = F.min(F.when(o == "errored", F.col(step))) if step in outcomes.columns else F.lit(None)
     missed = F.array_sort(F.collect_list(F.when(o == "not-run", F.col(step)))) if step in outcomes.columns else F.array()
     d = outcomes.groupBy(*by).agg(
         F.count("*").alias("steps"), *(F.count_if(o == s).alias(s.replace("-", "_") + "_steps") for s in STEP_OUTCOMES), F.sum("failed").alias("failed"), first.alias("_first"), missed.alias("_missed"),
-        F.count_if(~o.isin("errored", "not-run") & (F.col("total") == 0)).alias("unchecked"), F.sum("total").alias("assertions"), F.sum("unevaluable").alias("unevaluable"), F.sum("blind").alias("blind"),
+        F.count_if(~o.isin("errored", "not-run") & (F.col("total") == 0)).alias("unchecked"), F.count_if(~o.isin("errored", "not-run")).alias("_observed"), F.sum("total").alias("assertions"), F.sum("unevaluable").alias("unevaluable"), F.sum("blind").alias("blind"),
     )
     noted = F.array().cast("array<struct<code:string,tables:string,severity:string>>")
     if warnings is not None:
@@ -104,6 +104,8 @@ def run_verdicts(outcomes: DataFrame, by: list[str], policy: Policy = Policy(),
         .when(F.col("blind") > 0, many("blind", "severe warning", "severe warnings"))
         .when(none, "nothing was asserted")
         .when(outcome == "undecided", many("undecided_steps", "step could not be decided", "steps could not be decided"))
+        .when(F.col("assertions") == 0, "every step ran, nothing was asserted")
+        .when(by_policy, F.concat((F.col("assertions") - F.col("unevaluable")).cast("string"), F.lit(" of "), many("assertions", "assertion", "assertions"), F.lit(" held, the others were not evaluated and accepted by policy")))
         .otherwise("all assertions held")
     )
     entry = lambda when, code, text: F.when(when, F.struct(F.lit(code).alias("bound"), text.alias("said")))
@@ -114,10 +116,11 @@ def run_verdicts(outcomes: DataFrame, by: list[str], policy: Policy = Policy(),
         entry(unprobed, "unprobed", F.lit("nobody looked at what changes when nothing is asked")),
         entry((F.col("blind") > 0) & F.lit(warnings is None), "warnings", many("blind", "severe warning", "severe warnings")),
     ))
-    behind = F.array_compact(F.array(entry(by_policy, "by-policy", F.concat(many("unevaluable", "assertion", "assertions"), F.lit(" not evaluated and accepted by policy"))), entry(F.col("unchecked") > 0, "unchecked", many("unchecked", "step checked nothing", "steps checked nothing"))))
+    behind = F.array_compact(F.array(entry(by_policy, "by-policy", F.concat(many("unevaluable", "assertion", "assertions"), F.lit(" not evaluated and accepted by policy"))), entry(
+        (F.col("assertions") == 0) & (F.col("steps") > 0), "unchecked", F.when(F.col("_observed") > 0, "what was observed was checked by nothing").otherwise("nothing was observed or checked"))))
     d = d.withColumn("outcome", outcome).withColumn("reason", reason).withColumn("_bounds", F.concat(before, codes, behind))
     d = d.withColumn("bounds", F.transform("_bounds", lambda x: x["bound"])).withColumn("fine_print", F.transform("_bounds", lambda x: x["said"]))
-    return d.withColumn("proves", F.when(F.size("bounds") == 0, "full").otherwise("bounded")).drop("_first", "_missed", "_noted", "_bounds", "partial", "probed")
+    return d.withColumn("proves", F.when(F.size("bounds") == 0, "full").otherwise("bounded")).drop("_first", "_missed", "_noted", "_observed", "_bounds", "partial", "probed")
 
 
 def bound_rows(warnings: DataFrame, by: list[str]) -> DataFrame:

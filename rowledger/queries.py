@@ -509,8 +509,8 @@ def capture_divergence(s: SparkSession, d: str) -> DataFrame:
 # -- verdicts ------------------------------------------------------------------------
 
 _STEP = """sx as (select run_id, scenario_id, step_no, case when step_status = 'errored' then 'errored' when step_status = 'skipped' then 'not-run' when a_status = 'failed' then 'failed' when w_code = 'scope-truncated' or a_status = 'unevaluable' then 'undecided' else 'passed' end as outcome, a_status, w_code from runs)"""
-_RUN = """rv as (select run_id, scenario_id, count(*) as steps, count(*) filter (where outcome = 'errored') as e, count(*) filter (where outcome = 'failed') as f, count(*) filter (where outcome = 'undecided') as u, count(*) filter (where outcome = 'not-run') as nr, count(*) filter (where w_code = 'scope-truncated') as blind from sx group by 1, 2),
- ro as (select *, case when e > 0 then 'errored' when f > 0 then 'failed' when u > 0 or blind > 0 then 'undecided' else 'clean' end as outcome, case when nr > 0 or blind > 0 then 'bounded' else 'full' end as proves from rv)"""
+_RUN = """rv as (select run_id, scenario_id, count(*) as steps, count(*) filter (where outcome = 'errored') as e, count(*) filter (where outcome = 'failed') as f, count(*) filter (where outcome = 'undecided') as u, count(*) filter (where outcome = 'not-run') as nr, count(*) filter (where w_code = 'scope-truncated') as blind, count(*) filter (where a_status = 'failed') as af, count(*) filter (where a_status = 'unevaluable') as au from sx group by 1, 2),
+ ro as (select *, case when e > 0 then 'errored' when f > 0 or af > 0 then 'failed' when u > 0 or blind > 0 or au > 0 then 'undecided' else 'clean' end as outcome, case when nr > 0 or blind > 0 then 'bounded' else 'full' end as proves from rv)"""
 
 
 def _steps(s: SparkSession, d: str, policy: verdict.Policy = verdict.Policy()) -> DataFrame:  # noqa: B008
@@ -1017,6 +1017,23 @@ def _reasoned(s: SparkSession, d: str, policy: verdict.Policy = verdict.Policy()
     return verdict.run_verdicts(_steps(s, d, policy), ["run_id"], policy, w, facts)
 
 
+@query("""with g as (select *, run_id % 4 = 3 or step_no % 2 = 1 as bare from runs where w_code is distinct from 'scope-truncated'),
+ sx as (select run_id, step_no, case when step_status = 'errored' then 'errored' when step_status = 'skipped' then 'not-run' when not bare and a_status = 'failed' then 'failed' else 'passed' end as outcome, case when not bare then a_status end as a, w_code from g),
+ pl as (select run_id, count(*) as steps, count(*) filter (where outcome = 'errored') as e, min(case when outcome = 'errored' then step_no end) as fe, count(*) filter (where a = 'failed') as f, count(*) filter (where a = 'unevaluable') as u, count(a) as n, count(*) filter (where outcome = 'not-run') as nr, count(*) filter (where outcome not in ('not-run', 'errored')) as seen, count(w_code) as soft from sx group by run_id)
+ select run_id, case when e > 0 then 'errored' when f > 0 then 'failed' else 'clean' end as outcome, case when e > 0 then cast(e as varchar) || case when e = 1 then ' step' else ' steps' end || ' of ' || cast(steps as varchar) || ' errored, first ' || cast(fe as varchar) when f > 0 then cast(f as varchar) || case when f = 1 then ' assertion failed' else ' assertions failed' end
+ when n = 0 then 'every step ran, nothing was asserted' when u > 0 then cast(n - u as varchar) || ' of ' || cast(n as varchar) || case when n = 1 then ' assertion' else ' assertions' end || ' held, the others were not evaluated and accepted by policy' else 'all assertions held' end as reason,
+ array_to_string(list_filter([case when nr > 0 then 'unreached' end, case when soft > 0 then 'degraded-row-identity' end, case when u > 0 then 'by-policy' end, case when n = 0 then 'unchecked' end], lambda x: x is not null), ',') as bounds, case when nr + soft + u = 0 and n > 0 then 'full' else 'bounded' end as proves from pl""")
+def run_reasons_by_policy(s: SparkSession, d: str) -> DataFrame:
+    """Runs of which some have no assertion at all and others a step without one, under a policy that lets both pass."""
+    policy = verdict.Policy(accept_unevaluable=True, require_assertions=False)
+    r = view(s, d, "runs").where("not w_code <=> 'scope-truncated'")
+    by = ["run_id", "step_no"]
+    a = r.where("run_id % 4 <> 3 and step_no % 2 = 0").select(*by, F.col("a_status").alias("status"), F.lit(0).alias("ordinal"))
+    w = r.where("w_code is not null").select(*by, F.col("w_code").alias("code"), F.lit("orders").alias("table"))
+    o = verdict.step_outcomes(r.select(*by, "step_status"), a, w, by, policy)
+    return verdict.run_verdicts(o, ["run_id"], policy, w.drop("step_no")).select("run_id", "outcome", "reason", F.array_join("bounds", ",").alias("bounds"), "proves")
+
+
 @query("with " + _STEP + """, pl as (select run_id, count(*) filter (where outcome = 'not-run') as nr, count(*) filter (where w_code = 'scope-truncated') as blind, count(*) filter (where w_code = 'degraded-row-identity') as soft, count(*) filter (where a_status = 'unevaluable') as u, run_id % 5 = 0 as part, run_id % 3 = 0 as unprobed from sx group by run_id),
  b as (select unnest(list_filter([case when part then 'partial' end, case when nr > 0 then 'unreached' end, case when unprobed then 'unprobed' end, case when soft > 0 then 'degraded-row-identity' end, case when blind > 0 then 'scope-truncated' end, case when u > 0 then 'by-policy' end], lambda x: x is not null)) as bound, u from pl),
  k as (select bound, count(*) as k, sum(u) as u, (select count(*) from pl) as n from b group by bound) select bound, case when k = n then bound else bound || ' in ' || cast(k as varchar) || ' of ' || cast(n as varchar) || ' datasets' end || case when bound = 'by-policy' then ', ' || cast(u as varchar) || ' assertions' else '' end as sentence from k""")
