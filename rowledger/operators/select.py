@@ -49,9 +49,17 @@ def at_step(changes: DataFrame, step: object) -> DataFrame:
     return changes.where(F.col("step_id") == F.lit(step))
 
 
-def rows(cs: ChangeSet, table: str, predicate: dict[str, object] | None = None, cap: int | None = None) -> tuple[DataFrame, bool]:
+def equals(frame: DataFrame, predicate: dict[str, object]) -> Column:
+    """A conjunction of typed equalities over the columns of a table."""
+    return reduce(lambda a, b: a & b, (eq_typed(F.col(c), F.lit(v), frame.schema[c].dataType.simpleString()) for c, v in predicate.items()), F.lit(True))
+
+
+def rows(cs: ChangeSet, table: str, predicate: dict[str, object] | None = None, cap: int | None = None, by: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
     """(changed rows and the current rows that did not change, whether that is all of them).
 
+    ``by`` names columns that changed and current rows have beside their images, as the run of frames of many runs: rows meet
+    within them.
+
     Current rows stand as unchanged, before equal to after. Keyed tables leave out current rows by token; keyless ones
     leave out as many equal rows as were changed. The cap is on current rows only."""
     scope, changed = cs.scope.tables[table], cs.changes[table]
@@ -60,7 +68,7 @@ def rows(cs: ChangeSet, table: str, predicate: dict[str, object] | None = None,
     now = cs.current[table]
     now = now.where(scope.where) if scope.where else now
     if predicate:
-        now = now.where(reduce(lambda a, b: a & b, (eq_typed(F.col(c), F.lit(v), now.schema[c].dataType.simpleString()) for c, v in predicate.items())))
+        now = now.where(equals(now, predicate))
     whole = True
     if cap is not None:
         whole = now.limit(cap + 1).count() <= cap
@@ -71,11 +79,11 @@ def rows(cs: ChangeSet, table: str, predicate: dict[str, object] | None = None,
     token = key_token(cs.scope.salt, [F.col(k) for k in scope.keys], list(scope.keys)) if scope.keys else F.lit(None).cast("string")
     names = F.lit(None).cast("array<string>")
     if scope.keys:
-        still = now.withColumn("key_token", token).join(changed.select("key_token").distinct(), "key_token", "left_anti")
+        still = now.withColumn("key_token", token).join(changed.select(*by, "key_token").distinct(), [*by, "key_token"], "left_anti")
     else:
         new = changed.where(F.col("after").isNotNull()).select("after.*")
         still = now.exceptAll(new) if not scope.masked else now
-    still = still.select(F.lit(table).alias("table"), key.alias("key"), token.alias("key_token"), F.lit(UNCHANGED).alias("kind"), image.alias("before"), image.alias("after"), names.alias("changed_columns"), names.alias("visible_columns"), F.lit(False).alias("has_write"))
+    still = still.select(*by, F.lit(table).alias("table"), key.alias("key"), token.alias("key_token"), F.lit(UNCHANGED).alias("kind"), image.alias("before"), image.alias("after"), names.alias("changed_columns"), names.alias("visible_columns"), F.lit(False).alias("has_write"))
     return changed.unionByName(still), whole
 
 
