@@ -48,6 +48,9 @@ VIEWS = {
  case when turn % 4 > 1 then '*' when (conv_id + turn) % 5 = 0 then 'o_totalprise' when (conv_id + turn) % 5 = 1 then 'c_acctbal' when (conv_id + turn) % 5 = 2 then 'l_quantity' else 'o_totalprice' end as column_name,
  case turn % 4 when 0 then 'read' when 1 then 'match' when 2 then 'select' else 'except' end as use_kind,
  case conv_id % 4 when 0 then 'count' when 1 then 'hasWrite' when 2 then 'atomic' else 'sum' end as question, case conv_id % 3 when 0 then 'deleted' when 1 then 'changes' else 'inserted' end as selector_kind from conversations""",
+    "run_orders_v0": "select o_orderkey % (select max(conv_id) + 1 from conversations) as run_id, o_orderkey, o_orderstatus, o_totalprice from orders_v0",
+    "run_orders_v1": "select o_orderkey % (select max(conv_id) + 1 from conversations) as run_id, o_orderkey, o_orderstatus, o_totalprice from orders_v1",
+    "run_list": "select run_id, case when run_id % 2 = 0 then 'write' else 'value' end as detection, case when run_id % 4 = 0 then 'net' else 'transactional' end as fidelity from runs group by run_id",
     "log_pairs": """select event_id as sequence, event_id - event_id % 4 as transaction_id, '0/' || hex(event_id) as lsn, event_id as place, case when event_id % 4 = 3 and event_id % 40 <> 39 then true else false end as is_commit from events""",
     "log_kinds": """select event_id as sequence, 'table "pub""lic"."we""ird": INSERT: id[bigint]:' || cast(event_id as string) || ' ok[boolean]:' || case event_id % 2 when 0 then 'true' else 'false' end || ' bits[bit]:B''10''' ||
  ' left[text]:unchanged-toast-datum none[text]:null say[text]:''it''''s ' || event_type || '''' as line from events""",

@@ -62,22 +62,29 @@ def _holds(v: Column) -> Column:
     return (v["kind"] == BOOLEAN) & (v["text"] == "true")
 
 
-def compared(op: str, a: Column, b: Column) -> Column:
-    """Equality by what both values are; order between numbers only; a refusal on either side stays one."""
-    number = lambda v: F.when(v["kind"].isin(NUMBER, TEXT), digits_of(v["text"]))
-    p, q = number(a), number(b)
+def compared(op: str | Column, a: Column, b: Column, p: Column | None = None, q: Column | None = None) -> Column:
+    """Equality by what both values are; order between numbers only; a refusal on either side stays one. ``op`` may be a column;
+    ``p`` and ``q``: the numbers that the values are, if a column has them already."""
+    p, q = number(a) if p is None else p, number(b) if q is None else q
     both = p.isNotNull() & q.isNotNull()
+    plain = lambda v: F.lower(F.trim(v["text"]))
+    flag = lambda v: F.when(plain(v).isin("t", "true"), "true").when(plain(v).isin("f", "false"), "false").otherwise(plain(v))
+    a_null, b_null = a["kind"] == NULL, b["kind"] == NULL
+    same = F.when(a_null | b_null, a_null & b_null).when(both, p == q).when((a["kind"] == BOOLEAN) | (b["kind"] == BOOLEAN), flag(a) == flag(b)).otherwise(a["text"] == b["text"])
+    size = lambda v: F.struct(v["n"], v["whole"], v["fraction"])
+    below = lambda x, y: F.when(x["negative"] != y["negative"], x["negative"]).when(x["negative"], size(y) < size(x)).otherwise(size(x) < size(y))
+    refused = [(a["no"].isNotNull(), a["no"]), (b["no"].isNotNull(), b["no"])]
+    if isinstance(op, Column):
+        equal, less, more = op.isin("==", "!="), below(p, q), below(q, p)
+        holds = F.when(op == "==", same).when(op == "!=", ~same).when(op == "<", less).when(op == "<=", ~more).when(op == ">", more).otherwise(~less)
+        return guarded([*refused, (~equal & ~both, "only numbers have an order")], truth(holds))
     if op in ("==", "!="):
-        plain = lambda v: F.lower(F.trim(v["text"]))
-        flag = lambda v: F.when(plain(v).isin("t", "true"), "true").when(plain(v).isin("f", "false"), "false").otherwise(plain(v))
-        a_null, b_null = a["kind"] == NULL, b["kind"] == NULL
-        same = F.when(a_null | b_null, a_null & b_null).when(both, p == q).when((a["kind"] == BOOLEAN) | (b["kind"] == BOOLEAN), flag(a) == flag(b)).otherwise(a["text"] == b["text"])
-        value = truth(same if op == "==" else ~same)
-    else:
-        size = lambda v: F.struct(v["n"], v["whole"], v["fraction"])
-        below = lambda x, y: F.when(x["negative"] != y["negative"], x["negative"]).when(x["negative"], size(y) < size(x)).otherwise(size(x) < size(y))
-        value = guarded([(~both, "only numbers have an order")], truth({"<": below(p, q), "<=": ~below(q, p), ">": below(q, p), ">=": ~below(p, q)}[op]))
-    return guarded([(a["no"].isNotNull(), a["no"]), (b["no"].isNotNull(), b["no"])], value)
+        return guarded(refused, truth(same if op == "==" else ~same))
+    return guarded([*refused, (~both, "only numbers have an order")], truth({"<": below(p, q), "<=": ~below(q, p), ">": below(q, p), ">=": ~below(p, q)}[op]))
+
+
+def number(v: Column) -> Column:
+    return F.when(v["kind"].isin(NUMBER, TEXT), digits_of(v["text"]))
 
 
 class RunPlanner(Planner):
@@ -268,14 +275,13 @@ def evaluate_runs(cs: ChangeSet, runs: DataFrame, assertions: list[Expr], variab
     p = RunPlanner(cs, runs, run, rows_cap, kinds)
     pairs = [(p.value_of(e.args[0]), p.value_of(e.args[1])) if e.op in _ORDER else (p.value_of(e), truth(F.lit(True))) for e in assertions]
     d = p.wide(variables)
-    # sides first, so that what compares them refers to columns
-    d = d.select(run, *(x.alias(f"{side}{i}") for i, both in enumerate(pairs) for side, x in zip("ab", both, strict=True)))
-    rows = []
-    for i, e in enumerate(assertions):
-        a, b = F.col(f"a{i}"), F.col(f"b{i}")
-        r = compared(e.op, a, b) if e.op in _ORDER else a
-        no = r["no"].isNotNull()
-        shown = lambda v, no=no: F.when(~no, F.when(v["kind"] == NULL, "null").otherwise(v["text"]))
-        status = F.when(no, "unevaluable").when(_holds(r), "passed").otherwise("failed")
-        rows.append(F.struct(F.lit(i).alias("ordinal"), F.lit(e.text()).alias("source"), status.alias("status"), shown(a).alias("actual"), shown(b).alias("expected"), r["no"].alias("reason")))
-    return d.select(run, F.explode(F.array(*rows)).alias("r")).select(run, "r.*")
+    # rows of two sides, which one expression compares, whatever their number
+    sides = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(e.text()).alias("source"), F.lit(e.op if e.op in _ORDER else None).alias("op"), a.alias("a"), b.alias("b")) for i, (e, (a, b)) in enumerate(zip(assertions, pairs, strict=True))))
+    d = d.select(run, F.explode(sides).alias("r")).select(run, "r.*")
+    a, b, op = F.col("a"), F.col("b"), F.col("op")
+    d = d.withColumn("p", F.when(op.isNotNull(), number(a))).withColumn("q", F.when(op.isNotNull(), number(b)))
+    d = d.withColumn("r", F.when(op.isNull(), a).otherwise(compared(op, a, b, F.col("p"), F.col("q"))))
+    no = F.col("r.no").isNotNull()
+    shown = lambda v: F.when(~no, F.when(v["kind"] == NULL, "null").otherwise(v["text"]))
+    status = F.when(no, "unevaluable").when(_holds(F.col("r")), "passed").otherwise("failed")
+    return d.select(run, "ordinal", "source", status.alias("status"), shown(a).alias("actual"), shown(b).alias("expected"), F.col("r.no").alias("reason"))

@@ -14,6 +14,7 @@ from .fixtures import prelude, view
 from .functions import jsondiff, values
 from .operators import address, audit, capture, promote, select, series, summary, verdict
 from .plans import check
+from .plans import runs as many_runs
 from .sources import history, log, responses, scope
 from .sources.scope import PRIMARY, Scope, TableScope
 from .sources.scratch import shared_folder
@@ -1068,3 +1069,56 @@ def promote_volatile(s: SparkSession, d: str) -> DataFrame:
     part = lambda v: view(s, d, v).drop(V).withColumnsRenamed(names)
     c = capture.snapshot_diff(part("orders_v0"), part("orders_v1"), ORDERS)
     return promote.update_candidates(c, ["o_orderkey"]).select("expression", "caveat")
+
+
+# -- many runs at once -----------------------------------------------------------------
+
+
+RUN_ORDERS = TableScope("orders", ("run_id", "o_orderkey"), PRIMARY)
+
+
+def run_set(s: SparkSession, d: str) -> capture.ChangeSet:
+    """Orders and accounts of all runs: changes, current rows and the list of writes, each with its run."""
+    b, a = view(s, d, "run_orders_v0"), view(s, d, "run_orders_v1")
+    n = view(s, d, "conversations").agg((F.max("conv_id") + 1).alias("n"))
+    at_run = lambda f: f.crossJoin(F.broadcast(n)).withColumn("run_id", F.col("id") % F.col("n")).drop("n")  # noqa: E731 - one row
+    changed = many_runs.with_run(capture.snapshot_diff(b, a, RUN_ORDERS, "fixed"), "run_id")
+    m, sc = _mutations(s, d)
+    writes = at_run(m.withColumn("id", F.col("key").cast("long"))).drop("id")
+    accounts = at_run(_accounts(log_net_view(s, d)).withColumn("id", F.coalesce("after.id", "before.id"))).drop("id")
+    both = Scope({"orders": RUN_ORDERS, **sc.tables}, True, sc.salt)
+    return capture.ChangeSet({"orders": changed, "accounts": accounts}, both, capture.VALUE, capture.NET, capture.warn(s), writes, {"orders": a})
+
+
+def run_assertions() -> list[check.Expr]:
+    k = check
+    return [
+        k.count(k.inserted("orders")).le(k.var("limit")), k.sum_(k.delta(k.changes("orders"), "o_totalprice")).ge(0), k.is_empty(k.deleted("orders")), k.any_(k.inserted("orders")) & ~k.is_empty(k.deleted("orders")), k.count(k.updated("orders")).ge(1),
+        k.single(k.deleted("orders")).before("o_orderstatus").eq("O"), k.max_(k.delta(k.updated("orders"), "o_totalprice")).gt(k.var("limit")), k.write_count(k.changes("accounts")).ge(2), k.atomic(k.changes("accounts")), k.count(k.rows("orders", o_orderstatus="X")).gt(3),
+    ]
+
+
+def run_variables(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "run_list").where("run_id % 5 <> 0").select("run_id", F.lit("limit").alias("name"), (F.col("run_id") % 7).cast("string").alias("value"))
+
+
+@query(_D + ", " + _NET + """, nr as (select max(conv_id) + 1 as n from conversations), x as (select d.*, k % nr.n as run_id from d, nr),
+ g as (select run_id, count(*) filter (where kind = 'insert') as ins, count(*) filter (where kind = 'update') as upd, count(*) filter (where kind = 'delete') as del, cast(sum(coalesce(ap, 0) - coalesce(bp, 0)) as decimal(38,2)) as delta, cast(max(case when kind = 'update' then ap - bp end) as decimal(38,2)) as mx, min(case when kind = 'delete' then bs end) as bs from x group by run_id),
+ wr as (select id % nr.n as run_id, count(*) as wc, count(distinct transaction_id) as wt from log, nr where table_name = 'accounts' and id in (select id from net) group by 1),
+ rx as (select run_id, count(*) as rc from (select run_id from x where coalesce(st, bs) = 'X' union all select run_id from run_orders_v1 where o_orderstatus = 'X' and o_orderkey not in (select k from d)) group by run_id),
+ b as (select run_list.*, coalesce(ins, 0) as ins, coalesce(upd, 0) as upd, coalesce(del, 0) as del, delta, mx, bs, coalesce(wc, 0) as wc, wt, coalesce(rc, 0) as rc, case when run_id % 5 <> 0 then cast(run_id % 7 as varchar) end as lim, case when run_id % 5 = 0 then 'no value was captured for limit' end as nolim from run_list left join g using (run_id) left join wr using (run_id) left join rx using (run_id)),
+ e as (select run_id, 0 as ordinal, nolim as reason, ins <= cast(lim as bigint) as ok, cast(ins as varchar) as actual, lim as expected from b
+ union all select run_id, 1, null, coalesce(delta, 0) >= 0, coalesce(cast(delta as varchar), '0'), '0' from b
+ union all select run_id, 2, null, del = 0, case when del = 0 then 'true' else 'false' end, 'true' from b
+ union all select run_id, 3, null, ins > 0 and del > 0, case when ins > 0 and del > 0 then 'true' else 'false' end, 'true' from b
+ union all select run_id, 4, case when detection = 'value' then 'needs write detection: a write that changes no value is not seen' end, upd >= 1, cast(upd as varchar), '1' from b
+ union all select run_id, 5, case when del <> 1 then cast(del as varchar) || ' values where one is needed' end, bs = 'O', bs, 'O' from b
+ union all select run_id, 6, case when upd = 0 then 'no rows' else nolim end, mx > cast(lim as bigint), cast(mx as varchar), lim from b
+ union all select run_id, 7, case when fidelity = 'net' then 'needs a list of writes with their transactions' end, wc >= 2, cast(wc as varchar), '2' from b
+ union all select run_id, 8, case when fidelity = 'net' then 'needs a list of writes with their transactions' when wc = 0 then 'no writes were recorded on these rows' end, wt = 1, case when wt = 1 then 'true' else 'false' end, 'true' from b
+ union all select run_id, 9, null, rc > 3, cast(rc as varchar), '3' from b)
+ select run_id, ordinal, case when reason is not null then 'unevaluable' when ok then 'passed' else 'failed' end as status, case when reason is null then actual end as actual, case when reason is null then expected end as expected, reason from e""")
+def runs_evaluated(s: SparkSession, d: str) -> DataFrame:
+    """Ten assertions over all runs: a plan of one aggregate for each table, with detection, fidelity and variables of each run."""
+    found = many_runs.evaluate_runs(run_set(s, d), view(s, d, "run_list"), run_assertions(), run_variables(s, d))
+    return found.select("run_id", "ordinal", "status", "actual", "expected", "reason")
