@@ -73,7 +73,7 @@ def rows(cs: ChangeSet, table: str, predicate: dict[str, object] | None = None,
     if cap is not None:
         whole = now.limit(cap + 1).count() <= cap
         now = now.limit(cap)
-    cols = now.columns
+    cols = [c for c in now.columns if c in changed.schema["after"].dataType.names]
     image = F.struct(*(F.lit(None).cast(now.schema[c].dataType).alias(c) if c in scope.masked else F.col(c) for c in cols))
     key = F.array(*(F.struct(F.lit(k).alias("column"), F.col(k).cast("string").alias("value")) for k in scope.keys)) if scope.keys else F.lit(None).cast("array<struct<column:string,value:string>>")
     token = key_token(cs.scope.salt, [F.col(k) for k in scope.keys], list(scope.keys)) if scope.keys else F.lit(None).cast("string")
@@ -81,8 +81,9 @@ def rows(cs: ChangeSet, table: str, predicate: dict[str, object] | None = None,
     if scope.keys:
         still = now.withColumn("key_token", token).join(changed.select(*by, "key_token").distinct(), [*by, "key_token"], "left_anti")
     else:
-        new = changed.where(F.col("after").isNotNull()).select("after.*")
-        still = now.exceptAll(new) if not scope.masked else now
+        beside = [c for c in cols if c not in by]
+        new = changed.where(F.col("after").isNotNull()).select(*by, *(F.col(f"after.{c}") for c in beside))
+        still = now.select(*by, *beside).exceptAll(new) if not scope.masked else now
     still = still.select(*by, F.lit(table).alias("table"), key.alias("key"), token.alias("key_token"), F.lit(UNCHANGED).alias("kind"), image.alias("before"), image.alias("after"), names.alias("changed_columns"), names.alias("visible_columns"), F.lit(False).alias("has_write"))
     return changed.unionByName(still), whole
 

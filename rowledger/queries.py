@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .fixtures import prelude, view
 from .functions import jsondiff, values
 from .operators import address, audit, capture, promote, select, series, summary, verdict
-from .plans import check
+from .plans import check, tree
 from .plans import runs as many_runs
 from .sources import history, log, responses, scope
 from .sources.scope import PRIMARY, Scope, TableScope
@@ -1122,3 +1122,36 @@ def runs_evaluated(s: SparkSession, d: str) -> DataFrame:
     """Ten assertions over all runs: a plan of one aggregate for each table, with detection, fidelity and variables of each run."""
     found = many_runs.evaluate_runs(run_set(s, d), view(s, d, "run_list"), run_assertions(), run_variables(s, d))
     return found.select("run_id", "ordinal", "status", "actual", "expected", "reason")
+
+
+# -- candidates as data ------------------------------------------------------------------
+
+
+def promoted(s: SparkSession, d: str) -> tuple[DataFrame, capture.ChangeSet]:
+    """All candidates of the written orders and of the accounts, and the changes they come from."""
+    cs, path = _set(s, d, capture.WRITE), f"{shared_folder(s)}/changes-{uuid.uuid4().hex}"
+    # promotion and its decision ask the changes several times, so they are stored once, as a run's would be
+    for t in ("orders", "accounts"):
+        cs.changes[t].write.parquet(f"{path}/{t}")
+        cs.changes[t] = s.read.parquet(f"{path}/{t}")
+    o, x = cs.changes["orders"], cs.changes["accounts"]
+    offers = [promote.table_counts(o), promote.discriminator_counts(o, (), ("o_orderstatus",)), promote.update_candidates(o, ["o_orderkey"]), promote.invariants(o, keys=["o_orderkey"]), promote.invariants(x, keys=["id"])]
+    return promote.candidates(offers), cs
+
+
+@query(_D + """, u as (select *, list_contains(cols, 'o_totalprice') as p, list_contains(cols, 'o_orderstatus') as st_seen from w where kind = 'update'),
+ i as (select count(*) as n, count(*) filter (where p) as seen, sum(ap - bp) as up from u), whole as (select sum(coalesce(ap, 0) - coalesce(bp, 0)) as total from w),
+ x as (select 'count' as rule, 'passed' as status, count(distinct kind) as n from w where kind <> 'update' union all select 'discriminator', 'passed', count(distinct st) from w where kind = 'insert'
+ union all select 'delta', 'passed', count(*) from u where p union all select 'value', 'passed', count(*) from u where st_seen union all select 'write', 'passed', count(*) from u where len(cols) = 0
+ union all select 'invariant', case when up = total then 'passed' else 'failed' end, 1 from i, whole where n >= 2 and seen > 0 union all select 'invariant', 'passed', 1 from xfer_v0 having count(*) > 1)
+ select rule, status, cast(sum(n) as bigint) as n, count(*) filter (where false) as pruned from x where n > 0 group by rule, status""")
+def promote_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Promotion's trees decided over the changes that they come from: all hold, but for totals of updates where rows also came or went, as
+    their caveat says. None of them is implied by another."""
+    offers, cs = promoted(s, d)
+    path = f"{shared_folder(s)}/candidates-{uuid.uuid4().hex}"
+    offers.write.parquet(path)
+    stored = s.read.parquet(path)
+    lost = stored.join(tree.prune(stored).select("expression"), "expression", "left_anti").groupBy("rule").agg(F.count("*").alias("pruned"))
+    found = tree.decide(cs, stored).groupBy("rule", "status").agg(F.count("*").alias("n"))
+    return found.join(lost, "rule", "left").select("rule", "status", "n", F.coalesce("pruned", F.lit(0)).cast("long").alias("pruned"))
