@@ -443,6 +443,15 @@ def series_carry(s: SparkSession, d: str) -> DataFrame:
     return _series(s, d)
 
 
+@query("""with p as (select id, step_no, count(*) as n, max(v) as v from series_obs group by 1, 2), s as (select *, case when n = 1 then v end as own from p where n > 1 or v is not null),
+ q as (select *, lead(step_no) over (partition by id order by step_no) as nx, last_value(own ignore nulls) over w as lv, last_value(case when own is not null then step_no end ignore nulls) over w as ls from s window w as (partition by id order by step_no rows between unbounded preceding and current row))
+ select id, cast(null as bigint) as "after", step_no as at, cast(null as bigint) as before, case when n > 1 then 'unevaluable' else 'observed' end as state, own as value, case when own is not null then step_no end as since from q
+ union all select id, step_no, null, nx, case when lv is not null then 'carried' else 'unobserved' end, lv, ls from q
+ union all select id, null, null, min(case when n > 1 or v is not null then step_no end), 'unobserved', null, null from p group by id""")
+def series_intervals(s: SparkSession, d: str) -> DataFrame:
+    return series.intervals(view(s, d, "series_obs"), ["id"])
+
+
 @query("with " + _SERIES + """, x as (select *, case when state in ('observed', 'carried') then state else 'gap' end as s from srs), y as (select *, lag(s) over (partition by id order by step_no) as b, lag(step_no) over (partition by id order by step_no) as bstep, lag(value) over (partition by id order by step_no) as bv from x),
  z as (select *, sum(case when b is null or b <> s then 1 else 0 end) over (partition by id order by step_no rows unbounded preceding) as seg from y),
  u as (select id, seg as segment, s as state, step_no, value from z where s <> 'gap' union all select id, seg, s, bstep, bv from z where s <> 'gap' and b <> s and b <> 'gap'),
@@ -453,7 +462,7 @@ def series_segments(s: SparkSession, d: str) -> DataFrame:
 
 @query("with " + _SERIES + ", e as (select id, cast(min(value) as double) as lo, cast(max(value) as double) as hi from srs where state in ('observed', 'carried') group by id) select id, case when lo = hi then lo - case when lo = 0 then 1 else abs(lo) / 2 end else lo end as lo, case when lo = hi then hi + case when lo = 0 then 1 else abs(lo) / 2 end else hi end as hi from e")
 def series_extent(s: SparkSession, d: str) -> DataFrame:
-    return series.extent(_series(s, d), ["id"])
+    return series.extent(series.intervals(view(s, d, "series_obs"), ["id"]), ["id"])
 
 
 @query("with " + _SERIES + " select 'nobody' as series, 'matched no row' as problem where (select count(*) from srs) > 0 union all select 'bad', 'no column x'")
