@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -35,19 +37,76 @@ def test_whole_transactions(spark, tmp_path):
     assert sorted((r["sequence"], str(r["amount"]), r["complete"]) for r in got) == [(1, "1.50", True), (3, "3.00", True)] and got[0]["ts"] == ts
 
 
+def batches(spark, path, shape, *frames):
+    """One file, and so one batch, for each frame, in order."""
+    for rows in frames:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(path))
+    return streaming.read_parquet_stream(spark, str(path), 1)
+
+
+def collected(spark, frame, tmp_path, name):
+    q = frame.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+    assert q.awaitTermination(300)
+    return spark.table(name)
+
+
+def test_transactions_over_batches(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1, 0, m, 0, 123456)
+    shape = "sequence long, transaction_id string, is_commit boolean, ts timestamp, amount decimal(20,4), raw binary"
+    r = lambda s, t, c, m: (s, t, c, at(m), Decimal(s) / 8, bytes([s, 255]))
+    src = batches(spark, tmp_path / "in", shape, [r(2, "a", None, 1), r(1, "a", False, 1), r(3, "b", False, 1)], [r(4, "a", False, 2), r(5, None, False, 2)], [r(6, "a", True, 3), r(7, "c", True, 3)], [r(8, "d", False, 50)], [r(9, "d", True, 51)])
+    got = collected(spark, streaming.transaction_fence(src.withWatermark("ts", "1 minute"), wait="10 minutes"), tmp_path, "over")
+    assert [f.dataType for f in got.schema][:6] == [f.dataType for f in src.schema]
+    rows = got.collect()
+    assert {(x["sequence"], x["complete"]) for x in rows} == {(1, True), (2, True), (4, True), (6, True), (7, True), (3, False), (5, False), (8, True), (9, True)} and len(rows) == 9
+    assert [x["sequence"] for x in rows if x["transaction_id"] == "a"] == [1, 2, 4, 6]  # in order, together
+    x = next(x for x in rows if x["sequence"] == 4)
+    assert (x["ts"], x["amount"], bytes(x["raw"])) == (at(2), Decimal("0.5000"), bytes([4, 255]))
+    assert {w["message"] for w in streaming.fence_warnings(got).collect()} == {"no COMMIT for b", None}
+
+
+def test_long_transaction_is_appended(spark, tmp_path):
+    """A batch leaves what is held alone: its reads of the list do not grow with it."""
+    ts = datetime(2024, 1, 1)
+    parts = [[(b * 2000 + i, 1, False, ts) for i in range(2000)] for b in range(6)] + [[(99999, 1, True, ts)]]
+    src = batches(spark, tmp_path / "in", "sequence long, transaction_id long, is_commit boolean, ts timestamp", *parts)
+    got = collected(spark, streaming.transaction_fence(src.withWatermark("ts", "1 minute")), tmp_path, "long")
+    assert [r["sequence"] for r in got.collect()] == [*range(12000), 99999]
+
+
 def test_carried_values(spark, tmp_path):
-    rows = [("x", 1, None), ("x", 2, "5"), ("x", 3, None), ("x", 4, "6"), ("x", 4, "7"), ("x", 5, None)]
-    spark.createDataFrame(rows, "s string, step_no long, value string").coalesce(1).write.parquet(f"{tmp_path}/in")
-    d = streaming.carried(streaming.read_parquet_stream(spark, f"{tmp_path}/in"), ["s"])
-    q = d.writeStream.format("memory").queryName("carried").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    got = [(r["step_no"], r["state"], r["value"], r["since"]) for r in spark.table("carried").orderBy("step_no").collect()]
+    rows = [("x", 1, None), ("x", 2, "5"), ("x", 3, None), ("x", 4, "6"), ("x", 4, "7"), ("x", 5, None), ("y", 1, None)]
+    src = batches(spark, tmp_path / "in", "s string, step_no long, value string", rows)
+    got = streaming.settled(collected(spark, streaming.carried(src, ["s"]), tmp_path, "carried"), ["s"])
+    got = [(r["step_no"], r["state"], r["value"], r["since"]) for r in got.where("s = 'x'").orderBy("step_no").collect()]
     assert got == [(1, "unobserved", None, None), (2, "observed", "5", 2), (3, "carried", "5", 2), (4, "unevaluable", None, None), (5, "carried", "5", 2)]
 
 
-def test_late_writes(spark):
-    a, b = spark.createDataFrame([("t", 2)], "table string, writes long"), spark.createDataFrame([("t", 3), ("u", 1)], "table string, writes long")
-    assert sorted((r["table"], r["message"]) for r in streaming.late_writes(a, b, ["table"]).collect()) == [("t", "1 writes came too late"), ("u", "1 writes came too late")]
+def test_carried_in_any_order(spark, tmp_path):
+    r = random.Random(7)
+    rows = [(r.choice("ab"), step, r.choice([None, None, "1", "2"])) for step in r.choices(range(12), k=40)] + [("a", None, "1")]
+    shape = "s string, step_no long, value string"
+    src = batches(spark, tmp_path / "in", shape, *(rows[i::4] for i in range(4)))
+    out = collected(spark, streaming.carried(src, ["s"]), tmp_path, "mixed")
+    got = {tuple(x) for x in streaming.settled(out, ["s"]).collect()}
+    every = spark.createDataFrame(rows, shape).where("step_no IS NOT NULL")
+    want = {tuple(x) for x in series.observe(every, every, ["s"], "step_no", "value").join(every.select("s", "step_no").distinct(), ["s", "step_no"]).select("s", "step_no", "state", "value", "since").collect()}
+    assert got == want
+    # a batch speaks of what it changes alone
+    assert out.groupBy("s", "step_no", "revision").count().where("count > 1").count() == 0
+
+
+def test_late_writes(spark, tmp_path):
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    shape = "sequence long, id string, operation string, amount decimal(10,2), ts timestamp"
+    w = lambda s, k, op, h, a=1: (s, k, op, Decimal(a), at(h))
+    parts = [[w(2, "a", "update", 1, 7), w(1, "a", "insert", 0), w(3, "b", "insert", 2), w(4, "b", "delete", 3)], [w(5, "a", "update", 4, 9)], [w(6, "c", "update", 30)], [w(7, "a", "update", 5), w(8, "a", "delete", 6), w(9, "c", "update", 31, 3)], [w(10, "z", "insert", 60)], [w(11, "z", "insert", 61)]]
+    src = batches(spark, tmp_path / "in", shape, *parts).withWatermark("ts", "1 hour")
+    got = collected(spark, streaming.window_net_view_with_late(src, ["id"], ["amount"], "24 hours"), tmp_path, "late")
+    net = {(x["id"], x["kind"], x["first_op"], x["last_op"], x["writes"], x["sequence"], str(x["amount"])) for x in got.where("not late").collect()}
+    assert net == {("a", "insert", "insert", "update", 3, 5, "9.00"), ("c", "update", "update", "update", 2, 9, "3.00")}
+    assert {(x["id"], x["sequence"], x["window_start"]) for x in got.where("late").collect()} == {("a", 7, at(0)), ("a", 8, at(0))}
+    assert [(r["id"], r["message"]) for r in streaming.late_writes(got, ["id"]).collect()] == [("a", "2 writes came too late")]
 
 
 def test_paths(spark):
