@@ -185,7 +185,7 @@ def json_summary(text: Column, most: int = 3) -> Column:
 
 
 #: Fixed value: a string of a JSON text with the colon that makes it a key, a string, or what is between strings.
-JSON_PARTS = r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|[^"]+|"'
+JSON_PARTS = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"(?:\s*+:)?+|[^"]++|"'
 #: Bytes of known values that are sent to every task.
 MOST_SECRETS = 64 << 20
 
@@ -199,19 +199,28 @@ def scrub(c: Column, secrets: dict[str, str], least: int = 6) -> Column:
 
 
 def scrub_json(c: Column, secrets: dict[str, str], least: int = 6) -> Column:
-    """The same inside a JSON text, whose keys are spared."""
+    """The same inside a JSON text, whose keys are spared. Strings are compared as what they say, however their signs are
+    escaped; a string that holds a value is written anew. For long lists, see ``scrub_texts`` with ``json``."""
     parts = F.regexp_extract_all(c, F.lit(JSON_PARTS), F.lit(0))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r'^".*"\s*:$'), x).otherwise(scrub(x, secrets, least))), "")
+
+    def one(x: Column) -> Column:
+        said = F.try_variant_get(F.try_parse_json(x), "$", "string")
+        clean = scrub(said, secrets, least)
+        written = F.to_json(F.array(clean))
+        return F.when(~x.startswith('"') | x.endswith(":"), x).when(said.isNull(), scrub(x, secrets, least)).when(clean == said, x).otherwise(F.substring(written, F.lit(2), F.length(written) - 2))
+
+    return F.array_join(F.transform(parts, one), "")
 
 
 def _by_length(secrets: dict[str, str], least: int) -> list[tuple[str, str]]:
     return sorted(((v, m) for v, m in secrets.items() if len(v) >= least), key=lambda x: (-len(x[0]), x[0]))
 
 
-def scrub_texts(texts: DataFrame, secrets: DataFrame, column: str, value: str = "value", mark: str = "mark", least: int = 6, out: str = "scrubbed") -> DataFrame:
-    """Adds ``out``: the text with all known values (rows of value and mark) replaced as ``scrub`` does, in one pass over each text.
+def scrub_texts(texts: DataFrame, secrets: DataFrame, column: str, value: str = "value", mark: str = "mark", least: int = 6, out: str = "scrubbed", json: bool = False) -> DataFrame:
+    """Adds ``out``: the text with all known values (rows of value and mark) replaced as ``scrub`` does; with ``json``, as ``scrub_json`` does.
 
-    Each task finds the values that occur with one automaton. The values are sent to all tasks, behind a check of their bytes;
+    Each task finds the values that occur with one automaton, in one pass; each value that does occur costs another one over
+    that text, or over that string of a JSON text. The values are sent to all tasks, behind a check of their bytes;
     a list beyond ``MOST_SECRETS`` is dealt into blocks by length, one pass for each."""
     known = secrets.where(F.length(value) >= least).groupBy(value).agg(F.min(mark).alias(mark))
     known = known.withColumn("_bytes", F.octet_length(value) + F.octet_length(mark))
@@ -225,15 +234,18 @@ def scrub_texts(texts: DataFrame, secrets: DataFrame, column: str, value: str =
     d = texts.withColumn(out, F.col(column))
     for low, high, _ in blocks:
         part = {r[0]: r[1] for r in known.where(F.length(value).between(low, high)).select(value, mark).collect()}
-        d = _scrub_pass(d, out, _by_length(part, 0))
+        d = _scrub_pass(d, out, _by_length(part, 0), json)
     return d
 
 
-def _scrub_pass(d: DataFrame, column: str, secrets: list[tuple[str, str]]) -> DataFrame:
+def _scrub_pass(d: DataFrame, column: str, secrets: list[tuple[str, str]], json_texts: bool) -> DataFrame:
     names, sent = [f.name for f in d.schema.fields], d.sparkSession.sparkContext.broadcast(secrets)
     at = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+        import re
+
         import ahocorasick
 
         found = ahocorasick.Automaton()
@@ -249,9 +261,22 @@ def _scrub_pass(d: DataFrame, column: str, secrets: list[tuple[str, str]]) -> Da
                 text = text.replace(*sent.value[done])
             return text
 
+        def part(m: re.Match) -> str:
+            token = m[0]
+            if token[0] != '"' or token[-1] == ":":
+                return token
+            try:
+                said = json.loads(token, strict=False)
+            except ValueError:  # no string after all
+                return one(token)
+            clean = one(said)
+            return token if clean == said else json.dumps(clean, ensure_ascii=False)
+
+        parts = re.compile(JSON_PARTS)
+        clean = (lambda t: None if t is None else parts.sub(part, t)) if json_texts else one
         for b in batches:
             cols = list(b.columns)
-            cols[at] = pa.array([one(t) for t in b.column(at).to_pylist()], pa.string())
+            cols[at] = pa.array([clean(t) for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return d.mapInArrow(run, d.schema)

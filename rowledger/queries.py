@@ -324,6 +324,17 @@ def json_leaf_diff(s: SparkSession, d: str) -> DataFrame:
     return jsondiff.leaf_diff(view(s, d, "json_pairs"), ["event_id"], "before_j", "after_j")
 
 
+@query("""select event_id, 'n' as path, '0.12345678901234567890' || cast(event_id as varchar) as before_leaf, '0.12345678901234567890' || cast(event_id + 1 as varchar) as after_leaf, 'changed' as mark from events where event_id % 3 = 0""")
+def json_leaf_digits(s: SparkSession, d: str) -> DataFrame:
+    """Digits beyond those of a double tell values apart, spellings of one number do not, and depth is no limit."""
+    e = view(s, d, "events").select("event_id")
+    deep = F.when(F.col("event_id") % 997 == 0, 3000).otherwise(F.col("event_id") % 5).cast("int")
+    text = lambda n, hundred: F.concat(F.lit('{"n": 0.12345678901234567890'), n.cast("string"), F.lit(f', "e": {hundred}, "d": '), F.repeat(F.lit("["), deep), F.lit("1"), F.repeat(F.lit("]"), deep), F.lit("}"))
+    more = F.when(F.col("event_id") % 3 == 0, F.col("event_id") + 1).otherwise(F.col("event_id"))
+    pairs = e.select("event_id", text(F.col("event_id"), "1e2").alias("b"), text(more, "100.0").alias("a"))
+    return jsondiff.leaf_diff(pairs, ["event_id"], "b", "a")
+
+
 @query("""select event_id, '{' || cast(len(json_keys(after_j)) as varchar) || ' keys} ' || array_to_string(list_sort(json_keys(after_j))[1:3], ', ') || case when len(json_keys(after_j)) > 3 then '…' else '' end as summary from json_pairs""")
 def json_summary(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "json_pairs").select("event_id", values.json_summary(F.col("after_j")).alias("summary"))
@@ -710,6 +721,17 @@ def scrub_json_values(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", values.scrub_json(F.col("j"), {"signup secret": "•••"}).alias("scrubbed"))
 
 
+@query(r"""select event_id, '{"say": "' || event_type || ' ••• · <' || cast(event_id % 50 as varchar) || '>", "secret \"é\"": 1, "key' || cast(event_id % 50 as varchar) || ' of user": "k"}' as scrubbed from events""")
+def scrub_json_escaped(s: SparkSession, d: str) -> DataFrame:
+    """Values are found however a JSON text spells them, by one automaton for the whole list; keys are spared."""
+    e = view(s, d, "events")
+    user = (F.col("event_id") % 50).cast("string")
+    j = F.concat(F.lit('{"say": "'), "event_type", F.lit(r' sec\u0072et \"\u00e9\" · k\u0065y'), user, F.lit(r' of\u0020user", "secret \"é\"": 1, "key'), user, F.lit(' of user": "k"}'))
+    listed = e.select(F.concat(F.lit("key"), user, F.lit(" of user")).alias("value"), F.concat(F.lit("<"), user, F.lit(">")).alias("mark")).distinct()
+    own = e.limit(1).select(F.lit('secret "é"').alias("value"), F.lit("•••").alias("mark"))
+    return values.scrub_texts(e.select("event_id", j.alias("j")), listed.unionByName(own), "j", json=True).select("event_id", "scrubbed")
+
+
 @query("select 'capture' as source, 'scope-truncated' as code, 'orders' as table_name, 'the table was rewritten' as message from orders_v0 having cast(count(*) as varchar) is distinct from (select cast(count(*) as varchar) from orders_v1) union all select 'capture', 'scope-truncated', 'lineitem', 'the table is gone'")
 def rewritten_tables(s: SparkSession, d: str) -> DataFrame:
     ids = lambda v, t: view(s, d, v).agg(F.count("*").cast("string").alias("identity")).select(F.lit(t).alias("table"), "identity")

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from decimal import Decimal, localcontext
+import json
+import re
+from decimal import Context, Decimal, localcontext
 
 import pytest
 from hypothesis import given, settings
@@ -91,7 +93,79 @@ def _all_slips(a: str) -> set[str]:
 def test_leaf_diff(spark):
     d = spark.createDataFrame([(1, '{"a": {"b": [1, 2]}, "c": 1}', '{"a": {"b": [1, 3, {"x": null}]}}'), (2, "{bad", "{}"), (3, None, "[]"), (4, "1", "1.0")], "id int, x string, y string")
     got = {(r["id"], r["path"], r["before_leaf"], r["after_leaf"], r["mark"]) for r in jsondiff.leaf_diff(d, ["id"], "x", "y").collect()}
-    assert got == {(1, "a.b[1]", "2", "3", "changed"), (1, "a.b[2].x", None, "null", "added"), (1, "c", "1", None, "removed"), (4, "", "1", "1.0", "changed")}
+    # one number in two spellings is no change
+    assert got == {(1, "a.b[1]", "2", "3", "changed"), (1, "a.b[2].x", None, "null", "added"), (1, "c", "1", None, "removed")}
+
+
+def flattened(v, path=""):
+    """path -> (leaf, what it equals) of a parsed document, numbers as their texts."""
+    if isinstance(v, dict) and v:
+        out = {}
+        for k, x in v.items():
+            name = k if re.match(r"^[^.\[\]\"]+$", k) else f"[{json.dumps(k, ensure_ascii=False)}]"
+            out |= flattened(x, name if not path else path + name if name[0] == "[" else f"{path}.{name}")
+        return out
+    if isinstance(v, list) and v:
+        return {p: x for i, y in enumerate(v) for p, x in flattened(y, f"{path}[{i}]").items()}
+    if isinstance(v, Number):
+        return {path: (v.text, Decimal(v.text).normalize(Context(prec=500)))}
+    return {path: (json.dumps(v, ensure_ascii=False),) * 2}
+
+
+class Number:
+    def __init__(self, text):
+        self.text = text
+
+
+names = st.sampled_from(["a", "b", "", "a.b", 'q"', "[0]", "é", "x y"])
+numbers = st.sampled_from(["0", "-0", "1", "1.0", "10e-1", "0.10", "1e2", "100", "12345678901234567890123456789012345678901234567890.5", "-3.50E+1", "1e400"])
+documents = st.recursive(st.none() | st.booleans() | st.sampled_from(["", "s", "n1", 'q"\\\n', "é\u0001", "1"]) | numbers.map(Number), lambda x: st.lists(x, max_size=3) | st.dictionaries(names, x, max_size=3), max_leaves=8)
+
+
+def written(v):
+    if isinstance(v, Number):
+        return v.text
+    if isinstance(v, dict):
+        return "{ " + " ,".join(f"{json.dumps(k)} : {written(x)}" for k, x in v.items()) + "}"
+    return "[" + ", ".join(map(written, v)) + " ]" if isinstance(v, list) else json.dumps(v, ensure_ascii=isinstance(v, str) and "é" in v)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(documents, documents), min_size=30, max_size=60))
+def test_leaves_are_those_of_the_documents(spark, pairs):
+    d = spark.createDataFrame([(i, written(a), written(b)) for i, (a, b) in enumerate(pairs)], "id int, x string, y string")
+    got = {(r["id"], r["path"]): (r["before_leaf"], r["after_leaf"]) for r in jsondiff.leaf_diff(d, ["id"], "x", "y").collect()}
+    want = {}
+    for i, (a, b) in enumerate(pairs):
+        x, y = flattened(a), flattened(b)
+        assert {p: s for p, s, _ in jsondiff.walk(written(a))} == {p: v[0] for p, v in x.items()}
+        for p in {*x, *y}:
+            if (x[p][1] if p in x else 0) != (y[p][1] if p in y else 0) or (p in x) != (p in y):
+                want[i, p] = (x[p][0] if p in x else None, y[p][0] if p in y else None)
+    same = lambda m: {k: tuple(v and v.lower() for v in vs) for k, vs in m.items()}  # noqa: E731 - the case of \\u00 escapes is free
+    assert same(got) == same(want)
+
+
+def test_deep_long_and_odd_json(spark):
+    deep = lambda v, n=3000: "[" * n + v + "]" * n
+    long = '{"k": "' + "x\\n" * 100_000 + '", "n": 1}'
+    rows = [(1, deep("1"), deep("2")), (2, '{"a": 1, "a": {"b": 2}}', '{"a": 3}'), (3, long, long.replace("1}", "2}")), (4, deep("1") + "]", deep("2")), (5, '{"a": 01}', '{"a": 2}'), (6, "[1,]", "[2]"), (7, deep("1", 23), deep("2", 24)), (8, "", "[1]")]
+    d = spark.createDataFrame(rows, "id int, x string, y string")
+    got = {(r["id"], r["path"], r["before_leaf"], r["after_leaf"]) for r in jsondiff.leaf_diff(d, ["id"], "x", "y").collect()}
+    at = lambda n: "[0]" * n
+    assert got == {(1, at(3000), "1", "2"), (2, "a.b", "2", None), (2, "a", None, "3"), (3, "n", "1", "2"), (7, at(23), "1", None), (7, at(24), None, "2")}
+    usual = jsondiff.leaf_diff(d.where("id = 3"), ["id"], "x", "y")
+    assert "MapInArrow" not in usual._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scrubbing_reads_json(spark):
+    known = {'a"bcdef': "<q>", "abcdef": "<p>", "schlüssel": "<ü>", "line\nend": "<n>", "back\\slash": "<b>"}
+    texts = ['{"a\\"bcdef": "say a\\"bcdef!", "abcdef" : ["\\u0061bcdef", "x\\u0061b\\/cdef"]}', '["schl\\u00fcssel", "SCHLÜSSEL schlüssel", "line\\nend", "back\\\\slash"]', "no json: abcdef", "[1, abcdef]", None, "", '"' + "y\\t" * 50_000 + 'abcdef"', '{"open": "abcdef']
+    want = ['{"a\\"bcdef": "say <q>!", "abcdef" : ["<p>", "x\\u0061b\\/cdef"]}', '["<ü>", "SCHLÜSSEL <ü>", "<n>", "<b>"]', "no json: <p>" if False else "no json: abcdef", "[1, abcdef]", None, "", '"' + "y\\t" * 50_000 + '<p>"', '{"open": "abcdef']
+    d, s = spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame(list(known.items()), "value string, mark string")
+    many = [r["scrubbed"] for r in values.scrub_texts(d, s, "t", json=True).collect()]
+    few = [r["x"] for r in d.select(values.scrub_json(F.col("t"), known).alias("x")).collect()]
+    assert many == want == few
 
 
 def test_scrub_takes_the_longest_first(spark):
