@@ -69,12 +69,25 @@ def _children(x: Column) -> Column:
     )
 
 
-def leaves(text: Column) -> Column:
-    """(path, leaf, same) of each leaf: its JSON text as written, and a text that is equal for equal values. Empty objects and arrays
-    are leaves; NULL for what cannot be read."""
-    v = F.try_parse_json(tagged(text))
-    whole = F.when(v.isNotNull(), F.array(F.struct(F.lit("").alias("path"), v.alias("value"))))
-    found = F.aggregate(F.array_repeat(F.lit(0), depth(text)), whole, lambda seen, _: F.flatten(F.transform(seen, _children)))
+#: Where a number may lose digits, or be spelled in another way, when it is read as one.
+_RISKY = r"\d{16}|\d[eE]|\d{8}\.\d{8}"
+
+
+def _levels(text: Column) -> Column:
+    """The depth; where there are few brackets, their number will do."""
+    opened = F.length(text) - F.length(F.translate(text, "[{", ""))
+    return F.when(opened <= 3, opened).otherwise(depth(text))
+
+
+def leaves(text: Column, risky: Column) -> Column:
+    """(path, leaf, same) of each leaf: its JSON text (numbers as they are written or shorter), and a text that is equal for equal values. Empty objects and arrays
+    are leaves; NULL for what cannot be read. Texts to be compared are read in one way: with ``risky``, numbers go through as texts."""
+    start = lambda v: F.when(v.isNotNull(), F.array(F.struct(F.lit("").alias("path"), v.alias("value"))))
+    walked = lambda v: F.aggregate(F.array_repeat(F.lit(0), _levels(text)), start(v), lambda seen, _: F.flatten(F.transform(seen, _children)))
+
+    def plain(x: Column) -> Column:
+        shown = F.to_json(x["value"])
+        return F.struct(x["path"].alias("path"), shown.alias("leaf"), shown.alias("same"))
 
     def leaf(x: Column) -> Column:
         s = F.try_variant_get(x["value"], "$", "string")
@@ -84,7 +97,7 @@ def leaves(text: Column) -> Column:
         shown = F.when(string & (kind == "n"), rest).when(string, _quoted(rest)).otherwise(raw)
         return F.struct(x["path"].alias("path"), shown.alias("leaf"), F.when(string & (kind == "n"), number_value(rest)).otherwise(shown).alias("same"))
 
-    return F.transform(found, leaf)
+    return F.when(risky, F.transform(walked(F.try_parse_json(tagged(text))), leaf)).otherwise(F.transform(walked(F.try_parse_json(text)), plain))
 
 
 def leaf_diff(pairs: DataFrame, id_cols: list[str], before: str, after: str) -> DataFrame:
@@ -95,7 +108,8 @@ def leaf_diff(pairs: DataFrame, id_cols: list[str], before: str, after: str) ->
     odd = b.isNotNull() & a.isNotNull() & (F.try_parse_json(b).isNull() | F.try_parse_json(a).isNull())
     ids, some = [F.col(c) for c in id_cols], bool(pairs.where(odd).limit(1).count())
     usual = pairs.where(~odd) if some else pairs
-    d = usual.select(*ids, leaves(b).alias("_b"), leaves(a).alias("_a"))
+    risky = F.coalesce(b.rlike(_RISKY) | a.rlike(_RISKY), F.lit(False))
+    d = usual.select(*ids, leaves(b, risky).alias("_b"), leaves(a, risky).alias("_a"))
     if some:
         d = d.unionByName(_walked(pairs.where(odd).select(*ids, b.alias("_b"), a.alias("_a")), id_cols))
     by_path = lambda side: F.map_from_arrays(F.transform(side, lambda x: x["path"]), side)
