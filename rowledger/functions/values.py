@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,9 +174,47 @@ def close_name(a: Column, b: Column) -> Column:
     return (d <= 1) | swapped
 
 
+def _typing_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """``typing_distance`` of many pairs at once: a cell of all their tables is one step."""
+    n, m = np.array([len(t) for t in a]), np.array([len(t) for t in b])
+    spread = lambda ts, width: np.array([[ord(c) for c in t.ljust(width, "\0")] for t in ts], np.int32).reshape(len(ts), -1)
+    x, y = spread(a, n.max(initial=0)), spread(b, m.max(initial=0))
+    rows = [np.tile(np.arange(y.shape[1] + 1), (len(a), 1))]
+    out = np.where(n == 0, m, 0)
+    for i in range(1, x.shape[1] + 1):
+        row = np.full_like(rows[-1], i)
+        for j in range(1, y.shape[1] + 1):
+            best = np.minimum(np.minimum(rows[-1][:, j], row[:, j - 1]) + 1, rows[-1][:, j - 1] + (x[:, i - 1] != y[:, j - 1]))
+            if i > 1 and j > 1:
+                swapped = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
+                best = np.where(swapped, np.minimum(best, rows[-2][:, j - 2] + 1), best)
+            row[:, j] = best
+        rows = [rows[-1], row]
+        at = n == i
+        out[at] = row[at, m[at]]
+    return out
+
+
+@F.pandas_udf(T.IntegerType())
+def _typing_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(_typing_distances([t.lower() for t in a], [t.lower() for t in b]), dtype="int32") if len(a) else pd.Series([], dtype="int32")
+
+
+def typing_distance(a: Column, b: Column) -> Column:
+    """Edits between two texts, case aside: a letter changed, missing or more, or two neighbours swapped, no letter touched twice. NULL if
+    either is NULL. For pairs that an index has found; the tables of a batch of pairs are filled together."""
+    none = a.isNull() | b.isNull()
+    return F.when(~none, _typing_distance(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+
+
+def loose_limit(name: Column) -> Column:
+    """The edits that the looser rule of files that people write allows: a third of the name's length, one at least."""
+    return F.greatest(F.lit(1), F.floor(F.length(name) / 3)).cast("int")
+
+
 def loosely_close_name(a: Column, b: Column) -> Column:
-    """The looser rule of files that people write: a third of the name's length, one at least."""
-    return F.levenshtein(F.lower(a), F.lower(b)) <= F.greatest(F.lit(1), F.floor(F.length(a) / 3))
+    """Whether ``b`` is close to the name ``a`` that somebody wrote, by the looser rule."""
+    return typing_distance(a, b) <= loose_limit(a)
 
 
 def json_summary(text: Column, most: int = 3) -> Column:

@@ -1197,3 +1197,32 @@ def promote_round_trip(s: SparkSession, d: str) -> DataFrame:
     lost = stored.join(tree.prune(stored).select("expression"), "expression", "left_anti").groupBy("rule").agg(F.count("*").alias("pruned"))
     found = tree.decide(cs, stored).groupBy("rule", "status").agg(F.count("*").alias("n"))
     return found.join(lost, "rule", "left").select("rule", "status", "n", F.coalesce("pruned", F.lit(0)).cast("long").alias("pruned"))
+
+
+# -- keys and names ------------------------------------------------------------------------
+
+
+_PARTED = "select event_id % 20 as a, event_id // 20 % 25 as b, event_id // 500 as c, event_id % 4 as d, event_type as e, case when event_id % 9 <> 0 then event_id end as f from events"
+
+
+@query(f"""with t as ({_PARTED}), n as (select count(*) as n from t), k as (
+ select 'a' as key, count(distinct a) = n as k from t, n group by n union all select 'b', count(distinct b) = n from t, n group by n union all select 'c', count(distinct c) = n from t, n group by n
+ union all select 'a,b', count(distinct (a, b)) = n from t, n group by n union all select 'a,c', count(distinct (a, c)) = n from t, n group by n union all select 'b,c', count(distinct (b, c)) = n from t, n group by n union all select 'b,c,d', count(distinct (b, c, d)) = n from t, n group by n union all select 'a,b,c', count(distinct (a, b, c)) = n from t, n group by n)
+ select key from k where k and not exists (select 1 from k x where x.k and x.key <> k.key and list_has_all(str_split(k.key, ','), str_split(x.key, ',')))""")
+def key_search(s: SparkSession, d: str) -> DataFrame:
+    """The minimal keys of a table that needs three columns for one; two of its other columns depend on these, one has NULLs."""
+    t = view(s, d, "events").selectExpr("event_id % 20 as a", "cast(event_id div 20 % 25 as bigint) as b", "cast(event_id div 500 as bigint) as c", "event_id % 4 as d", "event_type as e", "case when event_id % 9 <> 0 then event_id end as f")
+    return s.createDataFrame([(",".join(k),) for k in scope.minimal_keys(t, 3) if not {"e"} & set(k)], "key string")
+
+
+@query("""with w as (select distinct role || ' ' || cast(conv_id % 40 as varchar) || case when turn % 2 = 0 then ' column' else ' name' end as k from conversations),
+ u as (select k, case length(k) % 3 when 0 then substr(k, 1, 3) || 'x' || substr(k, 5) when 1 then substr(k, 2, 1) || substr(k, 1, 1) || substr(k, 3) else substr(k, 1, 4) || substr(k, 6) end as name from w),
+ p as (select u.name, w.k as known, damerau_levenshtein(lower(u.name), lower(w.k)) as d from (select distinct name from u) u, w)
+ select name, arg_min(known, (d, known)) as suggestion from p where d <= greatest(1, length(name) // 3) group by name""")
+def loose_suggestions(s: SparkSession, d: str) -> DataFrame:
+    """What files that people write may mean: the nearest name within a third of the written one's length."""
+    c = view(s, d, "conversations")
+    known = c.select(F.concat("role", F.lit(" "), (F.col("conv_id") % 40).cast("string"), F.when(F.col("turn") % 2 == 0, " column").otherwise(" name")).alias("name")).distinct()
+    k, n = F.col("name"), F.length("name")
+    slip = F.when(n % 3 == 0, F.concat(F.substring(k, 1, 3), F.lit("x"), F.substr(k, F.lit(5)))).when(n % 3 == 1, F.concat(F.substring(k, 2, 1), F.substring(k, 1, 1), F.substr(k, F.lit(3)))).otherwise(F.concat(F.substring(k, 1, 4), F.substr(k, F.lit(6))))
+    return scope.suggest(known.select(slip.alias("name")).distinct(), known, loose=True)
