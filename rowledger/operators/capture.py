@@ -145,18 +145,22 @@ def departed_keys(before: DataFrame, after: DataFrame, scope: TableScope) -> Dat
 
 def written_since(before: DataFrame, after: DataFrame, scope: TableScope, version: str, since: object, salt: str = "rowledger") -> DataFrame:
     """Write detection: written rows with their old images (an insert without one, else an update even if no value
-    differs), and departed rows. The version column itself is not compared."""
+    differs), and departed rows. The version column itself is not compared.
+
+    The old table is read once; of the new one, keys are read, and rows behind a filter that reaches the scan."""
     cols = [c for c in after.columns if c != version]
     w = written_rows(after, scope, version, since)
     if not scope.keys:
         d = w.select(F.lit(None).cast(w.select(*cols).schema).alias("b"), F.struct(*cols).alias("a"))
         return _finish(d, F.lit(INSERT), _all(cols), F.lit(True), after.select(*cols), scope, salt)
-    k = list(scope.keys)
-    old = before.select(F.struct(*cols).alias("b"))
-    on = reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in k))
-    d = w.select(F.struct(*cols).alias("a")).join(old, on, "left")
-    gone = before.join(departed_keys(before, after, scope), k, "left_semi").select(F.lit(None).cast(after.select(*cols).schema).alias("a"), F.struct(*cols).alias("b"))
-    d = d.unionByName(gone)
+    # one scan of the old table: it meets the keys that are there now, then the written rows; its own keys deal out both joins
+    keyed = lambda d, n: [F.col(c).alias(f"_{n}{i}") for i, c in enumerate(scope.keys)]
+    same = lambda n: reduce(lambda x, y: x & y, (F.col(f"_b{i}") == F.col(f"_{n}{i}") for i in range(len(scope.keys))))
+    there = F.coalesce(F.expr(scope.where), F.lit(False)) if scope.where else F.lit(True)
+    old = before.select(*keyed(before, "b"), F.struct(*cols).alias("b"), there.alias("_was"))
+    now = _watched(after, scope).select(*keyed(after, "n"), F.lit(True).alias("_is"))
+    d = old.join(now, same("n"), "left").join(w.select(*keyed(w, "a"), F.struct(*cols).alias("a")), same("a"), "full_outer")
+    d = d.where(F.col("a").isNotNull() | (F.col("_was") & F.col("_is").isNull()))
     kind = F.when(F.col("a").isNull(), LEFT if scope.where else DELETE).when(F.col("b").isNull(), INSERT).otherwise(UPDATE)
     changed = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), _differs(cols, after)).otherwise(_all(cols))
     return _finish(d, kind, changed, F.lit(True), after.select(*cols), scope, salt)
@@ -239,3 +243,72 @@ def rewritten(before_ids: DataFrame, after_ids: DataFrame) -> DataFrame:
     return j.select(F.lit("capture").alias("source"), F.lit("scope-truncated").alias("code"), "table", F.when(F.col("_a").isNull(), "the table is gone").otherwise("the table was rewritten").alias("message"))
 
 
+
+
+# -- versions kept by range -----------------------------------------------------------
+
+
+#: Ranges up to this number that differ are named to the scan; more are met by a join that prunes.
+MOST_RANGES = 10_000
+
+
+def range_of(df: DataFrame, scope: TableScope, ranges: int = 1024, width: int | None = None) -> Column:
+    """The range of a row: by its key's value where ``width`` is given (one whole number as the key, so that neighbours lie together),
+    else by a hash of its key, or of the whole row without one."""
+    if width is not None:
+        if len(scope.keys) != 1:
+            raise ValueError("ranges by value need a key of one column")
+        return F.floor(F.col(f"`{scope.keys[0]}`") / F.lit(width)).cast("long")
+    cells = [comparable(F.col(f"`{c}`"), df.schema[c].dataType) for c in (scope.keys or df.columns)]
+    return F.pmod(F.xxhash64(*cells), F.lit(ranges)).cast("long")
+
+
+def digests(df: DataFrame, columns: list[str], by: str = "_range") -> DataFrame:
+    """(range, rows, h0, h1): the number of rows and two sums of their hashes. Sums add up: see ``merge_digests``."""
+    cells = [c for n in columns for c in (comparable(F.col(f"`{n}`"), df.schema[n].dataType), F.col(f"`{n}`").isNull())]
+    h = lambda i: F.xxhash64(F.lit(i), *cells).cast("decimal(38,0)")
+    return df.groupBy(by).agg(F.count("*").alias("rows"), F.sum(h(0)).alias("h0"), F.sum(h(1)).alias("h1"))
+
+
+def merge_digests(*parts: DataFrame, by: str = "_range") -> DataFrame:
+    """The digests of rows that lie in several tables."""
+    return reduce(DataFrame.unionByName, parts).groupBy(by).agg(F.sum("rows").alias("rows"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1"))
+
+
+def write_version(df: DataFrame, path: str, scope: TableScope, ranges: int = 1024, width: int | None = None) -> None:
+    """Store a version of a table by range, with the digests of its ranges."""
+    d = df.withColumn("_range", range_of(df, scope, ranges, width))
+    keys = [F.col(f"`{c}`") for c in scope.keys] or [F.xxhash64(*(comparable(F.col(f"`{c}`"), df.schema[c].dataType) for c in df.columns))]
+    d.repartitionByRange(F.col("_range"), *keys).write.partitionBy("_range").parquet(f"{path}/rows")
+    stored = read_version(df.sparkSession, path)
+    digests(stored, df.columns).write.parquet(f"{path}/digests")
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    """A stored version, with its ``_range``."""
+    d = spark.read.parquet(f"{path}/rows")
+    return d.withColumn("_range", F.col("_range").cast("long"))
+
+
+def changed_ranges(spark: SparkSession, old: str, new: str) -> DataFrame:
+    """(range): those of two stored versions that differ, told from the digests alone. A range of rows without a key value is always among them."""
+    d = [spark.read.parquet(f"{p}/digests") for p in (old, new)]
+    both = d[0].select("_range", F.struct("rows", "h0", "h1").alias("b")).join(d[1].select("_range", F.struct("rows", "h0", "h1").alias("a")), "_range", "full_outer")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("_range")
+
+
+def diff_versions(spark: SparkSession, old: str, new: str, scope: TableScope, salt: str = "rowledger") -> DataFrame:
+    """The diff of two versions stored with the same ranges: only files of ranges that differ are read and shuffled.
+
+    Equal to ``snapshot_diff`` (``multiset_diff`` without a key), but for versions of a range whose rows differ while their number and 128
+    bits of their hashes' sums do not."""
+    moved = changed_ranges(spark, old, new)
+    few = [r["_range"] for r in moved.limit(MOST_RANGES + 1).collect()]
+    sides = []
+    for path in (old, new):
+        d = spark.read.parquet(f"{path}/rows")
+        # the column as it is stored, so that the filter names folders
+        named = F.col("_range").isin([r for r in few if r is not None]) | (F.col("_range").isNull() if None in few else F.lit(False))
+        d = d.where(named) if len(few) <= MOST_RANGES else d.join(moved.select(F.col("_range").alias("_r")), F.col("_range").eqNullSafe(F.col("_r")), "left_semi")
+        sides.append(d.drop("_range"))
+    return snapshot_diff(*sides, scope, salt) if scope.keys else multiset_diff(*sides, scope, salt)

@@ -1226,3 +1226,24 @@ def loose_suggestions(s: SparkSession, d: str) -> DataFrame:
     k, n = F.col("name"), F.length("name")
     slip = F.when(n % 3 == 0, F.concat(F.substring(k, 1, 3), F.lit("x"), F.substr(k, F.lit(5)))).when(n % 3 == 1, F.concat(F.substring(k, 2, 1), F.substring(k, 1, 1), F.substr(k, F.lit(3)))).otherwise(F.concat(F.substring(k, 1, 4), F.substr(k, F.lit(6))))
     return scope.suggest(known.select(slip.alias("name")).distinct(), known, loose=True)
+
+
+# -- versions by range ----------------------------------------------------------------------
+
+
+@query(_D + """, r as (select k, kind, ap, bp, k // 1000 as rg from d), c as (select * from r where kind = 'insert' or rg % 20 = 3),
+ a as (select distinct o_orderkey // 1000 as rg from orders_v0 union select distinct rg from c), m as (select count(distinct rg) as ranges_read from c)
+ select kind, count(*) as n, cast(sum(coalesce(ap, 0) - coalesce(bp, 0)) as decimal(38,2)) as delta, any_value(ranges_read) as ranges_read, (select count(*) from a) as ranges from c, m group by kind""")
+def diff_by_ranges(s: SparkSession, d: str) -> DataFrame:
+    """Versions stored by ranges of the key, of which a twentieth changed and some are new: the digests tell which files to read."""
+    old, base = view(s, d, "orders_v0").drop(V), f"{shared_folder(s)}/version-{uuid.uuid4().hex}"
+    rg = F.floor(F.col("o_orderkey") / 1000)
+    touched = (rg % 20 == 3) | (F.col("o_orderkey") >= 10000000)
+    new = view(s, d, "orders_v1").drop(V).where(touched).unionByName(old.where(~touched))
+    for name, v in (("old", old), ("new", new)):
+        capture.write_version(v, f"{base}/{name}", ORDERS, width=1000)
+    c = capture.diff_versions(s, f"{base}/old", f"{base}/new", ORDERS)
+    moved = capture.changed_ranges(s, f"{base}/old", f"{base}/new").agg(F.count("*").alias("ranges_read"))
+    both = reduce(DataFrame.unionByName, (s.read.parquet(f"{base}/{n}/digests").select("_range") for n in ("old", "new"))).agg(F.count_distinct("_range").alias("ranges"))
+    found = c.groupBy("kind").agg(F.count("*").alias("n"), _money(F.sum(select.delta(c, "o_totalprice"))).alias("delta"))
+    return found.crossJoin(F.broadcast(moved)).crossJoin(F.broadcast(both))  # one row each
