@@ -91,7 +91,9 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return nodes.join(e.groupBy("u").agg(F.min("v").alias("m")), nodes["id"] == F.col("u"), "left").select("id", F.coalesce("m", "id").alias("component"))
+    out = nodes.join(e.groupBy("u").agg(F.min("v").alias("m")), nodes["id"] == F.col("u"), "left").select("id", F.coalesce("m", "id").alias("component"))
+    out.links = e  # to discard when the result is stored
+    return out
 
 
 def as_column(names: list[str], base: str) -> str:
