@@ -7,6 +7,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,6 @@ def test_oracle_texts(spark):
     for name, sql in queries.oracle_sql().items():
         got, want = queries.queries()[name](spark, SF).toPandas(), c.sql(sql).df()
         cols = sorted(got.columns)
-        cell = lambda v: "" if v is None or v != v else v if isinstance(v, str) else str(round(float(v), 6))
+        cell = lambda v: "" if pd.isna(v) else v if isinstance(v, str) else str(round(float(v), 6))
         plain = lambda f, cell=cell, cols=cols: sorted(tuple(map(cell, row)) for row in f[cols].values.tolist())
         assert cols == sorted(want.columns) and plain(got) == plain(want)
