@@ -195,6 +195,11 @@ def _typing_distances(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+def close(a: str, b: str) -> bool:
+    """``close_name`` of two names at hand."""
+    return int(_typing_distances([a.lower()], [b.lower()])[0]) <= 1
+
+
 @F.pandas_udf(T.IntegerType())
 def _typing_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_typing_distances([t.lower() for t in a], [t.lower() for t in b]), dtype="int32") if len(a) else pd.Series([], dtype="int32")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import comparable, key_token
-from ..sources.scope import KEYLESS, Scope, TableScope, prove_key
+from ..sources.scope import KEYLESS, Scope, TableScope, prove_keys
 
 INSERT, UPDATE, DELETE, LEFT, ENTERED, UNCHANGED = "insert", "update", "delete", "left-scope", "entered-scope", "unchanged"
 WRITE, VALUE, NET, TRANSACTIONAL = "write", "value", "net", "transactional"
@@ -109,13 +109,18 @@ def wide_snapshot_diff(before: DataFrame, after: DataFrame, scope: TableScope, s
     return snapshot_diff(before.join(moved, keys, "left_semi"), after.join(moved, keys, "left_semi"), scope, salt)
 
 
+def _net_counts(before: DataFrame, after: DataFrame, scope: TableScope) -> DataFrame:
+    """Whole rows that are more (or fewer) afterwards, with ``_n``, by how many."""
+    census = _watched(before, scope).withColumn("_n", F.lit(-1)).unionByName(_watched(after, scope).withColumn("_n", F.lit(1)))
+    return census.groupBy(*(F.col(f"`{c}`") for c in after.columns)).agg(F.sum("_n").alias("_n")).where(F.col("_n") != 0)
+
+
 def multiset_diff(before: DataFrame, after: DataFrame, scope: TableScope, salt: str = "rowledger") -> DataFrame:
     """Keyless versions by counts of whole rows: surplus rows are inserts, missing ones deletes, each as often as it is so.
 
     Counts are combined before the one shuffle. A surplus of many copies is given out in slices of ``SLICE`` by several tasks."""
     cols = after.columns
-    census = _watched(before, scope).withColumn("_n", F.lit(-1)).unionByName(_watched(after, scope).withColumn("_n", F.lit(1)))
-    net = census.groupBy(*(F.col(f"`{c}`") for c in cols)).agg(F.sum("_n").alias("_n")).where(F.col("_n") != 0)
+    net = _net_counts(before, after, scope)
     row = F.struct(*(F.col(f"`{c}`") for c in cols)).alias("r")
     few = net.where(F.abs("_n") <= SLICE).select(row, F.col("_n").alias("n"), F.abs("_n").alias("k"))
     many = net.where(F.abs("_n") > SLICE).select(row, F.col("_n").alias("n"), F.abs("_n").alias("all"))
@@ -178,12 +183,15 @@ def capture_snapshots(spark: SparkSession, before: dict[str, DataFrame], after:
     """Value detection over all tables of a scope. A key that is not one (NULL or twice) downgrades its table to
     keyless with a warning, and a table over its row cap is left out with one."""
     frames, notes, tables = {}, [], {}
+    keyed = {n: t for n, t in scope.tables.items() if t.keys and prove}
+    # all tables' keys in one job
+    proven = prove_keys(spark, {(n, side): (_watched(x[n], t), t.keys) for n, t in keyed.items() for side, x in (("b", before), ("a", after))})
     for name, t in scope.tables.items():
         b, a = before[name], after[name]
         if t.max_rows is not None and any(x.limit(t.max_rows + 1).count() > t.max_rows for x in (_watched(b, t), _watched(a, t))):
             notes.append(("capture", "scope-truncated", name, f"more than {t.max_rows} rows"))
             continue
-        if t.keys and prove and not all(prove_key(_watched(x, t), t.keys).first()["is_key"] for x in (b, a)):
+        if name in keyed and not (proven[name, "b"] and proven[name, "a"]):
             notes.append(("capture", "degraded-row-identity", name, f"({', '.join(t.keys)}) is not a key"))
             t = TableScope(t.name, (), KEYLESS, t.where, t.ignore, t.masked, True)
         tables[name] = t
@@ -191,7 +199,8 @@ def capture_snapshots(spark: SparkSession, before: dict[str, DataFrame], after:
             frames[name] = snapshot_diff(b, a, t, scope.salt, prove)
         else:
             frames[name] = multiset_diff(b, a, t, scope.salt)
-            if not any(n[2] == name for n in notes) and not frames[name].isEmpty():
+            # counts of whole rows tell, without the rows that a diff gives out
+            if not any(n[2] == name for n in notes) and not _net_counts(b, a, t).isEmpty():
                 notes.append(("capture", "degraded-row-identity", name, "rows have no key"))
     return ChangeSet(frames, Scope(tables, scope.all_tables, scope.salt), VALUE, NET, warn(spark, *notes), None, after)
 

@@ -78,13 +78,17 @@ def rows(cs: ChangeSet, table: str, predicate: dict[str, object] | None = None,
     key = F.array(*(F.struct(F.lit(k).alias("column"), F.col(k).cast("string").alias("value")) for k in scope.keys)) if scope.keys else F.lit(None).cast("array<struct<column:string,value:string>>")
     token = key_token(cs.scope.salt, [F.col(k) for k in scope.keys], list(scope.keys)) if scope.keys else F.lit(None).cast("string")
     names = F.lit(None).cast("array<string>")
+    unchanged = [F.lit(table).alias("table"), key.alias("key"), token.alias("key_token"), F.lit(UNCHANGED).alias("kind"), image.alias("before"), image.alias("after"), names.alias("changed_columns"), names.alias("visible_columns"), F.lit(False).alias("has_write")]
     if scope.keys:
-        still = now.withColumn("key_token", token).join(changed.select(*by, "key_token").distinct(), [*by, "key_token"], "left_anti")
-    else:
-        beside = [c for c in cols if c not in by]
-        new = changed.where(F.col("after").isNotNull()).select(*by, *(F.col(f"after.{c}") for c in beside))
-        still = now.select(*by, *beside).exceptAll(new) if not scope.masked else now
-    still = still.select(*by, F.lit(table).alias("table"), key.alias("key"), token.alias("key_token"), F.lit(UNCHANGED).alias("kind"), image.alias("before"), image.alias("after"), names.alias("changed_columns"), names.alias("visible_columns"), F.lit(False).alias("has_write"))
+        # one outer join, so that the changes are made once: a row of it is a changed one or, without one, a current one
+        at, own = [*by, "key_token"], [c for c in changed.columns if c not in by]
+        here = now.select(*by, *unchanged).select(*at, F.struct(*own).alias("_now"))
+        there = changed.select(*at, F.struct(*own).alias("_changed"))
+        return here.join(there, at, "full_outer").select(*by, F.coalesce("_changed", "_now").alias("_r")).select(*by, "_r.*").select(*changed.columns), whole
+    beside = [c for c in cols if c not in by]
+    new = changed.where(F.col("after").isNotNull()).select(*by, *(F.col(f"after.{c}") for c in beside))
+    still = now.select(*by, *beside).exceptAll(new) if not scope.masked else now
+    still = still.select(*by, *unchanged)
     return changed.unionByName(still), whole
 
 

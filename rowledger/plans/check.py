@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import DECIMAL_TEXT, exact
+from ..functions.values import close as _close
 from ..operators import select
 from ..operators.capture import TRANSACTIONAL, WRITE, ChangeSet
 
@@ -405,14 +406,6 @@ class Planner:
         return folded
 
 
-def _close(a: str, b: str) -> bool:
-    a, b = a.lower(), b.lower()
-    if abs(len(a) - len(b)) > 1 or a == b:
-        return a == b
-    i = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-
-
 def _truth(x: object) -> bool:
     return x is True
 

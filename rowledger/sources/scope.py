@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +76,15 @@ def prove_key(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return s.withColumn("is_key", (F.col("rows") == F.col("distinct_keys")) & (F.col("null_keys") == 0))
 
 
+def prove_keys(spark: SparkSession, tables: dict[object, tuple[DataFrame, tuple[str, ...]]]) -> dict[object, bool]:
+    """``prove_key`` of many tables as one job: whether the columns are a key, by the names given."""
+    if not tables:
+        return {}
+    each = [prove_key(d, k).select(F.lit(i).alias("i"), "is_key") for i, (d, k) in enumerate(tables.values())]
+    found = {r["i"]: r["is_key"] for r in reduce(DataFrame.unionByName, each).collect()}  # a row for each table
+    return {name: found[i] for i, name in enumerate(tables)}
+
+
 #: Error of the estimates, and how many sets of columns one job estimates.
 _ERROR, _SETS = 0.03, 1000
 
