@@ -1,5 +1,10 @@
 """A corpus pipeline over ``documents``: toxic documents go, one document of each near-duplicate
-group stays, sources are mixed to target weights, and what is taken is packed into sequences."""
+group stays, sources are mixed to target weights, and what is taken is packed into sequences.
+
+Rows are documents of their own: repeated ones are judged alike, and of equal texts one stays behind the second stage. Null and
+empty texts are not toxic, have no near duplicates (of rows without words one stays for each id), count no words in the mix, and are
+packed as their end id alone. Rows without an id go through all stages; null sources are a source of their own. Columns beside those
+of ``documents`` go along up to the mix, whatever their names. An empty table gives an empty result with the same columns."""
 
 from __future__ import annotations
 
@@ -45,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = common.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            common.discard(before)  # the next stage is stored
+        before = docs
     return docs
