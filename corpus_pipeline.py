@@ -3,7 +3,7 @@ group stays, sources are mixed to target weights, and what is taken is packed in
 
 Rows are documents of their own: repeated ones are judged alike, and of equal texts one stays behind the second stage. Null and
 empty texts are not toxic, have no near duplicates (of rows without words one stays for each id), count no words in the mix, and are
-packed as their end id alone. Rows without an id go through all stages; null sources are a source of their own. Columns beside those
+packed as their end id alone. Rows without an id are judged by their texts like others; null sources are a source of their own. Columns beside those
 of ``documents`` go along up to the mix, whatever their names. An empty table gives an empty result with the same columns."""
 
 from __future__ import annotations
