@@ -181,3 +181,41 @@ def test_oracle_texts(spark):
         cell = lambda v: "" if pd.isna(v) else v if isinstance(v, str) else str(round(float(v), 6))
         plain = lambda f, cell=cell, cols=cols: sorted(tuple(map(cell, row)) for row in f[cols].values.tolist())
         assert cols == sorted(want.columns) and plain(got) == plain(want)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the tables are not here")
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, equal rows, a very long text, and columns named as those inside the stages."""
+    import corpus_pipeline
+
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    shape = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in given.schema)}"
+    usual = "the committee met on tuesday to look at the new bridge over the river and its cost for the town"
+    odd = [
+        (900001, None, "en", "a", 0), (900001, None, "en", "a", 0), (900002, "", "en", None, 0), (None, "a text of its own that has no id and shares no words in a row with any other one of these", "en", None, 9), (None, usual + " without an id", "en", None, 9), (None, None, None, None, None), (900003, usual, "en", "b", 9), (900004, usual, "en", "b", 9), (900004, usual, "en", "b", 9),
+        (900005, " \n\t ", "en", "b", 3), (900006, " ".join(f"word{i} of a long text" for i in range(9000)), "en", "b", 9),
+    ]
+    docs = given.limit(120).unionByName(spark.createDataFrame(odd, shape))
+    beside = {"id": F.lit("x"), "row": F.lit(1), "component": F.lit(2.5), "size": F.lit("s"), "words": F.array(F.lit(1)), "u": F.lit(None).cast("int"), "tree": F.lit(True)}
+    docs.withColumns(beside).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").withColumn("text", F.lit("clash")).write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    columns = docs.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = common.table(stage(spark, docs, str(tmp_path)), f"odd-{name}")
+        if i < 3:
+            assert docs.columns == columns
+        ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+        seen.append({k: ids.count(k) for k in (None, *range(900001, 900007))})
+    assert seen[0] == {None: 3, 900001: 2, 900002: 1, 900003: 1, 900004: 2, 900005: 1, 900006: 1}
+    # the third row without an id is a near copy of 900003
+    assert seen[1] == {None: 2, 900001: 1, 900002: 1, 900003: 1, 900004: 0, 900005: 1, 900006: 1}
+    assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+    assert docs.where("doc_id = 900006").count() == 0 or docs.where("doc_id = 900006").agg(F.sum("length")).first()[0] > 9000
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert whole.count() == docs.count()
+    # an empty table
+    given.limit(0).withColumns(beside).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    empty = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert empty.collect() == [] and empty.columns == whole.columns
