@@ -206,6 +206,19 @@ def within_budget(counts: DataFrame, budget: int) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > budget)
 
 
-def truncate(docs: DataFrame, counts: DataFrame, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The texts cut to ``budget`` tokens by the stored cuts; ids must be unique."""
-    return docs.join(counts.select(id_col, f"cut_{budget}"), id_col).withColumn(text_col, F.expr(f"substring({text_col}, 1, cut_{budget})")).drop(f"cut_{budget}")
+def truncate(docs: DataFrame, tokenizer: str, budget: int, text_col: str = "text") -> DataFrame:
+    """The rows with their texts cut to the longest prefix of at most ``budget`` tokens, read from each text's own table in one pass.
+
+    No row is lost or met with another: ids may be null or repeated, null texts stay null, other columns are kept as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = memo(PrefixTables, tokenizer)
+        for batch in batches:
+            for k in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(k, BLOCK)
+                cols = list(part.columns)
+                cols[at] = pa.array([None if t is None else t[: tables.cut(tables.counts(t), budget)] for t in cols[at].to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays(cols, part.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

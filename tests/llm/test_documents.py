@@ -104,10 +104,22 @@ def test_token_counts(docs, empty):
         r = got[i]
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((t or "").encode()), len(ids), len(ids) > 512) and len(r["prefix_tokens"]) == len(t or "") + 1
     assert out.count() == docs.count() and token_counts.prefix_counts(empty, path).count() == 0
-    cut = token_counts.truncate(docs.where("doc_id = 12").distinct(), out.distinct(), 512).first()["text"]
+    cut = token_counts.truncate(docs.where("doc_id = 12").distinct(), path, 512).first()["text"]
     assert 0 < len(cut) < len(texts()[12])
 
 
+def test_truncated_rows_stay_what_they_are(spark):
+    path = vocabulary("byte_bpe_50k.json")
+    rows = [(1, "one two three four five", "a"), (1, "un deux", "b"), (None, "no id here at all, but a text", "c"), (2, None, None), (3, "", "d"), (1, "one two three four five", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    m = token_counts.PrefixTables(path)
+    longest = lambda t: next(t[:n] for n in range(len(t), -1, -1) if len(m.ids(t[:n])) <= 3)
+    want = sorted(((i, None if t is None else longest(t), x) for i, t, x in rows), key=str)
+    got = token_counts.truncate(d, path, 3)
+    assert got.columns == d.columns and sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert token_counts.truncate(d.limit(0), path, 3).collect() == []
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     path = vocabulary("word_bpe_49k.json")
     token_files.write(docs, f"{tmp_path}/t", path, 1)
