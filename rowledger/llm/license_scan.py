@@ -12,7 +12,9 @@ allows for words that were changed, left out or put in, and gives the matched wo
 their share of the template (coverage) and the span in the document. What a long
 insertion or omission tears apart lies on several diagonals: alignments of one template
 that are none by themselves are joined where no more than ``GAP`` words lie between
-them, and the words that they match together count.
+them, and the words that they match together count. What is left then is joined over the whole
+document, however far its pieces lie apart: coverage is over all of them, and only the pieces, not
+what lies between, count as taken.
 
 The index is of the size of the templates, which the caller gives and ``most`` bounds;
 documents are read in one scan without a shuffle, whole. Defined results: null and
@@ -244,26 +246,23 @@ def parts(found: list[tuple[int, int]], words: int) -> list[list[tuple[int, int]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most: int = 200_000) -> DataFrame:
-    """(id, license, matched, coverage, first_word, last_word): a row for each template of which a document
-    holds at least the share ``least``; places count white-space-separated words from 0. One template's
+    """(id, license, matched, coverage, first_word, last_word, pieces): a row for each template of which a document
+    holds at least the share ``least``, in one piece or in several with more than GAP words between them; places count white-space-separated words from 0. One template's
     overlapping matches are one, the best; of templates on the same words the longer match is kept."""
     index = Index(TEMPLATES if templates is None else templates, most)
 
-    def free(out: list, a: int, b: int) -> bool:
-        return all(b < x[3] or a > x[4] for x in out)
-
-    def matches(text: str | None, memo: WordHashes) -> list[tuple[int, int, float, int, int]]:
+    def matches(text: str | None, memo: WordHashes) -> list[tuple[int, int, float, int, int, int]]:
         h, at = words(text, memo)
-        whole, torn = [], {}
+        whole: list[tuple[int, int, int, int]] = []  # matched words, template, first and last place
+        torn: dict[int, list] = {}
         for t, d in index.votes(h):
             met = meetings(h, index.words[t], d)
             c = chain(met)
             if c and len(c) / len(index.words[t]) >= least:
-                whole.append((len(c), len(c) / len(index.words[t]), -t, c[0][1], c[-1][1]))
+                whole.append((len(c), t, c[0][1], c[-1][1]))
             elif c:
                 torn.setdefault(t, []).append((d, met))
         for t, rest in torn.items():
-            n = len(index.words[t])
             rest.sort(key=lambda x: x[0])
             group: list[tuple[int, int]] = []
             for k, (d, met) in enumerate(rest):
@@ -271,14 +270,42 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
                 if k + 1 < len(rest) and rest[k + 1][0] - d <= GAP + 2 * BAND:
                     continue
                 for c in parts(chain(sorted(set(group))), GAP):
-                    if len(c) / n >= least:
-                        whole.append((len(c), len(c) / n, -t, c[0][1], c[-1][1]))
+                    if len(c) / len(index.words[t]) >= least:
+                        whole.append((len(c), t, c[0][1], c[-1][1]))
                 group = []
-        out: list[tuple[int, int, float, int, int]] = []
-        for m, share, t, a, b in sorted(whole, key=lambda x: (-x[0], x[4] - x[3], -x[2], x[3])):
-            if free(out, a, b):
-                out.append((-t, m, share, a, b))
-        return [(t, m, share, int(at[a]), int(at[b])) for t, m, share, a, b in out]
+        # what is taken lies apart, so its neighbours tell whether a span is free
+        first: list[int] = []
+        last: list[int] = []
+        out: list[tuple[int, int, list[tuple[int, int]]]] = []
+
+        def free(a: int, b: int) -> bool:
+            k = bisect_left(first, a)
+            return (k == 0 or last[k - 1] < a) and (k == len(first) or b < first[k])
+
+        def take(t: int, m: int, pieces: list[tuple[int, int]]) -> None:
+            out.append((t, m, pieces))
+            for a, b in pieces:
+                k = bisect_left(first, a)
+                first.insert(k, a)
+                last.insert(k, b)
+
+        for m, t, a, b in sorted(whole, key=lambda x: (-x[0], x[3] - x[2], x[1], x[2])):
+            if free(a, b):
+                take(t, m, [(a, b)])
+        # what no span holds, joined over the whole document; the longest templates first
+        for t in sorted(torn, key=lambda t: (-len(index.words[t]), t)):
+            n, loose = len(index.words[t]), {p for _, met in torn[t] for p in met}
+            while True:
+                loose = {p for p in loose if free(p[1], p[1])}
+                if len({i for i, _ in loose}) / n < least:
+                    break
+                # fewer words than a fingerprint has meet by chance
+                found = [p for p in parts(chain(sorted(loose)), GAP) if len(p) >= GRAM]
+                m, pieces = sum(map(len, found)), [(p[0][1], p[-1][1]) for p in found]
+                if m / n < least or not all(free(a, b) for a, b in pieces):
+                    break
+                take(t, m, pieces)
+        return [(t, m, m / len(index.words[t]), int(at[p[0][0]]), int(at[p[-1][1]]), len(p)) for t, m, p in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -287,8 +314,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
             if not found:
                 continue
             at, t, *rest = zip(*found, strict=True)
-            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([index.names[k] for k in t]), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))], ["id", "license", "matched", "coverage", "first_word", "last_word"])
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([index.names[k] for k in t]), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))], ["id", "license", "matched", "coverage", "first_word", "last_word", "pieces"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, license string, matched long, coverage double, first_word long, last_word long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, license string, matched long, coverage double, first_word long, last_word long, pieces long").withColumnRenamed("id", id_col)

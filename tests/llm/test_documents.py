@@ -400,7 +400,27 @@ def test_license_scan_loses_no_match(spark):
     n = len(mit)
     assert sorted(got[1]) == sorted([("CC-BY-NC-4.0", 5, 5 * k, 5 * k + 4) for k in range(20)] * 2) and got[None] == [("CC-BY-NC-4.0", 5, 0, 4)]
     assert got[2] == [("MIT-text", n, 0, n + 11)] and got[3] == [("MIT-text", n - 12, 0, n - 13)] and got[4] == [("MIT-text", n, 5000, 4999 + n)]
-    assert sorted(got[5]) == [("MIT-text", n, 0, n - 1), ("MIT-text", n, n + 3, 2 * n + 2)] and got[6] == [] and got[7] == [("MIT-text", n, 0, n + 40)]
+    assert sorted(got[5]) == [("MIT-text", n, 0, n - 1), ("MIT-text", n, n + 3, 2 * n + 2)] and got[6] == [("MIT-text", n, 0, n + 399)] and got[7] == [("MIT-text", n, 0, n + 40)]
+
+
+def test_license_scan_joins_far_pieces(spark):
+    """Pieces however far apart count together, what lies between stays free, and many matches take no time for each other."""
+    mit, isc, unlicense = (license_scan.TEMPLATES[k].split() for k in ("MIT-text", "ISC", "Unlicense"))
+    n, far = len(mit), [f"f{k}" for k in range(3000)]
+    cases = {
+        1: [*mit[:60], *far, *mit[60:110], *far, *mit[110:]], 2: [*mit[:80], *far[:200], *isc, *far[:200], *mit[80:]], 3: [*mit[80:], *far, *mit[:80]], 4: [*mit[: n // 2], *far, "end"],
+        5: [*mit[:80], *far[:100], *mit[80:], *far, *mit[:80], *far[:100], *mit[80:]], 6: [*(w for k in range(400) for w in (*license_scan.TEMPLATES["MIT"].split(), f"x{k}"))], 7: [*mit[:70], *far[:90], *unlicense, *mit[70:]],
+    }
+    rows = [(k, " ".join(v)) for k, v in cases.items()]
+    got = defaultdict(list)
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["license"], r["matched"], r["first_word"], r["last_word"], r["pieces"]))
+    assert got[1] == [("MIT-text", n, 0, n + 5999, 3)]
+    assert sorted(got[2]) == [("ISC", len(isc), 280, 279 + len(isc), 1), ("MIT-text", n, 0, n + 399 + len(isc), 2)]
+    assert got[3] == [] and got[4] == []  # out of order; half of it
+    assert sorted(got[5]) == [("MIT-text", n, 0, n + 99, 2), ("MIT-text", n, n + 3100, 2 * n + 3199, 2)]
+    assert len(got[6]) == 400
+    assert sorted(x[0] for x in got[7]) == ["MIT-text", "Unlicense"]
 
 
 def test_license_scan_names_whole_texts(spark):
