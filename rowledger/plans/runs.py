@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.values import digits_of, exact, plus
 from ..operators import select
 from ..operators.capture import TRANSACTIONAL, WRITE, ChangeSet
-from .check import _ORDER, Col, Expr, No, Planner, Sel
+from .check import _ORDER, Col, Expr, No, Planner, Sel, _Source
 
 NULL, BOOLEAN, NUMBER, TEXT = "null", "boolean", "number", "text"
 
@@ -98,20 +98,14 @@ class RunPlanner(Planner):
 
     # -- sources -----------------------------------------------------------
 
-    def source(self, sel: Sel, table: str):
+    def source(self, sel: Sel, table: str) -> _Source:
         key = (table, sel.where_ if sel.which == "rows" else None)
         if key not in self.sources and sel.which == "rows":
-            self.sources[key] = self.new_source(select.rows(self.cs, table, dict(sel.where_), by=(self.by,))[0])
+            self.sources[key] = _Source(select.rows(self.cs, table, dict(sel.where_), by=(self.by,))[0])
         elif key not in self.sources:
-            self.sources[key] = self.new_source(self.cs.changes[table])
+            self.sources[key] = _Source(self.cs.changes[table])
         return self.sources[key]
 
-    @staticmethod
-    def new_source(frame: DataFrame):
-        from .check import _Source
-
-        return _Source(frame)
-
     def columns(self, sel: Sel, what: str, make: Callable[[Column, DataFrame], Column], none: object = None) -> list[Column]:
         """A column of each table's aggregate; ``none`` stands for runs without rows there."""
         out = []
