@@ -15,12 +15,16 @@ them, and stay in for the others, so no link is lost.
 Candidates are made between sets that differ; equal sets are one node. Exact bounds look
 at every pair before any set is moved: sizes, and parity sketches of about four bits a
 shingle, whose differing bits cannot exceed the differing shingles. The nodes of an entry
-of up to ``FREQUENT`` meet each other there. A longer entry is dealt into blocks, and a
-task that meets two of them gives no more pairs than there are nodes: a forest that spans
-what the bounds leave together, nearest first. Verification is exact on the sets. As most
-of such a forest is true, few pairs are left between components; the blocks of entries
-with several components give those, the nearest of each node and other component first,
-until all that may link have been verified.
+of up to ``FREQUENT`` meet each other there. A longer entry is dealt into blocks, each of
+which also holds a few nodes that all blocks of the entry see, and a block gives a forest
+that spans what the bounds leave together, nearest first. Verification is exact on the
+sets, and most of such a forest is true. The nodes of entries that still have several
+components are indexed anew, by the shingles that are rarest among them: a set brings only
+as many as must hold one that a link shares (a prefix filter), so what meets in a frequent
+passage alone meets no more. There the nodes outside of an entry's largest component visit
+its blocks; the nearest of each node and other component come first, until all pairs
+between components that may link have been verified. So rows grow with the nodes, and
+beyond that only with those that share a rarest shingle without being linked to most of its nodes.
 
 Shingles, nodes and index keys are 64-bit hashes. Defined results: null or empty
 texts have no shingles and link with nothing; texts of fewer than ``width`` words
@@ -35,8 +39,10 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +56,10 @@ FREQUENT = 16
 FEW_NODES = 400_000
 #: Members of a leader that meet in one task, and rows of an entry's block.
 GROUP, ROWS = 256, 512
+#: Nodes of an entry, about, that all its blocks see at first.
+SEEN = 8
+#: Places in which shingles are counted, to order them by how rare they are.
+PLACES = 1 << 16
 #: Places of the short sketch that a join condition looks at.
 MINI = 512
 #: Bytes of text that a shingle takes, about, for the number of documents in each band.
@@ -119,6 +129,10 @@ class Threshold:
         own = self.band(size)
         return [b for b in range(own, -1, -1) if b == own or size <= self.top(b) * self.den // self.num]
 
+    def prefix(self, size: int) -> int:
+        """How many of a set's shingles, in an order that all sets have, hold one at least that it shares with a set it links with."""
+        return size + 1 - -(-size * self.num // self.den)
+
     def linked(self, both: int, a: int, b: int) -> bool:
         return self.den * both >= self.num * (a + b - both)
 
@@ -254,6 +268,20 @@ def candidates(found: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
     return out
 
 
+def again(docs: DataFrame, wanted: DataFrame, small: bool, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles): the sets of the documents with the ``wanted`` ids (id), made from the texts again."""
+    some = _texts(docs, id_col, text_col).join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _WORDS
+        for b in batches:
+            for k in range(0, b.num_rows, BLOCK):
+                s = [shingles(t.as_py(), memo, width) for t in b.column(1).slice(k, BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["node", "shingles"])
+
+    return some.mapInArrow(make, "node long, shingles binary")
+
+
 def verify(docs: DataFrame, place: DataFrame, pairs: DataFrame, limit: Threshold, width: int, id_col: str, text_col: str) -> DataFrame:
     """The linked ones of ``pairs`` (a, b), exactly. ``place``: (node, id) of one document for each node.
 
@@ -265,16 +293,7 @@ def verify(docs: DataFrame, place: DataFrame, pairs: DataFrame, limit: Threshold
     work, facts = measured_table(leaders.unionByName(members), "pairs")
     small = facts["rows"] <= FEW_NODES
     wanted = work.select("node").distinct().join(place, "node").select("id")
-    some = _texts(docs, id_col, text_col).join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WORDS
-        for b in batches:
-            for k in range(0, b.num_rows, BLOCK):
-                s = [shingles(t.as_py(), memo, width) for t in b.column(1).slice(k, BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["node", "shingles"])
-
-    made = some.mapInArrow(make, "node long, shingles binary")
+    made = again(docs, wanted, small, width, id_col, text_col)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leader = None, None
@@ -383,47 +402,107 @@ def nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, component: np.ndarray
     return cross[rank < deal], bool((rank >= deal).any())
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """(entry, block, guest, node, n, sketch, component). ``rows``: (entry, node, size, n, sketch, component, visits). A node is at home
+    in one block of its entry; one that visits is a guest of all others."""
+    out = rows.withColumn("blocks", F.ceil(F.col("size") / ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block"))
+    columns = "node", "n", "sketch", "component"
+    guests = out.where("visits and blocks > 1").select("entry", F.explode(others).alias("block"), F.lit(True).alias("guest"), *columns)
+    return out.select("entry", "block", F.lit(False).alias("guest"), *columns).union(guests)
+
+
 def blocks(rows: DataFrame, limit: Threshold, deal: int) -> DataFrame:
-    """(a, b, more) from long entries. ``rows``: (entry, node, size, n, sketch, component). Without ``deal``, a forest of each pair of
-    blocks; with it, pairs between components."""
-    dealt = rows.withColumn("blocks", F.ceil(F.col("size") / ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("entry", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "n", "sketch", "component")
-
-    def pairs(group: list[tuple]) -> tuple[list[int], list[int], list[bool]]:
-        _, lo, hi, own, node, n, sketches, component = zip(*group, strict=True)
-        i, j, far = met(limit, np.array(n, np.int64), list(sketches), np.array(own), lo[0] != hi[0])
+    """(a, b, more) from the blocks of ``dealt``, whose guests pass by ROWS at a time. Without ``deal``, a forest; with it, pairs between components."""
+    most = ROWS
+
+    def pairs(home: list[tuple], guests: list[tuple], first: bool) -> tuple[list[int], list[int], list[bool]]:
+        _, _, side, node, n, sketches, component = zip(*home, *guests, strict=True)
+        side, n, sketches = np.array(side), np.array(n, np.int64), list(sketches)
+        i, j, far = met(limit, n, sketches, side, True)
+        if first:
+            own = met(limit, n[: len(home)], sketches[: len(home)], side[: len(home)], False)
+            i, j, far = (np.concatenate(c) for c in zip((i, j, far), own, strict=True))
         node, component = np.array(node, np.int64), np.array(component, np.int64)
         at, more = nearest(i, j, far, component, deal) if deal else (forest(i, j, far, len(node)), False)
         a, b = np.maximum(node[i[at]], node[j[at]]), np.minimum(node[i[at]], node[j[at]])
         return a.tolist(), b.tolist(), [more] * len(a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        home, guests, key, first = [], [], None, True
         out: tuple[list, list, list] = ([], [], [])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                for c, x in zip(out, pairs(held), strict=True):
+        def meet() -> None:
+            nonlocal first
+            if home and len(home) + len(guests) > 1 and (first or guests):
+                for c, x in zip(out, pairs(home, guests, first), strict=True):
                     c.extend(x)
-            if len(out[0]) > 10_000 or key is None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["a", "b", "more"])
-                for c in out:
-                    c.clear()
-            held.clear()
+            first = False
+            guests.clear()
+
+        def told() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["a", "b", "more"])
+            for c in out:
+                c.clear()
+            return made
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:3] != key:
-                    yield from flush() if key else ()
-                    key = r[:3]
-                held.append(r)
-        if key:
-            key = None
-            yield from flush()
+                if r[:2] != key or len(guests) >= most:
+                    meet()
+                    if len(out[0]) > 10_000:
+                        yield told()
+                if r[:2] != key:
+                    home.clear()
+                    key, first = r[:2], True
+                (guests if r[2] else home).append(r)
+        meet()
+        yield told()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "entry", "lo", "hi").sortWithinPartitions("entry", "lo", "hi").mapInArrow(run, "a long, b long, more boolean")
+    return dealt(rows).repartition(parts, "entry", "block").sortWithinPartitions("entry", "block", "guest").mapInArrow(run, "a long, b long, more boolean")
+
+
+def _sum_blocks(f: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"block": f["block"][:1], "counts": [np.sum([np.frombuffer(x, np.int64) for x in f["counts"]], axis=0).tobytes()]})
+
+
+def rarest(found: DataFrame, limit: Threshold) -> DataFrame:
+    """(entry, node, size): shingles that two sets or more may share, each set's rarest ones, so many that sets that link share one.
+
+    ``found``: (node, shingles). All sets order the shingles alike, by how many of them are counted in a place, then by hash."""
+    step = PLACES // 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(PLACES, np.int64)
+        for b in batches:
+            s = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
+            n += np.bincount((s & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+        if n.any():
+            cuts = range(0, PLACES, step)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(cuts), pa.int32()), pa.array([n[a : a + step].tobytes() for a in cuts], pa.binary())], ["block", "part", "counts"])
+
+    shape = "block int, counts binary"
+    made = found.select("shingles").mapInArrow(count, "block int, part int, counts binary")
+    some = made.groupBy("block", F.floor(F.col("part") / 64).alias("g")).applyInPandas(lambda key, f: _sum_blocks(f), shape)
+    got = sorted(some.groupBy("block").applyInPandas(_sum_blocks, shape).collect(), key=lambda r: r["block"])  # 16 rows
+    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in got]) if got else np.zeros(PLACES, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for node, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = np.frombuffer(blob, np.uint64)
+                often = counts[(s & np.uint64(PLACES - 1)).astype(np.int64)]
+                at = np.lexsort((s, often))[: limit.prefix(len(s))]
+                keys.append(s[at[often[at] > 1]])  # what is alone in its place is in no other set
+                nodes.append(np.full(len(keys[-1]), node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(nodes))], ["entry", "node"])
+
+    rows = table(found.select("node", "shingles").mapInArrow(run, "entry long, node long"), "rarest")
+    out = table(rows.join(rows.groupBy("entry").agg(F.count("*").alias("size")).where("size > 1"), "entry"), "shared")
+    discard(rows)
+    return out
 
 
 def links(docs: DataFrame, found: DataFrame, limit: Threshold, plan: list[tuple[int, int, int]], width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -444,26 +523,52 @@ def links(docs: DataFrame, found: DataFrame, limit: Threshold, plan: list[tuple[
     close = x.join(y, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.node") > F.col("y.node")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     close = near(close, facts, limit).select("a", "b")
 
-    # long entries: a forest first
-    many = kept.where(F.col("size") > FREQUENT)
-    long_rows, size = measured_table(many.join(facts, "node").select("entry", "node", "size", "n", "sketch"), "long")
-    grown = blocks(long_rows.withColumn("component", F.col("node")), limit, 0).select("a", "b")
+    # long entries: a forest first. Sketches are joined last, to what meets
+    long_rows, size = measured_table(kept.where(F.col("size") > FREQUENT).select("entry", "node", "size"), "long")
+    everywhere = F.pmod(F.xxhash64("node", F.lit(1)), F.col("size")) < SEEN
+    grown = blocks(long_rows.withColumn("component", F.col("node")).withColumn("visits", everywhere).join(facts, "node"), limit, 0).select("a", "b")
     tried = table(close.union(grown).distinct() if size["rows"] else close, "tried")
     one = verify(docs, place, tried, *args)
-    deal = 4
-    while size["rows"]:
-        names = components(place.select(F.col("node").alias("id")), one.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), "component")
-        here = long_rows.join(names, "node")
-        several = here.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("entry")
-        between, seen = measured_table(blocks(here.join(several, "entry"), limit, deal).groupBy("a", "b").agg(F.max("more").alias("more")), "between", more=F.max("more"))
+
+    def named() -> DataFrame:
+        found = components(place.select(F.col("node").alias("id")), one.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        out = table(found.select(F.col("id").alias("node"), "component"), "names")
+        discard(found.links)
+        return out
+
+    def several(rows: DataFrame) -> DataFrame:
+        """The rows of entries with several components, with these; those outside of the entry's largest one visit."""
+        here = rows.join(names, "node")
+        each = here.groupBy("entry", "component").agg(F.count("*").alias("rows"))
+        each = each.groupBy("entry").agg(F.max_by("component", F.struct("rows", "component")).alias("top"), F.count("*").alias("components"))
+        return here.join(each.where("components > 1").select("entry", "top"), "entry").withColumn("visits", F.col("component") != F.col("top"))
+
+    rows, deal = None, 4
+    if size["rows"]:
+        # then the nodes of what has several components, by their rarest shingles
+        names = named()
+        wanted, left = measured_table(several(long_rows).select("node").distinct().join(place.select("node", "id"), "node").select("id"), "wanted")
+        if left["rows"]:
+            # a node that comes twice, with an id that does, is one component and meets no more
+            found = table(again(docs, wanted, left["rows"] <= FEW_NODES, width, id_col, text_col), "open")
+            rows = rarest(found, limit)
+            discard(found)
+        discard(wanted)
+    while rows is not None:
+        met_here = several(rows).select("entry", "node", "size", "component", "visits").join(facts, "node")
+        between, seen = measured_table(blocks(met_here, limit, deal).groupBy("a", "b").agg(F.max("more").alias("more")), "between", more=F.max("more"))
         new, left = measured_table(between.select("a", "b").join(tried, ["a", "b"], "left_anti"), "new")
         discard(between)
         if left["rows"]:
             true = verify(docs, place, new, *args)
             one, tried = one.union(true), tried.union(new)
         if not seen["more"]:
+            discard(rows)
             break
-        deal *= 4
+        discard(names)
+        names, deal = named(), deal * 4
+    if size["rows"]:
+        discard(names)
     discard(kept, place, long_rows)
     return one.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 

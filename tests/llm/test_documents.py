@@ -226,6 +226,37 @@ def test_ngram_join_of_a_large_group_near_the_threshold(spark, monkeypatch):
     assert got == {i: root(i) for i in s} and 2 < len(set(map(root, range(110)))) < 100
 
 
+def test_long_entries_are_dealt_once_and_lose_no_pair(spark, monkeypatch):
+    """A node is at home in one block; only what lies outside of the largest component visits the others."""
+    monkeypatch.setattr(ngram_join, "ROWS", 16)
+    r = np.random.default_rng(3)
+    nodes = [int(x) for x in r.permutation(10_000)[:600]]
+    component = {x: min(nodes) if k < 560 else x for k, x in enumerate(nodes)}
+    one = bytes(64)  # sketches that exclude nothing
+    d = spark.createDataFrame([(1, x, 600, 100, one, component[x], component[x] == x) for x in nodes], "entry long, node long, size long, n long, sketch binary, component long, visits boolean")
+    blocks = 600 // 16 + 1
+    visitors = sum(component[x] == x for x in nodes)
+    assert ngram_join.dealt(d).count() == 600 + visitors * (blocks - 1)
+    assert ngram_join.dealt(d.withColumn("visits", F.lit(False))).count() == 600
+    got = {(x["a"], x["b"]) for x in ngram_join.blocks(d, ngram_join.Threshold(85, 100), 1000).collect()}
+    assert got == {(a, b) for a in nodes for b in nodes if a > b and component[a] != component[b]}
+
+
+def test_sets_that_link_share_a_rarest_shingle(spark):
+    r, limit = np.random.default_rng(5), ngram_join.Threshold(85, 100)
+    common = r.integers(0, 2**63, 40, np.uint64)
+    made = []
+    for _ in range(60):
+        base = np.concatenate([common[: r.integers(0, 40)], r.integers(0, 2**63, r.integers(1, 60), np.uint64)])
+        made += [np.unique(np.where(r.random(len(base)) < 0.06, r.integers(0, 2**63, len(base), np.uint64), base)) for _ in range(3)]
+    d = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(made)], "node long, shingles binary")
+    keys = {}
+    for x in ngram_join.rarest(d, limit).collect():
+        keys.setdefault(x["node"], set()).add(x["entry"])
+    linked = [(i, j) for i in range(len(made)) for j in range(i) if limit.linked(len(np.intersect1d(made[i], made[j])), len(made[i]), len(made[j]))]
+    assert len(linked) > 20 and all(keys[i] & keys[j] for i, j in linked)
+
+
 @pytest.mark.parametrize("deal", [1, 2, 50])
 def test_blocks_lose_no_pair_between_components(deal):
     r = np.random.default_rng(4)
