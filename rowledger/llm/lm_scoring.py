@@ -26,6 +26,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -61,7 +62,8 @@ class Rates(NamedTuple):
 
 
 def place(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) % OTHERS
+    """The hashed place of a word, which Spark finds alike."""
+    return zlib.crc32(word) % OTHERS
 
 
 class Vocabulary(dict):
@@ -77,8 +79,7 @@ class Vocabulary(dict):
         if len(self) > 500_000:
             self.clear()
             self.update(self.fixed)
-        i = self.fixed.get(word)
-        i = self[word] = WORDS - OTHERS + place(word) if i is None else i
+        i = self[word] = WORDS - OTHERS + place(word)  # fixed ones are never missing
         return i
 
 
@@ -113,10 +114,11 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def out(seen: Counter[bytes]) -> Iterator[pa.RecordBatch]:
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(map(place, seen), pa.int32()), pa.array(seen.values(), pa.int64())], ["word", "place", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "count"])
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, place int, count long").groupBy("word").agg(F.first("place").alias("place"), F.sum("count").alias("count"))
-    return table(counts.withColumn("bin", F.floor(F.log2("count") * 8).cast("int")), "words")
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    place = (F.crc32("word") % OTHERS).cast("int").alias("place")
+    return table(counts.select("word", place, "count", F.floor(F.log2("count") * 8).cast("int").alias("bin")), "words")
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -174,25 +176,16 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return net
 
 
-def _pick(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, slopes: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of one column in each row of the logits of ``h``, and, if asked for, its slopes along the logits."""
-    z, row = h @ weights.T, np.arange(len(at))
-    z += bias
-    if np.abs(weights).sum(1).max() + np.abs(bias).max() > 60:  # as no h is beyond 1, smaller logits cannot overflow
-        z -= z.max(1, keepdims=True)
-    log = z[row, at]
-    np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], z.dtype)
-    if slopes:
-        z *= (-1 / total)[:, None]
-        z[row, at] += 1
-    return log - np.log(total), z
+def _joined(net: dict[str, np.ndarray], name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Weights with their bias as a last column, and whether logits may be too large for a plain exponential: no h is beyond 1."""
+    weights = np.concatenate([net[name], net[name + "_bias"][..., None]], -1)
+    return weights, np.abs(weights).sum(-1).max(-1) > 60
 
 
 def _sums(words: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each word; ``columns``: the rows, turned."""
+    """Sums of the rows of each word, turned; ``columns``: the rows, turned."""
     words = np.ascontiguousarray(words)
-    return np.stack([np.bincount(words, weights=c, minlength=WORDS + 1) for c in columns], 1)
+    return np.array([np.bincount(words, weights=c, minlength=WORDS + 1) for c in columns])
 
 
 def forward(net: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> np.ndarray:
@@ -203,29 +196,48 @@ def forward(net: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
     kind, inner = (target % CLASSES).astype(np.uint8), target // CLASSES
     order = np.argsort(kind, kind="stable")
     context, kind, inner = context[order], kind[order], inner[order]
-    h = np.tanh(sum((net["vectors"] * net["sides"][s])[context[:, s]] for s in range(len(SIDES))))
-    log, back = np.zeros(len(h), h.dtype), np.zeros_like(h)
-
-    def layer(at: slice, weights: np.ndarray, bias: np.ndarray, column: np.ndarray, slopes: tuple[np.ndarray, np.ndarray] | None) -> None:
-        one, e = _pick(h[at], weights, bias, column[at], slopes is not None)
-        log[at] += one
+    h = np.ones((len(target), SIZE + 1), net["vectors"].dtype)  # the last column is for the bias
+    np.tanh(sum((net["vectors"] * net["sides"][s]).take(context[:, s], 0) for s in range(len(SIDES))), out=h[:, :SIZE])
+    log, back = np.zeros(len(h), h.dtype), np.zeros((len(h), SIZE), h.dtype)
+    rows, ones = np.arange(ROWS), np.ones(CLASSES, h.dtype)
+
+    def layer(at: slice, weights: np.ndarray, large: bool, column: np.ndarray, slopes: tuple[np.ndarray, np.ndarray] | None) -> None:
+        """Adds the log-probability of one column in each row of the logits of ``h``, and, if asked for, the slopes."""
+        x, column = h[at], column[at]
+        z, row = x @ weights.T, rows[: len(column)]
+        if large:
+            z -= z.max(1, keepdims=True)
+        one = z[row, column]
+        np.exp(z, out=z)
+        total = z @ ones
+        log[at] += one - np.log(total)
         if slopes is not None:
-            slopes[0][...] += e.T @ h[at]
-            slopes[1][...] += np.ones(len(e), e.dtype) @ e
-            back[at] += e @ weights
-
+            # the logits' slopes are these over -total, by which the narrow factors are divided
+            z[row, column] -= total
+            scale = (-1 / total)[:, None]
+            g = z.T @ (x * scale)
+            slopes[0][...] += g[:, :-1]
+            slopes[1][...] += g[:, -1]
+            back[at] += (z @ weights[:, :-1]) * scale
+
+    weights, large = _joined(net, "kind")
     for a in range(0, len(h), ROWS):
-        layer(slice(a, a + ROWS), net["kind"], net["kind_bias"], kind, grad and (grad["kind"], grad["kind_bias"]))
+        layer(slice(a, a + ROWS), weights, large, kind, grad and (grad["kind"], grad["kind_bias"]))
+    weights, large = _joined(net, "inner")
     cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
     for c in np.flatnonzero(np.diff(cuts)):
         for a in range(cuts[c], cuts[c + 1], ROWS):
-            layer(slice(a, min(a + ROWS, cuts[c + 1])), net["inner"][c], net["inner_bias"][c], inner, grad and (grad["inner"][c], grad["inner_bias"][c]))
+            layer(slice(a, min(a + ROWS, cuts[c + 1])), weights[c], large[c], inner, grad and (grad["inner"][c], grad["inner_bias"][c]))
     if grad is not None:
+        h = h[:, :SIZE]
         columns = np.ascontiguousarray((back * (1 - h * h)).T, np.float64)
+        vectors, total = np.ascontiguousarray(net["vectors"].T), np.zeros((SIZE, WORDS + 1))
         for s in range(len(SIDES)):
             g = _sums(context[:, s], columns)
-            grad["sides"][s] += (g * net["vectors"]).sum(0)
-            grad["vectors"] += g * net["sides"][s]
+            grad["sides"][s] += np.einsum("ij,ij->i", g, vectors)
+            g *= net["sides"][s][:, None]
+            total += g
+        grad["vectors"] += total.T
     out = np.empty(len(log), log.dtype)
     out[order] = log
     return out

@@ -625,3 +625,21 @@ def test_lm_gradient():
         down[name][at] -= 1e-4
         slope = (lm_scoring.forward(up, c, t).sum() - lm_scoring.forward(down, c, t).sum()) / 2e-4
         assert slope == pytest.approx(grad[name][at], rel=2e-2, abs=1e-3)
+
+
+def test_lm_places_and_large_logits(spark):
+    """Spark finds a word's place as Python does; logits too large for a plain exponential give the probabilities of a softmax."""
+    d = spark.createDataFrame([("a b üü zz",), ("a a x9",), (None,)], "text string")
+    got = {bytes(x["word"]): (x["place"], x["count"]) for x in lm_scoring.word_counts(d).collect()}
+    assert got == {w: (zlib.crc32(w) % lm_scoring.OTHERS, n) for w, n in {b"a": 3, b"b": 1, "üü".encode(): 1, b"zz": 1, b"x9": 1}.items()}
+    assert all(p == lm_scoring.place(w) for w, (p, _) in got.items())
+    r = np.random.default_rng(1)
+    c, t = r.integers(0, lm_scoring.WORDS, (40, 4)), r.integers(0, lm_scoring.WORDS, 40)
+    net = {k: v.astype(np.float64) for k, v in lm_scoring.new_network().items()}
+    net["kind"] *= 50
+    net["inner_bias"] += np.linspace(-500, 900, 64)[:, None] + np.linspace(0, 300, 64)
+    h = np.tanh(sum(net["vectors"][c[:, s]] * net["sides"][s] for s in range(4)))
+    kind, inner = t % 64, t // 64
+    x, y = h @ net["kind"].T + net["kind_bias"], np.einsum("nk,nwk->nw", h, net["inner"][kind]) + net["inner_bias"][kind]
+    log = lambda z, at: z[range(40), at] - z.max(1) - np.log(np.exp(z - z.max(1)[:, None]).sum(1))
+    assert np.allclose(lm_scoring.forward(net, c, t), log(x, kind) + log(y, inner))
