@@ -32,7 +32,9 @@ from .common import PLAIN, BYTE_PIECES, ByteBpe, memo
 
 BLOCK = 64
 #: Letters up to which a prefix's table is kept for other pre-tokens.
-KEPT = 16
+KEPT = 5
+#: Lengths of entries that any letters may end.
+SHORT = (3, 2, 1)
 _SPACE, _TAIL = regex.compile(r"\s*"), regex.compile(r"\s*$")
 #: Two white-space signs in a row, one of them a space: what is a piece then depends on where a prefix ends.
 _RUNS = re.compile(r" \s|\s ")
@@ -43,13 +45,16 @@ class PrefixTables(ByteBpe):
     """Tables of counts at every prefix: of pieces, of chunks and of whole texts. The memo's values are the steps from
     one count to the next, 16 bits for each character."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 700_000):
         super().__init__(path, None, b"", limit)
         self.vocab = set(self.tokenizer.get_vocab())
-        #: the longest entry that ends with these two letters
-        self.reach: dict[str, int] = {}
+        #: the lengths of entries that end with these four letters, long ones first, and those below four
+        self.lengths: dict[str, tuple[int, ...]] = {}
+        ends: dict[str, set[int]] = {}
         for token in self.vocab:
-            self.reach[token[-2:]] = max(len(token), self.reach.get(token[-2:], 1))
+            if len(token) > 3:
+                ends.setdefault(token[-4:], set()).add(len(token))
+        self.lengths.update((end, (*sorted(n, reverse=True), *SHORT)) for end, n in ends.items())
         self.fits: dict[tuple[str, str], bool] = {}
         self.prefixes: dict[str, tuple[list[int], list[str]]] = {}
         self.steps: dict[tuple[str, str], np.ndarray] = {}
@@ -67,16 +72,16 @@ class PrefixTables(ByteBpe):
     def piece(self, text: str) -> Sequence[int]:
         """Counts at each character prefix of one pre-token, the empty one first. What a prefix has is kept for all pre-tokens
         that begin so; the table goes on from the longest one that is known."""
-        s, known, vocab, fits, reach = self.written(text), self.prefixes, self.vocab, self.fits, self.reach
+        s, known, vocab, fits, lengths = self.written(text), self.prefixes, self.vocab, self.fits, self.lengths
         n = len(s)
         k = min(n, KEPT)
         while k and (found := known.get(s[:k])) is None:
             k -= 1
         counts, lasts = map(list, found) if k else ([0], [""])
         for i in range(k + 1, n + 1):
-            for j in range(max(0, i - reach.get(s[max(0, i - 2) : i], 1)), i):
-                token = s[j:i]
-                if token in vocab:
+            for length in lengths.get(s[i - 4 : i], SHORT) if i > 3 else SHORT:
+                j = i - length
+                if j >= 0 and (token := s[j:i]) in vocab:
                     fit = fits.get((lasts[j], token))
                     if self.stands(lasts[j], token) if fit is None else fit:
                         break
@@ -103,7 +108,7 @@ class PrefixTables(ByteBpe):
 
     def chunk(self, text: str) -> bytes:
         if PLAIN.fullmatch(text) and not _DOUBLE.search(text):
-            return super().chunk(text)
+            return self.plain(text)
         return np.diff(self.table(text)).astype(np.int16).tobytes()
 
     def table(self, text: str) -> np.ndarray:

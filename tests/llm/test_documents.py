@@ -226,6 +226,19 @@ def test_ngram_join_of_a_large_group_near_the_threshold(spark, monkeypatch):
     assert got == {i: root(i) for i in s} and 2 < len(set(map(root, range(110)))) < 100
 
 
+def test_prefix_tables_know_every_entry_and_small_memos_change_nothing():
+    path = vocabulary("byte_bpe_50k.json")
+    full, small = token_counts.PrefixTables(path), token_counts.PrefixTables(path, 20)
+    assert all(len(t) in full.lengths.get(t[-4:] if len(t) > 3 else "", token_counts.SHORT) for t in full.vocab)
+    r = random.Random(4)
+    for _ in range(40):
+        text = " ".join("".join(r.choices("abcdeinorstéß'.-1 \n", k=r.randrange(1, 24))) for _ in range(30))
+        assert full.counts(text).tolist() == small.counts(text).tolist() == full.table(text).tolist()
+        assert int(full.counts(text)[-1]) == len(full.ids(text))
+        piece = "".join(r.choices("abcdeinorst", k=20))
+        assert list(full.piece(piece)) == [len(full.ids(piece[:k])) for k in range(21)]
+
+
 def test_long_entries_are_dealt_once_and_lose_no_pair(spark, monkeypatch):
     """A node is at home in one block; only what lies outside of the largest component visits the others."""
     monkeypatch.setattr(ngram_join, "ROWS", 16)
