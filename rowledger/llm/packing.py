@@ -24,6 +24,7 @@ import random
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -36,13 +37,15 @@ from .common import ByteBpe, memo, table
 from .token_files import pack_ids
 
 BLOCK = 256
+#: Words and pieces that a process keeps the ids of.
+KNOWN = 700_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(uid, id, piece, start, length, ids_crc32). One scan of two columns; uid is unique within one run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end, uid = memo(ByteBpe, tokenizer, pack_ids, b""), pack_ids([end_id]), TaskContext.get().partitionId() << 33
+        known, end, uid = memo(ByteBpe, tokenizer, pack_ids, b"", KNOWN), pack_ids([end_id]), TaskContext.get().partitionId() << 33
         for batch in batches:
             for k in range(0, batch.num_rows, BLOCK):
                 rows = batch.slice(k, BLOCK)
@@ -70,9 +73,9 @@ class Island:
 
     def fit(self, items: list[int], bins: list[list[int]], room: list[int]) -> None:
         """Best fit: each item, in the order given, goes to the fullest bin that has room for it."""
-        free = sorted((r, b) for b, r in enumerate(room) if r)
+        free, lengths = sorted((r, b) for b, r in enumerate(room) if r), self.lengths
         for i in items:
-            n = self.lengths[i]
+            n = lengths[i]
             k = bisect_left(free, (n, -1))
             if k == len(free):
                 bins.append([i])
@@ -93,10 +96,13 @@ class Island:
 
     def value(self, bins: list[list[int]]) -> tuple[int, float]:
         """Fewest bins first, then uneven filling, which leaves room for later pieces."""
-        return -len(bins), sum((sum(self.lengths[i] for i in b) / self.capacity) ** 2 for b in bins) / max(1, len(bins))
+        return -len(bins), sum((self.filled(b) / self.capacity) ** 2 for b in bins) / max(1, len(bins))
+
+    def filled(self, items: list[int]) -> int:
+        return sum(map(self.lengths.__getitem__, items))
 
     def cross(self, a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
-        fill = [sum(self.lengths[i] for i in x) for x in b]
+        fill = [self.filled(x) for x in b]
         order = sorted(range(len(b)), key=lambda k: -fill[k])
         good = order[: max(1, len(order) // 2)]
         taken = [b[k] for k in self.random.sample(good, max(1, len(good) // 4))]
@@ -108,22 +114,24 @@ class Island:
             else:
                 out += [i for i in x if i not in inside]
         # the emptiest bins are dissolved with them, or a child would never need fewer bins
-        kept.sort(key=lambda x: sum(self.lengths[i] for i in x))
+        kept.sort(key=self.filled)
         loose = max(1, len(kept) // 20)
         out += [i for x in kept[:loose] for i in x]
         bins = [list(x) for x in kept[loose:]] + [list(x) for x in taken]
-        self.fit(sorted(out, key=lambda i: (-self.lengths[i], i)), bins, [self.capacity - sum(self.lengths[i] for i in x) for x in bins])
+        self.fit(sorted(out, key=lambda i: (-self.lengths[i], i)), bins, [self.capacity - self.filled(x) for x in bins])
         return bins
 
     def evolve(self, people: list[list[list[int]]], generations: int) -> list[list[list[int]]]:
-        people = sorted(people, key=self.value, reverse=True)
+        # each solution is valued once
+        valued = sorted(((self.value(x), x) for x in people), key=itemgetter(0), reverse=True)
         least = -(-sum(self.lengths) // self.capacity)
         for _ in range(generations):
-            if not people or len(people[0]) <= least:  # no solution can have fewer
+            if not valued or len(valued[0][1]) <= least:  # no solution can have fewer
                 break
-            a, b = self.random.sample(people, 2) if len(people) > 1 else people * 2
-            people = sorted([*people, self.cross(a, b)], key=self.value, reverse=True)[: len(people)]
-        return people
+            (_, a), (_, b) = self.random.sample(valued, 2) if len(valued) > 1 else valued * 2
+            child = self.cross(a, b)
+            valued = sorted([*valued, (self.value(child), child)], key=itemgetter(0), reverse=True)[: len(valued)]
+        return [x for _, x in valued]
 
 
 def pack(items: DataFrame, capacity: int = 1024, group_size: int = 2000, islands: int = 3, epochs: int = 2, generations: int = 8, people: int = 3) -> DataFrame:

@@ -61,6 +61,25 @@ def test_memo_is_the_library():
             assert b"".join(m.values(x)) == token_files.pack_ids(e.ids), ascii(x)
 
 
+def test_a_word_before_a_stop_is_encoded_once(monkeypatch):
+    for kind, name in ((common.ByteBpe, "byte_bpe_50k.json"), (common.WordBpe, "word_bpe_49k.json")):
+        m, seen = kind(vocabulary(name), token_files.pack_ids, b""), []
+        real = m.piece_value
+        monkeypatch.setattr(m, "piece_value", lambda piece: seen.append(piece) or real(piece))
+        for text in ("0 seul été. été seul, seul! seul", "0 seul. été, seul"):
+            assert b"".join(m.values(text)) == token_files.pack_ids(m.ids(text))
+        assert sum("seul" in piece for piece in seen) == 1, seen
+
+
+def test_a_solution_is_valued_once(monkeypatch):
+    r = random.Random(4)
+    island = packing.Island([r.randint(1, 700) for _ in range(60)], 1024, 5)
+    people, seen, real = [island.start(0.15 * j) for j in range(3)], [], island.value
+    monkeypatch.setattr(island, "value", lambda bins: seen.append(1) or real(bins))
+    monkeypatch.setattr(island, "lengths", [*island.lengths, -(10**6)])  # no solution is ever the last one possible
+    assert len(island.evolve(people, 8)) == 3 and len(seen) == 11
+
+
 def test_counts_at_every_prefix():
     m = token_counts.PrefixTables(vocabulary("byte_bpe_50k.json"))
     r = random.Random(1)
