@@ -71,6 +71,15 @@ def test_a_word_before_a_stop_is_encoded_once(monkeypatch):
         assert sum("seul" in piece for piece in seen) == 1, seen
 
 
+def test_words_that_differ_by_case_are_encoded_once(monkeypatch):
+    m, seen = common.WordBpe(vocabulary("word_bpe_49k.json"), token_files.pack_ids, b""), []
+    real = m.piece_value
+    monkeypatch.setattr(m, "piece_value", lambda piece: seen.append(piece) or real(piece))
+    text = "The the THE. thE, tHe!"
+    assert b"".join(m.values(text)) == token_files.pack_ids(m.ids(text))
+    assert seen.count("the") == 1, seen
+
+
 def test_a_solution_is_valued_once(monkeypatch):
     r = random.Random(4)
     island = packing.Island([r.randint(1, 700) for _ in range(60)], 1024, 5)
