@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 from operator import sub
 
 import numpy as np
@@ -94,8 +95,7 @@ class PrefixTables(ByteBpe):
                 known[s[:i]] = (counts[: i + 1], lasts[: i + 1])
         if n == len(text):
             return counts
-        ends = np.cumsum([0, *(len(c.encode()) for c in text)])
-        return [counts[e] for e in ends]
+        return [counts[e] for e in accumulate((len(c.encode()) for c in text), initial=0)]
 
     def begun(self, piece: str) -> Sequence[int]:
         """The counts of a piece within a text: a contraction that has begun is still a sign and a letter."""

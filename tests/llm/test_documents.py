@@ -100,6 +100,16 @@ def test_counts_at_every_prefix():
             assert m.cut(m.counts(t), budget) == max(i for i, c in enumerate(want) if c <= budget)
 
 
+def test_a_word_before_a_stop_has_one_table(monkeypatch):
+    m, seen = token_counts.PrefixTables(vocabulary("byte_bpe_50k.json")), []
+    real = m.piece
+    monkeypatch.setattr(m, "piece", lambda text: seen.append(text) or real(text))
+    text = "0 seul été. été seul, seul! seul"
+    got = m.counts(text).tolist()
+    assert seen.count(" seul") == 1 and seen.count(" été") == 1, seen
+    assert got == [len(m.ids(text[:i])) for i in range(len(text) + 1)]
+
+
 def test_stored_counts_are_the_tables():
     m = token_counts.PrefixTables(vocabulary("byte_bpe_50k.json"))
     r = random.Random(8)
