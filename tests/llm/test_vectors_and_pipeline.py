@@ -137,6 +137,33 @@ def test_image_votes_allow_flipped_bits():
     assert image_copies.agreed(c, other) == image_copies.agreed(other, c) == 8
 
 
+def test_images_described_together_and_alone():
+    r = np.random.default_rng(5)
+    made = [r.integers(0, 256, (int(h), int(w)), np.uint8) for h, w in r.integers(1, 60, (40, 2))] + [picture(1), picture(2), np.full((30, 40), 255, np.uint8)]
+    together = image_copies.describe(made)
+    assert [c.tobytes() for c in together] == [image_copies.describe([g])[0].tobytes() for g in made] and sum(map(len, together)) > 100
+
+
+def test_image_candidates_meet_several_times(spark):
+    """A pair that meets in one corner alone is no candidate; every pair with as many as a link needs is one, also by another table."""
+    r = np.random.default_rng(4)
+    made = [np.zeros(20, image_copies.CORNER) for _ in range(6)]
+    for c in made:
+        c["bits"] = r.integers(0, 1 << 63, (20, 2))
+    made[1]["bits"][7] = made[0]["bits"][3]  # one corner in common
+    made[3]["bits"][:8] = made[2]["bits"][12:]  # as many as needed
+    made[5]["bits"][:8] = made[4]["bits"][12:] ^ np.array([0x100000001, 0], np.uint64)  # in the last two tables alone
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = [(k, 20, c.tobytes(), np.packbits(image_copies.brought(c, np.array([20]), none, 5, 0.4)).tobytes(), k) for k, c in enumerate(made)]
+    d = spark.createDataFrame(rows, "picture long, n long, corners binary, brought binary, component long").repartition(3)
+    found = {}
+    for band in range(4):
+        for part in range(image_copies.PARTS):
+            for x in image_copies.met(d, band, part).collect():
+                found[x["a"], x["b"]] = found.get((x["a"], x["b"]), 0) + x["common"]
+    assert {k for k, n in found.items() if n >= image_copies.meeting(5)} == {(2, 3), (4, 5)} and found[0, 1] == 1
+
+
 def test_page_images(spark):
     d = spark.createDataFrame([(1, "<p>one two</p><script>x</script><p>three</p>"), (2, None), (3, "")], "page_id long, html string")
     got = {r["id"]: (r["width"], r["height"], len(r["pixels"])) for r in image_copies.page_images(d).collect()}
