@@ -15,12 +15,25 @@ def write_changes(changes: DataFrame, path: str, partition: str = "run_id") -> N
 
 
 def write_run(run: DataFrame, path: str, keep: int = 50) -> None:
-    """Stores runs, each as a partition that appears at once when the job commits, then prunes to the newest ``keep`` (0: none are removed)."""
+    """Stores runs, each as a partition that appears at once when the job commits, then prunes to the newest ``keep`` (0: none are removed).
+    Of more runs than that, those that pruning would remove at once are not written: a folder for each takes longer than all else."""
+    if keep:
+        ids = newest_ids(run, keep)
+        run = run.join(F.broadcast(ids), run["run_id"].cast("string").eqNullSafe(ids["id"]), "left_semi")
     run.withColumn("schema_major", F.lit(SCHEMA_MAJOR)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
     if keep:
         prune(run.sparkSession, path, keep)
 
 
+def newest_ids(run: DataFrame, keep: int) -> DataFrame:
+    """(id): names of the runs that may be among the newest ``keep`` of a store. Names of folders are read back as numbers where all are
+    numbers, else as texts or dates, which sort as texts do: either order counts. A run without a name is never pruned."""
+    ids = run.select(F.col("run_id").cast("string").alias("id")).distinct()
+    number = F.struct(F.col("id").try_cast("double"), F.col("id").try_cast("decimal(38,6)"))  # long ones may be equal as doubles
+    tops = [ids.where("id <> ''").orderBy(F.desc(order)).limit(keep) for order in (F.col("id"), number)]
+    return tops[0].union(tops[1]).union(ids.where("id is null or id = ''")).distinct()
+
+
 def gate(runs: DataFrame, major: str = "schema_major") -> tuple[DataFrame, DataFrame]:
     """(readable runs, refused runs with a reason)."""
     m = F.col(major)

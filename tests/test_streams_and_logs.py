@@ -128,6 +128,26 @@ def test_history(spark, tmp_path):
     assert history.latest(d, ["scenario"], only=F.col("outcome") == "clean").first()["run_id"] == 2
 
 
+def test_history_of_many_runs_at_once(spark, tmp_path, monkeypatch):
+    """No more folders than are kept are written; the newest by the order in which their names are read back stay."""
+    shape = "run_id string, id int"
+    many = [(str(k), k) for k in range(120)]  # numbers sort otherwise than their texts
+    for given, most, kept in ((many, 7, {str(k) for k in range(117, 120)}), ([*many, ("run 7", 0)], 7, {"run 7", "99", "98"}), ([*many, (None, -1)], 8, {None, *(str(k) for k in range(117, 120))})):
+        path = f"{tmp_path}/{len(given)}-{most}"
+        with monkeypatch.context() as m:
+            m.setattr(history, "prune", lambda *_: None)
+            history.write_run(spark.createDataFrame(given, shape).repartition(4, "run_id"), path, 3)
+            assert 3 <= len(list((tmp_path / path).glob("run_id=*"))) <= most
+        history.prune(spark, path, 3)
+        stored = spark.read.parquet(path)
+        assert {None if r["run_id"] is None else str(r["run_id"]) for r in stored.collect()} == kept and stored.columns == ["id", "schema_major", "run_id"]
+    # older ones of the store go, whatever is written; all stay if all are asked for
+    history.write_run(spark.createDataFrame([(k, k) for k in range(118, 300)], "run_id int, id int"), f"{tmp_path}/120-7", 3)
+    assert {r["run_id"] for r in spark.read.parquet(f"{tmp_path}/120-7").collect()} == {297, 298, 299}
+    history.write_run(spark.createDataFrame([(k, k) for k in range(20)], "run_id int, id int"), f"{tmp_path}/all", 0)
+    assert spark.read.parquet(f"{tmp_path}/all").count() == 20
+
+
 def test_unknown_states_and_exit_codes(spark):
     d = spark.createDataFrame([("r", "weird"), ("r", "passed")], "run string, status string")
     assert verdict.assertion_counts(d, ["run"]).first()["unevaluable"] == 1
