@@ -164,6 +164,66 @@ def test_image_candidates_meet_several_times(spark):
     assert {k for k, n in found.items() if n >= image_copies.meeting(5)} == {(2, 3), (4, 5)} and found[0, 1] == 1
 
 
+def image_family() -> list[np.ndarray]:
+    """Pictures with crops, edits, turns, halves and repeated parts."""
+    made = [picture(100 + k) for k in range(10)]
+    made += [made[0][10:90, 5:80], made[1][:70], np.rot90(made[2]).copy(), made[3][::2, ::2].copy(), np.vstack([made[4], made[5]]), np.vstack([made[6][:60]] * 4)]
+    for k in range(7, 10):
+        edited = made[k].copy()
+        edited[20 * (k - 6) : 20 * (k - 6) + 30, 10:70] = 40
+        made += [edited, edited[:80]]
+    return made
+
+
+def image_block(c: list[np.ndarray]) -> image_copies.Block:
+    ids = sorted(range(len(c)), key=lambda k: len(c[k]))
+    return image_copies.Block(np.array(ids), np.array(ids), np.array([len(c[k]) for k in ids]), b"".join(c[k].tobytes() for k in ids))
+
+
+def test_image_transforms_in_a_block_count_as_alone():
+    """Every transform that a match votes for, looked at in the block, gives the number that all matches of the two pictures give."""
+    c = image_copies.describe(image_family())
+    block, seen = image_block(c), []
+    for p in range(len(c)):
+        for there, q in enumerate(block.picture.tolist()):
+            apart = np.bitwise_count(c[p]["bits"][:, None] ^ c[q]["bits"][None]).sum(2, dtype=int)
+            i, j = np.nonzero(apart <= image_copies.BITS_APART)
+            t = np.unique(image_copies.packed(image_copies.transforms(c[p][i], c[q][j])))
+            assert (image_copies.packed(image_copies.unpacked(t)) == t).all()
+            most = image_copies.under(block, c[p], np.array([len(c[p])]), np.full(len(t), there), t).max(initial=0)
+            assert most == image_copies.agreed(c[p], c[q])
+            seen.append(most)
+    assert sum(5 <= x < 30 for x in seen) > 10
+
+
+def test_image_candidates_do_not_depend_on_what_is_held(monkeypatch):
+    c = image_copies.describe(image_family())
+    block, n = image_block(c), np.array([len(x) for x in c])
+    ids, of, every = np.arange(len(c)), np.repeat(np.arange(len(c)), n), np.ones(n.sum(), bool)
+    look = lambda: sorted(zip(*(x.tolist() for x in image_copies.candidates(block, ids, ids, n, np.concatenate(c), of, every, 2)), strict=True))
+    usual = look()
+    monkeypatch.setattr(image_copies, "COUNTED", 50)
+    monkeypatch.setattr(image_copies, "HITS", 7)
+    assert look() == usual and len(usual) > 10
+
+
+def test_image_components_are_those_of_all_pairs(spark, monkeypatch):
+    """By several blocks, in few jobs however many tables and rounds the hits would have taken."""
+    made = image_family()
+    c = image_copies.describe(made)
+    need = lambda a, b: max(5, math.ceil(0.4 * min(len(a), len(b))))
+    order = sorted(range(len(c)), key=lambda k: (len(c[k]), k))
+    linked = [(a, b) for x, a in enumerate(order) for b in order[x + 1 :] if len(c[a]) >= 5 and image_copies.agreed(c[a], c[b], need(c[a], c[b])) >= need(c[a], c[b])]
+    d = spark.createDataFrame([(i, g.shape[1], g.shape[0], g.tobytes()) for i, g in enumerate(made)], "id long, width int, height int, pixels binary")
+    monkeypatch.setattr(image_copies, "BLOCK", sum(map(len, c)) // 5, raising=False)
+    spark.sparkContext.setJobGroup("images", "images")
+    got = {r["id"]: r["component_id"] for r in image_copies.copies(d).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("images"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == roots(range(len(made)), linked) and 6 < len(set(got.values())) < len(made) - 5
+    assert jobs < 140
+
+
 def test_page_images(spark):
     d = spark.createDataFrame([(1, "<p>one two</p><script>x</script><p>three</p>"), (2, None), (3, "")], "page_id long, html string")
     got = {r["id"]: (r["width"], r["height"], len(r["pixels"])) for r in image_copies.page_images(d).collect()}
